@@ -61,9 +61,12 @@ def sample_keys(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int = 10) -> tuple[DataFrame, str]:
-    """The first ``n`` rows, and whether that was ``all``, ``truncated``, ``no rows`` or ``no columns``."""
+    """The first ``n`` rows, and whether that was ``all``, ``truncated``, ``no rows`` or ``no columns``.
+
+    Runs the query once and keeps the ``n`` rows it shows.
+    """
     if not df.columns:
         return df, "no columns"
-    seen = len(df.take(n + 1))
-    state = "no rows" if seen == 0 else "truncated" if seen > n else "all"
-    return df.limit(n), state
+    seen = df.take(n + 1)
+    state = "no rows" if not seen else "truncated" if len(seen) > n else "all"
+    return df.sparkSession.createDataFrame(seen[:n], df.schema), state

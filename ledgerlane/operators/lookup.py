@@ -102,14 +102,14 @@ NULLABLE_KEY = [KEY_VALUE, KEY_MISSING]
 
 
 def with_nullable_key(df: DataFrame, column: str) -> DataFrame:
-    """Add the stand-in columns of a text key.
+    """Add the stand-in columns of a key, compared as text.
 
     Added before grouping and joining alike, they let the join use plain equality and
     the partitioning the grouping has already produced.
     """
     return df.withColumns(
         {
-            KEY_VALUE: F.coalesce(F.col(column), F.lit("")),
+            KEY_VALUE: F.coalesce(F.col(column).cast("string"), F.lit("")),
             KEY_MISSING: F.col(column).isNull(),
         }
     )

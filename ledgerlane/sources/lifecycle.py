@@ -2,13 +2,12 @@
 
 Profile ``clean`` gives consistent data. Profile ``messy`` plants faults by fixed
 predicates on the order key, so that every quality rule has something to find.
+Expressions are SQL texts: there are many, and a text is one call into the JVM.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
@@ -16,122 +15,106 @@ from ledgerlane import schemas as S
 CLEAN = "clean"
 MESSY = "messy"
 
-MINUTE = 60
-HOUR = 3600
-
 
 def raw_orders(orders: DataFrame, profile: str = MESSY) -> DataFrame:
-    k = F.col("k")
-    hit = _fault(profile)
-    created_at = _choose(
-        [(hit(500, 123), F.lit("not-a-date")), (hit(500, 321), None)],
-        F.col("created").cast("string"),
+    created_at = _value(
+        profile,
+        "CAST(created AS STRING)",
+        ("k % 500 = 123", "'not-a-date'"),
+        ("k % 500 = 321", "NULL"),
+    )
+    copies = _value(
+        profile,
+        f"array({created_at})",
+        ("k % 300 = 44", f"array({created_at}, {created_at})"),
     )
-    once = F.array(created_at)
-    copies = _choose([(hit(300, 44), F.array(created_at, created_at))], once)
     return (
         _base(orders, profile)
-        .select("*", F.explode(copies).alias("order_created_at"))
-        .select(
-            _choose([(hit(700, 62), None)], _order_id(k)).alias("order_id"),
-            _choose(
-                [(hit(200, 7), None)],
-                F.concat(F.lit("C"), (F.col("o_custkey") + 10000).cast("string")),
-            ).alias("customer_id"),
+        .select("*", F.explode(F.expr(copies)).alias("order_created_at"))
+        .selectExpr(
+            _value(profile, _ORDER_ID, ("k % 700 = 62", "NULL")) + " AS order_id",
+            _value(
+                profile,
+                "'C' || CAST(o_custkey + 10000 AS STRING)",
+                ("k % 200 = 7", "NULL"),
+            )
+            + " AS customer_id",
             "order_created_at",
-            _choose(
-                [(hit(100, 33), F.lit(-10.0)), (hit(400, 77), None)],
-                F.col("o_totalprice"),
-            ).alias("order_amount"),
-            F.lit("EUR").alias("currency"),
-            F.col("status").alias("order_status"),
+            _value(
+                profile,
+                "o_totalprice",
+                ("k % 100 = 33", "-10.0D"),
+                ("k % 400 = 77", "NULL"),
+            )
+            + " AS order_amount",
+            "'EUR' AS currency",
+            "status AS order_status",
         )
     )
 
 
 def raw_order_events(orders: DataFrame, profile: str = MESSY) -> DataFrame:
     """Up to six events per order: steps and their times are expanded, the rest follows."""
-    k, step, status = F.col("k"), F.col("step"), F.col("status")
-    hit = _fault(profile)
-    messy = F.lit(profile == MESSY)
-    pays = status.isin(S.COMPLETED, S.REFUNDED)
-    kept = ~hit(400, 42)
-    exists = {
-        1: kept,
-        2: kept & pays & ~(messy & ((k + 100000) % 37 == 0)),
-        3: kept & (status == S.COMPLETED),
-        4: kept & (status == S.CANCELLED),
-        5: kept & messy & (status == S.CANCELLED) & ((k + 100000) % 53 == 0),
-        6: messy & (k % 600 == 13),
-    }
-    happened = {
-        1: _choose([(hit(350, 65), None)], _created_after(5)),
-        2: _choose(
-            [
-                (hit(350, 55), F.lit("not-a-date")),
-                (hit(350, 40), _created_after(-HOUR)),
-            ],
-            _created_after(3 * MINUTE),
+    messy = str(profile == MESSY).lower()
+    kept = f"NOT ({messy} AND k % 400 = 42)"
+    done, dropped = f"status = '{S.COMPLETED}'", f"status = '{S.CANCELLED}'"
+    steps = {
+        1: (kept, _value(profile, _after("5"), ("k % 350 = 65", "NULL"))),
+        2: (
+            f"{kept} AND status IN ('{S.COMPLETED}', '{S.REFUNDED}')"
+            f" AND NOT ({messy} AND (k + 100000) % 37 = 0)",
+            _value(
+                profile,
+                _after("180"),
+                ("k % 350 = 55", "'not-a-date'"),
+                ("k % 350 = 40", _after("-3600")),
+            ),
         ),
-        3: _choose(
-            [(hit(350, 45), _created_after(MINUTE))],
-            _created_after((k % 3 + 239) * MINUTE + (k % 7) * 10),
+        3: (
+            f"{kept} AND {done}",
+            _value(
+                profile,
+                _after("(k % 3 + 239) * 60 + (k % 7) * 10"),
+                ("k % 350 = 45", _after("60")),
+            ),
         ),
-        4: _created_after(10 * MINUTE),
-        5: _created_after(6 * HOUR),
-        6: _created_after(0),
+        4: (f"{kept} AND {dropped}", _after("600")),
+        5: (f"{kept} AND {messy} AND {dropped} AND (k + 100000) % 53 = 0", _after("21600")),
+        6: (f"{messy} AND k % 600 = 13", _after("0")),
     }
-    steps = F.array(
-        *[
-            F.when(
-                exists[j],
-                F.struct(F.lit(j).alias("step"), happened[j].alias("event_timestamp")),
-            )
-            for j in exists
-        ]
+    structs = ", ".join(
+        f"CASE WHEN {exists} THEN named_struct('step', {step}, 'event_timestamp', {at}) END"
+        for step, (exists, at) in steps.items()
     )
-    expanded = _base(orders, profile).select("k", F.inline(steps)).filter("step > 0")
-
-    number = _choose(
-        [((step == 2) & hit(250, 60), k * 10 + 1)], k * 10 + step.cast("bigint")
+    expanded = (
+        _base(orders, profile).selectExpr("k", f"inline(array({structs}))").filter("step > 0")
     )
-    lost_key = ((step == 2) & hit(450, 53)) | ((step == 3) & hit(450, 52))
-    return expanded.select(
-        F.concat(F.lit("E"), number.cast("string")).alias("event_id"),
-        _choose(
-            [
-                (step == 6, F.concat(F.lit("X"), k.cast("string"))),
-                (lost_key, None),
-            ],
-            _order_id(k),
-        ).alias("order_id"),
-        _choose(
-            [
-                ((step == 1) & hit(350, 20), None),
-                ((step == 1) & hit(350, 30), F.lit("order_opened")),
-                (step == 2, F.lit(S.PAYMENT_CONFIRMED)),
-                (step.isin(3, 5), F.lit(S.ORDER_SHIPPED)),
-                (step == 4, F.lit(S.ORDER_CANCELLED)),
-            ],
-            F.lit(S.ORDER_CREATED),
-        ).alias("event_type"),
+    return expanded.selectExpr(
+        "'E' || CAST("
+        + _value(profile, "k * 10 + step", ("step = 2 AND k % 250 = 60", "k * 10 + 1"))
+        + " AS STRING) AS event_id",
+        _value(
+            profile,
+            _ORDER_ID,
+            ("step = 6", "'X' || CAST(k AS STRING)"),
+            ("step = 2 AND k % 450 = 53 OR step = 3 AND k % 450 = 52", "NULL"),
+        )
+        + " AS order_id",
+        _value(
+            profile,
+            f"CASE step WHEN 2 THEN '{S.PAYMENT_CONFIRMED}' WHEN 3 THEN '{S.ORDER_SHIPPED}'"
+            f" WHEN 4 THEN '{S.ORDER_CANCELLED}' WHEN 5 THEN '{S.ORDER_SHIPPED}'"
+            f" ELSE '{S.ORDER_CREATED}' END",
+            ("step = 1 AND k % 350 = 20", "NULL"),
+            ("step = 1 AND k % 350 = 30", "'order_opened'"),
+        )
+        + " AS event_type",
         "event_timestamp",
-        _choose(
-            [
-                ((step == 1) & (k % 2 == 0), F.lit("web")),
-                (step == 1, F.lit("mobile")),
-                (step == 6, F.lit("web")),
-            ],
-            F.lit("backend"),
-        ).alias("source_system"),
+        "CASE WHEN step = 6 OR step = 1 AND k % 2 = 0 THEN 'web'"
+        " WHEN step = 1 THEN 'mobile' ELSE 'backend' END AS source_system",
     )
 
 
-def _created_after(seconds: int | Column) -> Column:
-    seconds = F.lit(seconds) if isinstance(seconds, int) else seconds
-    return F.timestamp_add("SECOND", seconds, F.col("created")).cast("string")
-
-
 def raw_tables(orders: DataFrame, profile: str = MESSY) -> dict[str, DataFrame]:
     return {
         S.ORDERS: raw_orders(orders, profile),
@@ -139,44 +122,37 @@ def raw_tables(orders: DataFrame, profile: str = MESSY) -> dict[str, DataFrame]:
     }
 
 
+_ORDER_ID = "'O' || CAST(k + 100000 AS STRING)"
+
+
 def _base(orders: DataFrame, profile: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    hit = _fault(profile, "o_orderkey")
-    offset = ((k * 7) % 1440) * MINUTE + k % 60
-    return orders.select(
-        k.alias("k"),
+    return orders.selectExpr(
+        "o_orderkey AS k",
         "o_custkey",
         "o_totalprice",
-        F.timestamp_add(
-            "SECOND", offset.cast("int"), F.col("o_orderdate").cast("timestamp_ntz")
-        ).alias("created"),
-        _choose(
-            [
-                (hit(250, 99), F.lit("unknown")),
-                (hit(250, 199), None),
-                ((k % 25).isin(0, 1), F.lit(S.CANCELLED)),
-                ((k % 100).isin(8, 9, 10), F.lit(S.REFUNDED)),
-            ],
-            F.lit(S.COMPLETED),
-        ).alias("status"),
+        "timestampadd(SECOND, o_orderkey * 7 % 1440 * 60 + o_orderkey % 60,"
+        " CAST(o_orderdate AS TIMESTAMP_NTZ)) AS created",
+        _value(
+            profile,
+            f"CASE WHEN o_orderkey % 25 IN (0, 1) THEN '{S.CANCELLED}'"
+            f" WHEN o_orderkey % 100 IN (8, 9, 10) THEN '{S.REFUNDED}'"
+            f" ELSE '{S.COMPLETED}' END",
+            ("o_orderkey % 250 = 99", "'unknown'"),
+            ("o_orderkey % 250 = 199", "NULL"),
+        )
+        + " AS status",
     )
 
 
-def _fault(profile: str, key: str = "k"):
-    """Test for the rows a fault hits: key modulo m equals r, never in a clean profile."""
+def _value(profile: str, regular: str, *faults: tuple[str, str]) -> str:
+    """The regular value; in the messy profile the first fault that applies replaces it."""
     if profile not in (CLEAN, MESSY):
         raise ValueError(f"unknown profile: {profile}")
-    return lambda m, r: (F.col(key) % m == r) if profile == MESSY else F.lit(False)
-
-
-def _choose(cases: list[tuple[Column, Column | None]], default: Column) -> Column:
-    """The value of the first case that holds, else the default."""
-    return reduce(
-        lambda rest, case: F.when(case[0], case[1]).otherwise(rest),
-        reversed(cases),
-        default,
-    )
+    if profile == CLEAN:
+        return regular
+    cases = " ".join(f"WHEN {condition} THEN {value}" for condition, value in faults)
+    return f"CASE {cases} ELSE {regular} END"
 
 
-def _order_id(k: Column) -> Column:
-    return F.concat(F.lit("O"), (k + 100000).cast("string"))
+def _after(seconds: str) -> str:
+    return f"CAST(timestampadd(SECOND, {seconds}, created) AS STRING)"
