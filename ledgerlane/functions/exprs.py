@@ -63,15 +63,21 @@ def minute_boundaries(start: Column, end: Column) -> Column:
 
 
 def parse_instant(text: Column) -> Column:
-    """Timestamp of an accepted text, NULL for anything else.
+    """Instant of an accepted text, NULL for anything else.
 
     A shape check plus Spark's own cast: the cast rejects impossible dates, the
     shape rejects the short forms the cast would let through.
     """
-    instant = F.coalesce(
-        F.concat(text, F.lit("Z")).try_cast("timestamp"), text.try_cast("timestamp")
-    )
-    return F.when(text.rlike(S.TIMESTAMP_SHAPE), instant)
+    return F.when(
+        text.rlike(S.PLAIN_TIMESTAMP), F.concat(text, F.lit("Z")).try_cast("timestamp")
+    ).when(text.rlike(S.OFFSET_TIMESTAMP), text.try_cast("timestamp"))
+
+
+def parse_wall_time(text: Column) -> Column:
+    """UTC wall clock of an accepted text; plain texts need no detour over an instant."""
+    return F.when(
+        text.rlike(S.PLAIN_TIMESTAMP), text.try_cast("timestamp_ntz")
+    ).when(text.rlike(S.OFFSET_TIMESTAMP), utc_wall_time(text.try_cast("timestamp")))
 
 
 def utc_wall_time(instant: Column) -> Column:
@@ -87,6 +93,13 @@ def lenient_instant(df: DataFrame, column: str) -> Column:
     return strict_instant(df, column)
 
 
+def lenient_wall_time(df: DataFrame, column: str) -> Column:
+    """UTC wall clock of a text or timestamp column; texts that do not parse become NULL."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return parse_wall_time(F.col(column))
+    return utc_timestamp(df, column)
+
+
 def strict_instant(df: DataFrame, column: str) -> Column:
     """Instant of a text or timestamp column; a bad text fails the query."""
     kind = df.schema[column].dataType

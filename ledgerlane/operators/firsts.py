@@ -24,16 +24,13 @@ def first_rows(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataF
     )
 
 
-def key_cells(columns: Sequence[str]) -> Column:
-    """Key columns as one comparable value in which missing cells come last."""
-    return F.array(
-        *[
-            F.struct(
-                F.col(c).isNull().alias("missing"), F.col(c).cast("string").alias("cell")
-            )
-            for c in columns
-        ]
+def key_cells(columns: Sequence[str]) -> str:
+    """SQL text: key columns as one comparable value in which missing cells come last."""
+    cells = ", ".join(
+        f"named_struct('missing', `{c}` IS NULL, 'cell', CAST(`{c}` AS STRING))"
+        for c in columns
     )
+    return f"array({cells})"
 
 
 def first_keys(df: DataFrame, group: str, cells: str, n: int = 5) -> DataFrame:
@@ -54,7 +51,7 @@ def first_keys(df: DataFrame, group: str, cells: str, n: int = 5) -> DataFrame:
 
 def sample_keys(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:
     """The sample-key text of a whole frame, one row; an empty text for an empty frame."""
-    tagged = df.select(F.lit(0).alias("whole"), key_cells(columns).alias("cells"))
+    tagged = df.selectExpr("0 AS whole", f"{key_cells(columns)} AS cells")
     return first_keys(tagged, "whole", "cells", n).agg(
         F.coalesce(F.max("sample_keys"), F.lit("")).alias("sample_keys")
     )

@@ -9,6 +9,7 @@ the other side has one row per key, so the broadcast part is at most MAX_HOT_KEY
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +32,9 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan."""
+    """Catalyst's size estimate of the optimized plan; without one, more than any limit."""
+    if not hasattr(df, "_jdf"):
+        return sys.maxsize
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
 
@@ -113,3 +116,8 @@ def with_nullable_key(df: DataFrame, column: str) -> DataFrame:
             KEY_MISSING: F.col(column).isNull(),
         }
     )
+
+
+def nullable_key() -> Column:
+    """The key text behind the stand-in columns, NULL where it is missing."""
+    return F.when(~F.col(KEY_MISSING), F.col(KEY_VALUE))

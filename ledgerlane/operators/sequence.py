@@ -28,11 +28,9 @@ def events_before_orders(
     """
     created = orders.select(
         "order_id",
-        X.utc_wall_time(X.lenient_instant(orders, "order_created_at")).alias("moment"),
-    )
-    dated = events.withColumn(
-        "moment", X.utc_wall_time(X.lenient_instant(events, "event_timestamp"))
+        X.lenient_wall_time(orders, "order_created_at").alias("moment"),
     )
+    dated = events.withColumn("moment", X.lenient_wall_time(events, "event_timestamp"))
     if hot is None:
         hot = hot_keys(
             orders.select("order_id").unionAll(events.select("order_id")), ["order_id"]
@@ -90,25 +88,27 @@ def orders_after(orders: DataFrame, points: DataFrame) -> DataFrame:
     many rows a key has.
     """
     second, day = [*NULLABLE_KEY, "second"], [*NULLABLE_KEY, "day"]
+    # All levels carry both sums, so that they read one and the same shuffle of moments.
+    sums = (F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    was_asked = F.col("asked") == 1
     moments = (
         orders.select(*POINT, F.lit(1).alias("n"), F.lit(0).alias("asked"))
         .unionByName(points.select(*POINT, F.lit(0).alias("n"), F.lit(1).alias("asked")))
         .groupBy(*POINT)
-        .agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+        .agg(*sums)
         .withColumn("second", F.date_trunc("SECOND", "moment"))
     )
-    seconds = (
-        moments.groupBy(*second)
-        .agg(F.sum("n").alias("n"))
-        .withColumn("day", F.to_date("second"))
-    )
+    seconds = moments.groupBy(*second).agg(*sums).withColumn("day", F.to_date("second"))
     days = (
         seconds.groupBy(*day)
-        .agg(F.sum("n").alias("n"))
-        .select(*day, _later(NULLABLE_KEY, "day").alias("in_later_days"))
+        .agg(*sums)
+        .withColumn("in_later_days", _later(NULLABLE_KEY, "day"))
+        .filter(was_asked)
+        .drop("n", "asked")
     )
     seconds = (
         seconds.withColumn("in_later_seconds", _later(day, "second"))
+        .filter(was_asked)
         .join(days, day)
         .select(
             *second,
@@ -117,7 +117,7 @@ def orders_after(orders: DataFrame, points: DataFrame) -> DataFrame:
     )
     return (
         moments.withColumn("in_second", _later(second, "moment"))
-        .filter(F.col("asked") == 1)
+        .filter(was_asked)
         .join(seconds, second)
         .select(
             *POINT, (F.col("in_second") + F.col("after_second")).alias("later_orders")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlane import schemas as S
 from ledgerlane.functions import exprs as X
 from ledgerlane.operators.lookup import lookup_join
-from ledgerlane.sources.readers import typed_timestamps
+from ledgerlane.sources.readers import wall_times
 
 
 def stg_orders(raw: DataFrame) -> DataFrame:
@@ -103,8 +103,8 @@ def fct_daily_revenue(orders: DataFrame) -> DataFrame:
 
 def build_models(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """All five models, lazily, from raw tables whose timestamps may still be text."""
-    orders = stg_orders(typed_timestamps(raw[S.ORDERS], "order_created_at"))
-    events = stg_order_events(typed_timestamps(raw[S.ORDER_EVENTS], "event_timestamp"))
+    orders = stg_orders(wall_times(raw[S.ORDERS], "order_created_at"))
+    events = stg_order_events(wall_times(raw[S.ORDER_EVENTS], "event_timestamp"))
     summary = int_order_event_summary(events)
     facts = fct_orders(orders, summary)
     return {

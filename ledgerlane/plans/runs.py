@@ -37,10 +37,11 @@ def ingest(
         f"{reports_path}/failed_samples",
     )
     report, samples = run_quality_checks(tables, rules)
-    # Both have a bounded number of rows (one, or 50, per rule): a single file each.
-    report.coalesce(1).write.mode("overwrite").parquet(f"{report_path}.parquet")
-    samples.coalesce(1).write.mode("overwrite").parquet(f"{samples_path}.parquet")
-    report = spark.read.parquet(f"{report_path}.parquet")
+    # Both have a bounded number of rows (one, or 50, per rule): a single file each,
+    # by a last small shuffle that leaves the stages before it parallel.
+    report.repartition(1).write.mode("overwrite").parquet(f"{report_path}.parquet")
+    samples.repartition(1).write.mode("overwrite").parquet(f"{samples_path}.parquet")
+    report = spark.read.parquet(f"{report_path}.parquet").orderBy("rule_id")
     samples = spark.read.parquet(f"{samples_path}.parquet")
     write_csv(report, f"{report_path}.csv", files=1)
     write_csv(samples, f"{samples_path}.csv", files=1)

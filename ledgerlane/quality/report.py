@@ -59,25 +59,14 @@ def quality_report(
     rules = tuple(rules or standard_rules())
     counts = measure(tables, rules) if counts is None else counts
     spark = next(iter(tables.values())).sparkSession
-    report = spark.range(1).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("position"),
-                        F.lit(r.rule_id).alias("rule_id"),
-                        F.lit(r.rule_name).alias("rule_name"),
-                        F.lit(r.table_name).alias("table_name"),
-                        F.lit(r.severity).alias("severity"),
-                        F.lit(counts[r.rule_id][0]).cast("bigint").alias("failed_rows"),
-                        F.lit(counts[r.rule_id][1]).cast("bigint").alias("total_rows"),
-                    )
-                    for i, r in enumerate(rules)
-                ]
-            )
-        )
-    )
-    report = report.withColumn(
+    report = spark.createDataFrame(
+        [
+            (i, r.rule_id, r.rule_name, r.table_name, r.severity, *counts[r.rule_id])
+            for i, r in enumerate(rules)
+        ],
+        "position int, rule_id string, rule_name string, table_name string,"
+        " severity string, failed_rows bigint, total_rows bigint",
+    ).withColumn(
         "failure_rate", X.ratio_or_zero(F.col("failed_rows"), F.col("total_rows"))
     )
     failing = _failing(rules, counts)
@@ -113,13 +102,11 @@ def count_failures(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
         shares.append(_relation_shares(tables, relations))
     for rule in rules:
         if isinstance(rule.check, R.EventBeforeOrder):
-            pairs = F.sum("later_orders")
-            shares.append(
-                _shares(rule.violations(tables), [(rule, pairs, F.lit(0))])
-            )
+            pairs = {rule: F.sum("later_orders")}
+            shares.append(_shares(rule.violations(tables), pairs))
         elif isinstance(rule.check, R.DuplicateCheck) and rule not in relations:
             repeated = rule.check.repeated(tables, rule.table_name)
-            shares.append(_shares(repeated, [(rule, F.sum("rows"), F.lit(0))]))
+            shares.append(_shares(repeated, {rule: F.sum("rows")}))
     return (
         reduce(DataFrame.unionByName, shares)
         .groupBy("rule_id")
@@ -163,11 +150,10 @@ def failed_samples(
         fields = [T.StructField(c, k) for c, k in kind.items()]
         return spark.createDataFrame([], T.StructType(fields))
 
-    def shown(rule: Rule, df: DataFrame) -> dict[str, Column]:
+    def shown(rule: Rule, df: DataFrame) -> dict[str, str]:
         return {
-            c: F.col(c).cast(kinds.get(c, T.StringType()))
-            if c in rule.sample_columns
-            else F.lit(None).cast(kinds.get(c, T.StringType()))
+            c: f"CAST({f'`{c}`' if c in rule.sample_columns else 'NULL'} AS "
+            f"{kinds.get(c, T.StringType()).simpleString()})"
             for c in columns
         }
 
@@ -183,6 +169,8 @@ def failed_samples(
 def _violating_rows(tables, rules, columns, limited_to: int | None = None):
     """Per pass, the violating rows with rule_id and the columns ``columns(rule, df)`` names.
 
+    With ``limited_to`` enough rows for that many samples, else enough for all keys.
+
     All row predicates of one table are tried in one scan: a row is repeated once for
     each rule it breaks.
     """
@@ -194,43 +182,34 @@ def _violating_rows(tables, rules, columns, limited_to: int | None = None):
             if r.table_name == table and isinstance(r.check, R.RowCheck)
         ]
         if row_rules:
-            broken = F.array(
-                *[
-                    F.when(
-                        r.check.predicate(df),
-                        F.struct(
-                            F.lit(r.rule_id).alias("rule_id"),
-                            *[c.alias(n) for n, c in columns(r, df).items()],
-                        ),
-                    )
-                    for r in row_rules
-                ]
-            )
-            yield df.select(F.explode(broken).alias("v")).filter(
-                F.col("v").isNotNull()
-            ).select("v.*")
+            broken = []
+            for rule in row_rules:
+                fields = ", ".join(f"{c} AS `{n}`" for n, c in columns(rule, df).items())
+                row = F.expr(f"struct('{rule.rule_id}' AS rule_id, {fields})")
+                broken.append(F.when(rule.check.predicate(df), row))
+            yield df.select(F.inline(F.array(*broken))).filter("rule_id IS NOT NULL")
     for rule in rules:
         if isinstance(rule.check, R.RowCheck):
             continue
         if limited_to is None:
-            rows = rule.violations(tables)
+            rows = rule.check.key_rows(tables, rule.table_name)
         else:
             rows = rule.check.sample_rows(tables, rule.table_name, limited_to)
-        yield rows.select(
-            F.lit(rule.rule_id).alias("rule_id"),
-            *[c.alias(n) for n, c in columns(rule, rows).items()],
+        yield rows.selectExpr(
+            f"'{rule.rule_id}' AS rule_id",
+            *[f"{c} AS `{n}`" for n, c in columns(rule, rows).items()],
         )
 
 
 def _scan_shares(tables: Tables, table: str, rules: Sequence[Rule]) -> DataFrame:
     """One scan of a table: every rule's row total, and the failures of row predicates."""
     df = tables[table]
-    measures = []
-    for rule in rules:
-        is_row = isinstance(rule.check, R.RowCheck)
-        failed = F.count_if(rule.check.predicate(df)) if is_row else F.lit(0)
-        measures.append((rule, failed, F.count_if(F.expr(rule.check.population))))
-    return _shares(df, measures)
+    failed = {
+        rule: F.count_if(rule.check.predicate(df))
+        for rule in rules
+        if isinstance(rule.check, R.RowCheck)
+    }
+    return _shares(df, failed, totals=rules)
 
 
 def _relation_shares(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
@@ -275,9 +254,7 @@ def _relation_shares(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
         counted = "n_orders" if table == S.ORDERS else "n_events"
         return total(F.col(counted) > 1, counted)
 
-    return _shares(
-        both, [(r, failures(r.check, r.table_name), F.lit(0)) for r in rules]
-    )
+    return _shares(both, {r: failures(r.check, r.table_name) for r in rules})
 
 
 def _is_order_key_duplicate(rule: Rule) -> bool:
@@ -285,28 +262,24 @@ def _is_order_key_duplicate(rule: Rule) -> bool:
 
 
 def _shares(
-    df: DataFrame, measures: Sequence[tuple[Rule, Column, Column]]
+    df: DataFrame, failed: dict[Rule, Column], totals: Sequence[Rule] = ()
 ) -> DataFrame:
     """Aggregate once, then one row (rule_id, failed, total) per rule."""
-
-    def number(column: Column) -> Column:
-        return F.coalesce(column, F.lit(0)).cast("bigint")
-
+    populations = list(dict.fromkeys(r.check.population for r in totals))
     sums = df.agg(
-        *[number(f).alias(f"failed_{r.rule_id}") for r, f, _ in measures],
-        *[number(t).alias(f"total_{r.rule_id}") for r, _, t in measures],
+        *[c.alias(f"failed_{r.rule_id}") for r, c in failed.items()],
+        *[F.expr(f"count_if({p})").alias(f"total_{i}") for i, p in enumerate(populations)],
     )
-    return sums.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(r.rule_id).alias("rule_id"),
-                        F.col(f"failed_{r.rule_id}").alias("failed"),
-                        F.col(f"total_{r.rule_id}").alias("total"),
-                    )
-                    for r, _, _ in measures
-                ]
-            )
+    rows = []
+    for rule in dict.fromkeys([*failed, *totals]):
+        n_failed = f"failed_{rule.rule_id}" if rule in failed else "0"
+        n_total = (
+            f"total_{populations.index(rule.check.population)}" if rule in totals else "0"
+        )
+        rows.append(
+            f"'{rule.rule_id}', CAST(coalesce({n_failed}, 0) AS BIGINT),"
+            f" CAST({n_total} AS BIGINT)"
         )
+    return sums.selectExpr(
+        f"stack({len(rows)}, {', '.join(rows)}) AS (rule_id, failed, total)"
     )

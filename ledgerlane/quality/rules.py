@@ -17,6 +17,7 @@ from ledgerlane.functions import exprs as X
 from ledgerlane.operators.lookup import (
     NULLABLE_KEY,
     lookup_join,
+    nullable_key,
     with_nullable_key,
 )
 from ledgerlane.operators.sequence import events_before_orders
@@ -40,6 +41,10 @@ class Check:
         """Rows from which the first ``n`` violating rows are taken."""
         return self.violations(tables, table)
 
+    def key_rows(self, tables: Tables, table: str) -> DataFrame:
+        """Rows holding every key of a violating row at least once."""
+        return self.violations(tables, table)
+
 
 @dataclass(frozen=True)
 class RowCheck(Check):
@@ -70,6 +75,10 @@ class DuplicateCheck(Check):
             *tables[table].columns
         )
 
+    def key_rows(self, tables: Tables, table: str) -> DataFrame:
+        repeated = self.repeated(tables, table)
+        return repeated.select(nullable_key().alias(self.column))
+
 
 @dataclass(frozen=True)
 class OrdersWithoutEvents(Check):
@@ -79,6 +88,12 @@ class OrdersWithoutEvents(Check):
         keys = tables[S.ORDER_EVENTS].select("order_id").distinct()
         return lookup_join(tables[S.ORDERS], keys, ["order_id"], "left_anti")
 
+    def key_rows(self, tables: Tables, table: str) -> DataFrame:
+        # Both sides hold a key once: nothing can be hot.
+        orders = tables[S.ORDERS].select("order_id").distinct()
+        keys = tables[S.ORDER_EVENTS].select("order_id").distinct()
+        return lookup_join(orders, keys, ["order_id"], "left_anti", hot=[])
+
 
 @dataclass(frozen=True)
 class EventsWithoutOrders(Check):
@@ -99,15 +114,32 @@ class CompletedWithoutPayment(Check):
     """
 
     def violations(self, tables: Tables, table: str) -> DataFrame:
-        completed = tables[S.ORDERS].filter(F.col("order_status") == S.COMPLETED)
-        payments = tables[S.ORDER_EVENTS].filter(
-            F.col("event_type") == S.PAYMENT_CONFIRMED
-        )
-        paid = with_nullable_key(payments, "order_id").select(*NULLABLE_KEY).distinct()
-        keyed = with_nullable_key(completed, "order_id")
-        unpaid = lookup_join(keyed, paid, NULLABLE_KEY, "left_anti")
+        completed, paid = self._sides(tables)
+        unpaid = lookup_join(completed, paid.distinct(), NULLABLE_KEY, "left_anti")
         return unpaid.select("order_id")
 
+    def key_rows(self, tables: Tables, table: str) -> DataFrame:
+        completed, paid = self._sides(tables)
+        unpaid = lookup_join(
+            completed.select(*NULLABLE_KEY).distinct(),
+            paid.distinct(),
+            NULLABLE_KEY,
+            "left_anti",
+            hot=[],
+        )
+        return unpaid.select(nullable_key().alias("order_id"))
+
+    @staticmethod
+    def _sides(tables: Tables) -> tuple[DataFrame, DataFrame]:
+        done = F.col("order_status") == S.COMPLETED
+        payment = F.col("event_type") == S.PAYMENT_CONFIRMED
+        completed = tables[S.ORDERS].filter(done).select("order_id")
+        payments = tables[S.ORDER_EVENTS].filter(payment).select("order_id")
+        return (
+            with_nullable_key(completed, "order_id"),
+            with_nullable_key(payments, "order_id").select(*NULLABLE_KEY),
+        )
+
 
 @dataclass(frozen=True)
 class EventBeforeOrder(Check):

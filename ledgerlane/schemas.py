@@ -51,9 +51,11 @@ MISSING_TOKENS = (
 # How a missing key cell is shown inside a text of sample keys.
 MISSING_KEY_TEXT = "nan"
 
-# Accepted timestamp text: yyyy-MM-dd HH:mm:ss[.ffffff][offset]; no offset means UTC.
-TIMESTAMP_SHAPE = (
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?$"
+# Accepted timestamp texts: yyyy-MM-dd HH:mm:ss[.ffffff], with or without a UTC offset.
+# Without one the time is UTC.
+PLAIN_TIMESTAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
+OFFSET_TIMESTAMP = (
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 )
 
 RAW_ORDERS = T.StructType(

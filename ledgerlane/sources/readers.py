@@ -56,6 +56,11 @@ def typed_timestamps(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: X.lenient_instant(df, c) for c in columns})
 
 
+def wall_times(df: DataFrame, *columns: str) -> DataFrame:
+    """As ``typed_timestamps``, but zone-less UTC times, for models built without storing."""
+    return df.withColumns({c: X.lenient_wall_time(df, c) for c in columns})
+
+
 def _present(column: Column) -> Column:
     return F.when(~column.isin(*S.MISSING_TOKENS), column)
 

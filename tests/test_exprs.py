@@ -40,6 +40,8 @@ def test_text_to_utc_wall_time_in_any_session_zone(spark, text, expected, zone):
     try:
         column = X.utc_wall_time(X.parse_instant(F.lit(text).cast("string")))
         assert value(spark, column) == expected
+        direct = X.parse_wall_time(F.lit(text).cast("string"))
+        assert value(spark, direct) == expected
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
