@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,7 +86,7 @@ def analyse(
             answer = insight.query(warehouse.table(insight.table))
             warehouse.append(insight.name, stamp(answer, context))
             outcome.append((insight.name, insight.title, "ok", None))
-        except PySparkException as error:
+        except Exception as error:  # whatever it is, the others still run
             outcome.append((insight.name, insight.title, "error", str(error)))
     return warehouse.spark.createDataFrame(
         outcome, "insight string, title string, status string, error string"

@@ -185,7 +185,7 @@ def _violating_rows(tables, rules, columns, limited_to: int | None = None):
             broken = []
             for rule in row_rules:
                 fields = ", ".join(f"{c} AS `{n}`" for n, c in columns(rule, df).items())
-                row = F.expr(f"struct('{rule.rule_id}' AS rule_id, {fields})")
+                row = F.expr(f"struct({_sql_text(rule.rule_id)} AS rule_id, {fields})")
                 broken.append(F.when(rule.check.predicate(df), row))
             yield df.select(F.inline(F.array(*broken))).filter("rule_id IS NOT NULL")
     for rule in rules:
@@ -196,7 +196,7 @@ def _violating_rows(tables, rules, columns, limited_to: int | None = None):
         else:
             rows = rule.check.sample_rows(tables, rule.table_name, limited_to)
         yield rows.selectExpr(
-            f"'{rule.rule_id}' AS rule_id",
+            f"{_sql_text(rule.rule_id)} AS rule_id",
             *[f"{c} AS `{n}`" for n, c in columns(rule, rows).items()],
         )
 
@@ -258,26 +258,36 @@ def _relation_shares(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
 
 
 def _is_order_key_duplicate(rule: Rule) -> bool:
-    return isinstance(rule.check, R.DuplicateCheck) and rule.check.column == "order_id"
+    return (
+        isinstance(rule.check, R.DuplicateCheck)
+        and rule.check.column == "order_id"
+        and rule.table_name in (S.ORDERS, S.ORDER_EVENTS)
+    )
+
+
+def _sql_text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def _shares(
     df: DataFrame, failed: dict[Rule, Column], totals: Sequence[Rule] = ()
 ) -> DataFrame:
     """Aggregate once, then one row (rule_id, failed, total) per rule."""
+    rules = list(dict.fromkeys([*failed, *totals]))
     populations = list(dict.fromkeys(r.check.population for r in totals))
     sums = df.agg(
-        *[c.alias(f"failed_{r.rule_id}") for r, c in failed.items()],
+        *[c.alias(f"failed_{rules.index(r)}") for r, c in failed.items()],
         *[F.expr(f"count_if({p})").alias(f"total_{i}") for i, p in enumerate(populations)],
     )
     rows = []
-    for rule in dict.fromkeys([*failed, *totals]):
-        n_failed = f"failed_{rule.rule_id}" if rule in failed else "0"
+    for i, rule in enumerate(rules):
+        n_failed = f"failed_{i}" if rule in failed else "0"
         n_total = (
             f"total_{populations.index(rule.check.population)}" if rule in totals else "0"
         )
         rows.append(
-            f"'{rule.rule_id}', CAST(coalesce({n_failed}, 0) AS BIGINT),"
+            f"{_sql_text(rule.rule_id)}, CAST(coalesce({n_failed}, 0) AS BIGINT),"
             f" CAST({n_total} AS BIGINT)"
         )
     return sums.selectExpr(

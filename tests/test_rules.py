@@ -167,6 +167,23 @@ def test_own_rules_on_own_tables(spark):
     assert {"shop_id", "state"} <= set(samples.columns)
 
 
+def test_rule_names_are_free_and_other_tables_may_have_order_keys(tables, spark):
+    raw = tables([order("1")], [event("a", "1")])
+    raw["returns"] = spark.createDataFrame([("1",), ("1",), ("2",)], "order_id string")
+    rules = (
+        R.orders_without_events("it's -1-", S.WARNING, ["order_id"]),
+        R.duplicate_pk("returns", "order_id", "twice\\", S.WARNING, ["order_id"]),
+        R.not_null("returns", ["order_id"], "a b", S.WARNING, ["order_id"]),
+    )
+    report, samples = Q.run_quality_checks(raw, rules)
+    assert [(r.rule_id, r.failed_rows, r.total_rows) for r in report.collect()] == [
+        ("it's -1-", 0, 1),
+        ("twice\\", 2, 3),
+        ("a b", 0, 3),
+    ]
+    assert [r.rule_id for r in samples.collect()] == ["twice\\"] * 2
+
+
 @pytest.mark.parametrize("rule_id", list(RULES))
 def test_hot_keys_do_not_change_a_rule(spark, raw_by_profile, monkeypatch, rule_id):
     """With every repeated key isolated, the rules list the same rows."""
