@@ -243,8 +243,8 @@ _INSIGHTS = {
 }
 
 _METRICS = f"""
-    SELECT completed_orders, round(c, 4) AS completed_revenue, paid_orders,
-        round(p, 4) AS paid_revenue, round(c - p, 4) AS revenue_gap,
+    SELECT completed_orders, round(c, 2) AS completed_revenue, paid_orders,
+        round(p, 2) AS paid_revenue, round(c - p, 2) AS revenue_gap,
         round(CASE WHEN c = 0 THEN 0.0 ELSE (c - p) / c * 100.0 END, 4)
             AS revenue_gap_pct,
         missing_payment_orders, cancelled_with_shipment_orders,
@@ -267,7 +267,7 @@ _VALIDATIONS = {
         SELECT *, 'run-1' AS run_id, 'messy' AS dq_profile, CAST(0 AS BIGINT) AS n,
             CAST(42 AS BIGINT) AS seed, 'dev' AS mode FROM ({_METRICS})""",
     "daily_revenue_ma7": """
-        SELECT order_date, round(revenue_completed, 4) AS revenue_completed,
+        SELECT order_date, round(revenue_completed, 2) AS revenue_completed,
             orders_total, orders_completed,
             round(avg(revenue_completed) OVER (ORDER BY order_date NULLS LAST
                 ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS revenue_ma7
@@ -290,8 +290,8 @@ _VALIDATIONS = {
                 count(*) - count(shipped_event_ts) AS missing_shipped
               FROM fct_orders WHERE {_DONE})""",
     "revenue_definitions": f"""
-        SELECT round(c, 4) AS completed_revenue, round(p, 4) AS paid_revenue,
-            round(c - p, 4) AS gap,
+        SELECT round(c, 2) AS completed_revenue, round(p, 2) AS paid_revenue,
+            round(c - p, 2) AS gap,
             round(CASE WHEN c = 0 THEN 0.0 ELSE (c - p) / c * 100.0 END, 4) AS gap_pct
         FROM (SELECT coalesce({_revenue(_DONE)}, 0.0) AS c,
                 coalesce({_revenue(_PAID)}, 0.0) AS p FROM fct_orders)""",

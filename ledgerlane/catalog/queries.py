@@ -50,13 +50,16 @@ def landed(spark: SparkSession, sf_dir: str, profile: str) -> dict[str, DataFram
     return read_raw(spark, f"{folder}/{S.ORDERS}", f"{folder}/{S.ORDER_EVENTS}", "parquet")
 
 
-def rounded(query: Query, digits: int = 2) -> Query:
-    """Round unrounded sums and means, whose last bits depend on the order of addition."""
+def rounded(query: Query, *finer: str) -> Query:
+    """Round unrounded sums and means, whose last bits depend on the order of addition.
+
+    Money goes to cents, the columns named in ``finer`` to four digits.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = query(spark, sf_dir)
         doubles = [name for name, kind in df.dtypes if kind == "double"]
-        return df.withColumns({c: F.round(c, digits) for c in doubles})
+        return df.withColumns({c: F.round(c, 4 if c in finer else 2) for c in doubles})
 
     return run
 
@@ -183,10 +186,14 @@ def all_queries() -> dict[str, Query]:
     queries["insight_row_counts"] = _insight_row_counts
     for name in ("daily_revenue_bounds", "event_coverage", "completed_missing_events"):
         queries[name] = _insight(validations[name])
-    for name in ("revenue_metrics", "revenue_definitions", "daily_revenue_ma7"):
-        queries[name] = rounded(_insight(validations[name]), 4)
+    for name, finer in (
+        ("revenue_metrics", "revenue_gap_pct"),
+        ("revenue_definitions", "gap_pct"),
+        ("daily_revenue_ma7", "revenue_ma7"),
+    ):
+        queries[name] = rounded(_insight(validations[name]), finer)
     queries["daily_revenue_bounds"] = rounded(queries["daily_revenue_bounds"])
-    queries["revenue_metrics_stamped"] = rounded(_stamped_metrics, 4)
+    queries["revenue_metrics_stamped"] = rounded(_stamped_metrics, "revenue_gap_pct")
     for rule_id in [f"R{i:03d}" for i in range(1, 14)]:
         queries[f"dq_{rule_id.lower()}"] = _rule(rule_id)
     queries |= {
