@@ -26,6 +26,22 @@ def events_before_orders(
     event conflicts. A NULL order_id matches a NULL order_id. Rows whose timestamp is
     missing or does not parse take no part. ``hot`` presets the measured keys.
     """
+    return _conflicts(orders, events, hot, _by_calendar).select(
+        *events.columns, "later_orders"
+    )
+
+
+def conflict_counts(
+    orders: DataFrame, events: DataFrame, hot: list[int] | None = None
+) -> DataFrame:
+    """Numbers, in ``later_orders``, that add up to those of ``events_before_orders``.
+
+    Without the event rows: hot keys are counted per distinct moment.
+    """
+    return _conflicts(orders, events, hot, _per_moment).select("later_orders")
+
+
+def _conflicts(orders, events, hot, of_hot_keys) -> DataFrame:
     created = orders.select(
         "order_id",
         X.lenient_wall_time(orders, "order_created_at").alias("moment"),
@@ -35,14 +51,13 @@ def events_before_orders(
         hot = hot_keys(
             orders.select("order_id").unionAll(events.select("order_id")), ["order_id"]
         )
-    if hot:
-        is_hot = key_hash(["order_id"]).isin(hot)
-        found = _within_key(
-            created.filter(~is_hot), dated.filter(~is_hot)
-        ).unionByName(_by_calendar(created.filter(is_hot), dated.filter(is_hot)))
-    else:
-        found = _within_key(created, dated)
-    return found.select(*events.columns, "later_orders")
+    if not hot:
+        return _within_key(created, dated)
+    is_hot = key_hash(["order_id"]).isin(hot)
+    return _within_key(created.filter(~is_hot), dated.filter(~is_hot)).unionByName(
+        of_hot_keys(created.filter(is_hot), dated.filter(is_hot)),
+        allowMissingColumns=True,
+    )
 
 
 def _within_key(created: DataFrame, dated: DataFrame) -> DataFrame:
@@ -72,16 +87,25 @@ def _within_key(created: DataFrame, dated: DataFrame) -> DataFrame:
 
 def _by_calendar(created: DataFrame, dated: DataFrame) -> DataFrame:
     """For hot keys: orders are ranked by distinct moment, events look their moment up."""
-    dated_only = F.col("moment").isNotNull()
-    created = with_nullable_key(created.filter(dated_only), "order_id")
-    dated = with_nullable_key(dated.filter(dated_only), "order_id")
-    ranks = orders_after(created, dated).filter(F.col("later_orders") > 0)
+    created, dated = _with_points(created), _with_points(dated)
+    ranks = orders_after(created, dated).filter(F.col("later_orders") > 0).drop("asked")
     return lookup_join(dated, ranks, POINT, "inner").drop(*POINT)
 
 
+def _per_moment(created: DataFrame, dated: DataFrame) -> DataFrame:
+    """For hot keys, where only the number of conflicts is wanted."""
+    ranks = orders_after(_with_points(created), _with_points(dated))
+    return ranks.select((F.col("asked") * F.col("later_orders")).alias("later_orders"))
+
+
+def _with_points(df: DataFrame) -> DataFrame:
+    return with_nullable_key(df.filter(F.col("moment").isNotNull()), "order_id")
+
+
 def orders_after(orders: DataFrame, points: DataFrame) -> DataFrame:
     """For each distinct (key, moment) of ``points``: how many ``orders`` are later.
 
+    ``asked`` tells how many rows of ``points`` share the moment.
     Counts descend the calendar: later days, later seconds of the day, later moments of
     the second. Every window runs on pre-aggregated rows, so one window group holds at
     most the days of the calendar, 86,400 seconds or 1,000,000 microseconds, however
@@ -89,8 +113,8 @@ def orders_after(orders: DataFrame, points: DataFrame) -> DataFrame:
     """
     second, day = [*NULLABLE_KEY, "second"], [*NULLABLE_KEY, "day"]
     # All levels carry both sums, so that they read one and the same shuffle of moments.
-    sums = (F.sum("n").alias("n"), F.max("asked").alias("asked"))
-    was_asked = F.col("asked") == 1
+    sums = (F.sum("n").alias("n"), F.sum("asked").alias("asked"))
+    was_asked = F.col("asked") > 0
     moments = (
         orders.select(*POINT, F.lit(1).alias("n"), F.lit(0).alias("asked"))
         .unionByName(points.select(*POINT, F.lit(0).alias("n"), F.lit(1).alias("asked")))
@@ -120,7 +144,9 @@ def orders_after(orders: DataFrame, points: DataFrame) -> DataFrame:
         .filter(was_asked)
         .join(seconds, second)
         .select(
-            *POINT, (F.col("in_second") + F.col("after_second")).alias("later_orders")
+            *POINT,
+            "asked",
+            (F.col("in_second") + F.col("after_second")).alias("later_orders"),
         )
     )
 

@@ -103,7 +103,7 @@ def count_failures(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
     for rule in rules:
         if isinstance(rule.check, R.EventBeforeOrder):
             pairs = {rule: F.sum("later_orders")}
-            shares.append(_shares(rule.violations(tables), pairs))
+            shares.append(_shares(rule.check.pair_counts(tables), pairs))
         elif isinstance(rule.check, R.DuplicateCheck) and rule not in relations:
             repeated = rule.check.repeated(tables, rule.table_name)
             shares.append(_shares(repeated, {rule: F.sum("rows")}))

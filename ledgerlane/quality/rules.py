@@ -20,7 +20,7 @@ from ledgerlane.operators.lookup import (
     nullable_key,
     with_nullable_key,
 )
-from ledgerlane.operators.sequence import events_before_orders
+from ledgerlane.operators.sequence import conflict_counts, events_before_orders
 
 Tables = Mapping[str, DataFrame]
 
@@ -152,6 +152,10 @@ class EventBeforeOrder(Check):
     def violations(self, tables: Tables, table: str) -> DataFrame:
         return events_before_orders(tables[S.ORDERS], tables[S.ORDER_EVENTS])
 
+    def pair_counts(self, tables: Tables) -> DataFrame:
+        """``later_orders`` without the events: the same sum for less."""
+        return conflict_counts(tables[S.ORDERS], tables[S.ORDER_EVENTS])
+
     def sample_rows(self, tables: Tables, table: str, n: int) -> DataFrame:
         found = self.violations(tables, table)
         order = [F.asc_nulls_last(c) for c in S.SAMPLE_COLUMNS if c in found.columns]

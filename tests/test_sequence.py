@@ -9,7 +9,7 @@ import pytest
 
 from ledgerlane import schemas as S
 from ledgerlane.operators import lookup as K
-from ledgerlane.operators.sequence import events_before_orders
+from ledgerlane.operators.sequence import conflict_counts, events_before_orders
 
 TIMES = [
     "2024-01-01 00:00:00",
@@ -73,7 +73,11 @@ def test_counts_equal_the_pairwise_count(spark, tables, seed, hot):
         (r.event_id, r.order_id, r.event_type, r.event_timestamp, r.later_orders)
         for r in result.collect()
     )
-    assert ours == pairwise(orders, events)
+    expected = pairwise(orders, events)
+    assert ours == expected
+    counted = conflict_counts(raw[S.ORDERS], raw[S.ORDER_EVENTS], hot=listed)
+    total = sum(r.later_orders for r in counted.collect())
+    assert total == sum(row[-1] * n for row, n in expected.items())
 
 
 def test_copies_of_one_event_are_kept_and_counted_each(spark, tables):
