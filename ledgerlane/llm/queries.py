@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlane.llm import licenses, secrets
+from ledgerlane.llm import bpe, licenses, privacy, quality, secrets
 from ledgerlane.llm.jobs import ready
 
+#: Folder of the public tokenizer files; never copied into the repository.
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,16 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), privacy.DEMO_KEY))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digest(bpe.encode(docs, tokenizer_path(), form="text", decoded=True))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), path)
+
+
 def all_queries() -> dict[str, Query]:
-    return {"op2_secret_scan": op2_secret_scan, "op9_license_scan": op9_license_scan}
+    return {
+        f.__name__: f
+        for f in (
+            op1_pii_pseudonyms,
+            op2_secret_scan,
+            op4_bpe,
+            op9_license_scan,
+            op10_quality_classifier,
+        )
+    }
 
 
 def all_oracles() -> dict[str, str]:
