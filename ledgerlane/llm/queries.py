@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, licenses, privacy, quality, secrets
+from ledgerlane.llm import bpe, licenses, privacy, quality, secrets, suffixes
 from ledgerlane.llm.jobs import ready
 
 #: Folder of the public tokenizer files; never copied into the repository.
@@ -39,6 +39,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(docs, tokenizer_path(), form="text", decoded=True))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.digest(suffixes.search(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -56,6 +61,7 @@ def all_queries() -> dict[str, Query]:
             op1_pii_pseudonyms,
             op2_secret_scan,
             op4_bpe,
+            op5_decontamination,
             op9_license_scan,
             op10_quality_classifier,
         )
