@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, licenses, privacy, quality, secrets, suffixes
+from ledgerlane.llm import bpe, licenses, ngrams, privacy, quality, secrets, suffixes
 from ledgerlane.llm.jobs import ready
 
 #: Folder of the public tokenizer files; never copied into the repository.
@@ -34,6 +34,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.classes(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digest(bpe.encode(docs, tokenizer_path(), form="text", decoded=True))
@@ -60,6 +64,7 @@ def all_queries() -> dict[str, Query]:
         for f in (
             op1_pii_pseudonyms,
             op2_secret_scan,
+            op3_ngram_jaccard,
             op4_bpe,
             op5_decontamination,
             op9_license_scan,
