@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, covertree, licenses, ngrams, privacy, quality, secrets, suffixes
+from ledgerlane.llm import bpe, covertree, licenses, ngrams, privacy, quality, scoring, secrets, suffixes
 from ledgerlane.llm.jobs import ready
 
 #: Folder of the public tokenizer files; never copied into the repository.
@@ -48,6 +48,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.search(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = covertree.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -72,6 +76,7 @@ def all_queries() -> dict[str, Query]:
             op3_ngram_jaccard,
             op4_bpe,
             op5_decontamination,
+            op6_language_model,
             op8_embedding_duplicates,
             op9_license_scan,
             op10_quality_classifier,
