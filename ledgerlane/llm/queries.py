@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, covertree, licenses, ngrams, privacy, quality, scoring, secrets, suffixes
+from ledgerlane.llm import bpe, covertree, licenses, ngrams, privacy, quality, repeats, scoring, secrets, suffixes
 from ledgerlane.llm.jobs import ready
 
 #: Folder of the public tokenizer files; never copied into the repository.
@@ -52,6 +52,10 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), window=20, kept="sha256")
+
+
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = covertree.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
@@ -77,6 +81,7 @@ def all_queries() -> dict[str, Query]:
             op4_bpe,
             op5_decontamination,
             op6_language_model,
+            op7_substring_dedup,
             op8_embedding_duplicates,
             op9_license_scan,
             op10_quality_classifier,
