@@ -1,4 +1,4 @@
-"""Small helpers shared by the operators: column names, worker imports, shared folder."""
+"""Small helpers shared by the operators: worker imports and the shared folder."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -19,23 +18,19 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def narrow(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, renamed: narrow(df, doc_id="id") selects id as doc_id.
-
-    Names are matched exactly, so other columns of any name never clash with an operator's own.
-    """
-    return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read back.
 
     Cuts the lineage: a lost executor costs no recomputation of what was written, and
     several readers see the same rows. The folder is spark.checkpoint.dir; where none is
-    set (in tests), the warehouse folder of the session.
+    set (in tests), the warehouse folder of the session. It goes with the application.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder.rstrip('/')}/ledgerlane-llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # The folder's file system removes it when the application ends.
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

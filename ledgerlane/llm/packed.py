@@ -14,8 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlane.llm.jobs import stored  # noqa: F401  (re-exported for the operators)
-
 
 def ranges(spark: SparkSession) -> int:
     """As many key ranges as shuffle partitions."""

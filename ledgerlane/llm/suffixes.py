@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.llm import words as W
-from ledgerlane.llm.jobs import ready
+from ledgerlane.llm.jobs import ready, stored
 
 WINDOW = 10
 #: Bytes of test texts per block, on average; what is broadcast at once.
@@ -289,6 +289,9 @@ def search(
         return frame.mapInArrow(run, schema)
 
     for ids, texts in blocks(benchmark, item_key, item_text, block_bytes):
+        if given:
+            # Written between passes, so that a task runs one search at a time.
+            out = stored(out, "suffix-matches")
         out = step(out, spark.sparkContext.broadcast(Items.of(ids, texts)), given)
         given = True
     if not given:
@@ -317,5 +320,4 @@ def digest(found: DataFrame) -> DataFrame:
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("benchmark_match.spans") > 0).alias("contaminated"),
-        F.col("benchmark_match.longest.length").alias("longest"),
     )
