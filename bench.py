@@ -48,7 +48,8 @@ HEADLINES = (
 
 
 def main() -> None:
-    spark = local_session("bench", CPUS)
+    shared = Path(__file__).resolve().parent / "spark-warehouse" / "bench"
+    spark = local_session("bench", CPUS, spark__checkpoint__dir=str(shared))
     queries = all_queries()
     seconds = {}
     for name in HEADLINES:

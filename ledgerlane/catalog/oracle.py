@@ -455,6 +455,25 @@ def _row_counts() -> str:
     )
 
 
+_ISO_TIMES = """SELECT order_id, form, moment FROM (
+    SELECT order_id, CAST(order_created_at AS TIMESTAMP) AS t FROM raw_orders) o,
+    LATERAL (VALUES
+      ('iso', o.t), ('iso_zulu', o.t), ('offset', o.t - INTERVAL 90 MINUTE),
+      ('minutes', date_trunc('minute', o.t)), ('day', CAST(CAST(o.t AS DATE) AS TIMESTAMP)),
+      ('nanoseconds', o.t + to_microseconds(123456))) AS f(form, moment)"""
+
+
+def _appended() -> str:
+    parts = [f"SELECT * FROM ({_tables(messy)} SELECT * FROM raw_orders)" for messy in (False, True)]
+    return " UNION ALL ".join(parts)
+
+
+def _status() -> str:
+    rows = [f"('{name}', 'ok', false)" for name in _INSIGHTS if name.startswith("insight_")]
+    rows.append("('insight_10_broken', 'error', true)")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS s(insight, status, has_error)"
+
+
 def all_oracles() -> dict[str, str]:
     messy = {
         name: f"SELECT * FROM {name}"
@@ -483,6 +502,13 @@ def all_oracles() -> dict[str, str]:
         "csv_roundtrip_orders": "SELECT * FROM raw_orders",
         "csv_roundtrip_order_events": "SELECT * FROM raw_order_events",
         "table_replaced": "SELECT * FROM raw_orders",
+        "catalog_replaced": "SELECT * FROM raw_orders",
+        "raw_orders_view": "SELECT * FROM raw_orders",
+        "fct_orders_hot_keys": "SELECT * FROM fct_orders",
+        **{f"dq_{rule.lower()}_hot_keys": _BAD[rule] for rule in ("R001", "R009", "R013")},
+        "readiness_probe": "SELECT 'written' AS name, true AS ready, count(*) AS n_rows"
+        " FROM raw_orders UNION ALL SELECT 'absent', false, NULL",
+        "analysis_status": _status(),
         "fct_orders_preview": "SELECT * FROM fct_orders"
         " ORDER BY order_id NULLS LAST, customer_id NULLS LAST LIMIT 10",
     }
@@ -494,7 +520,10 @@ def all_oracles() -> dict[str, str]:
         "dq_report_clean": _report(),
         "dq_gate_clean": _gate(),
         "table_kept": "SELECT * FROM raw_orders",
+        "catalog_kept": "SELECT * FROM raw_orders",
+        "dq_failed_samples_clean": _samples(),
+        "raw_orders_iso_times": _ISO_TIMES,
     }
-    return {name: f"{_tables(True)} {sql}" for name, sql in messy.items()} | {
+    return {"table_appended": _appended()} | {name: f"{_tables(True)} {sql}" for name, sql in messy.items()} | {
         name: f"{_tables(False)} {sql}" for name, sql in clean.items()
     }

@@ -6,40 +6,40 @@ The raw tables are derived from the folder's whole ``orders`` table; see
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
+from ledgerlane.functions import exprs as X
 from ledgerlane.operators.firsts import in_order, preview
-from ledgerlane.operators.lookup import SMALL_INPUT_BYTES, estimated_bytes
+from ledgerlane.operators.lookup import measured
 from ledgerlane.plans import insights as I
 from ledgerlane.plans import models as M
+from ledgerlane.plans import runs
 from ledgerlane.quality import report as Q
 from ledgerlane.quality.bindings import standard_rules
 from ledgerlane.quality.gate import gate_decisions
 from ledgerlane.session import shared_folder
 from ledgerlane.sources import lifecycle as L
-from ledgerlane.sources.readers import read_raw
-from ledgerlane.sources.sinks import RunContext, stamp, write_csv, write_files
+from ledgerlane.sources.readers import read_raw, typed_timestamps
+from ledgerlane.sources.sinks import RunContext, Warehouse, stamp, write_csv, write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# One small file is one task; above this size it is worth spreading over all cores.
-WORTH_SPREADING_BYTES = 1024 * 1024
+# Rows a key may have before the queries named *_hot_keys treat it as hot.
+LOW_HOT_ROWS = 3
 
 
-def load_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The orders table. Tables of ordinary size come in many splits and are left alone."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    if WORTH_SPREADING_BYTES < estimated_bytes(orders) < SMALL_INPUT_BYTES:
-        return orders.repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
-    return orders
+def raw(spark: SparkSession, sf_dir: str, profile: str) -> dict[str, DataFrame]:
+    return L.raw_tables(spark.read.parquet(f"{sf_dir}/orders.parquet"), profile)
 
 
-def raw(spark: SparkSession, sf_dir: str, profile: str) -> dict[str, DataFrame]:
-    return L.raw_tables(load_orders(spark, sf_dir), profile)
+def with_hot_keys(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The messy tables, measured with a limit that makes many keys hot."""
+    return measured(raw(spark, sf_dir, L.MESSY), S.KEY_COLUMNS, LOW_HOT_ROWS)
 
 
 def landed(spark: SparkSession, sf_dir: str, profile: str) -> dict[str, DataFrame]:
@@ -85,12 +85,29 @@ def _rule(rule_id: str) -> Query:
     return run
 
 
+def _hot_rule(rule_id: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rule = next(r for r in standard_rules() if r.rule_id == rule_id)
+        return rule.violations(with_hot_keys(spark, sf_dir))
+
+    return run
+
+
+def _hot_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.build_models(with_hot_keys(spark, sf_dir))["fct_orders"]
+
+
 def _report(profile: str) -> Query:
     return lambda spark, sf_dir: Q.quality_report(landed(spark, sf_dir, profile))
 
 
-def _failed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.failed_samples(landed(spark, sf_dir, L.MESSY))
+def _failed_samples(profile: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = landed(spark, sf_dir, profile)
+        rules = standard_rules()
+        return Q.run_quality_checks(tables, rules)[1] if profile == L.CLEAN else Q.failed_samples(tables, rules)
+
+    return run
 
 
 def _sample_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +157,74 @@ def _second_write(overwrite: bool) -> Query:
     return run
 
 
+def _catalog_write(how: str) -> Query:
+    """Clean orders, then messy ones, to one catalog table: replaced, kept or appended to."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        warehouse = Warehouse(spark)
+        table = f"orders_{uuid.uuid4().hex}"
+        warehouse.write(table, raw(spark, sf_dir, L.CLEAN)[S.ORDERS])
+        messy = raw(spark, sf_dir, L.MESSY)[S.ORDERS]
+        if how == "append":
+            warehouse.append(table, messy)
+        else:
+            warehouse.write(table, messy, overwrite=how == "replace")
+        return warehouse.table(table)
+
+    return run
+
+
+def _readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of two tables a step would find: one written from the orders, one never written."""
+    warehouse = Warehouse(spark)
+    there = f"probe_{uuid.uuid4().hex}"
+    warehouse.write(there, raw(spark, sf_dir, L.MESSY)[S.ORDERS].select("order_id"))
+    rows = [("written", warehouse.exists(there)), ("absent", warehouse.exists(f"{there}_not"))]
+    found = spark.createDataFrame(rows, "name string, ready boolean")
+    counted = warehouse.table(there).agg(F.count("*").alias("n_rows"))
+    return found.join(counted.withColumn("name", F.lit("written")), "name", "left")
+
+
+def _analysis_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of every insight of a run in which one more fails."""
+    database = f"run_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    warehouse = Warehouse(spark, database)
+    for name, df in raw(spark, sf_dir, L.MESSY).items():
+        moment = "order_created_at" if name == S.ORDERS else "event_timestamp"
+        warehouse.write(f"raw_{name}", typed_timestamps(df, moment))
+    runs.transform(warehouse)
+    broken = I.Insight("insight_10_broken", "Fails", "fct_orders", lambda df: df.select("no_such_column"))
+    status = runs.analyse(warehouse, RunContext(L.MESSY, 0, 42, S.DEV), (*I.INSIGHTS, broken))
+    # The status rows are values already; what the run wrote is not needed any more.
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return status.select("insight", "status", F.col("error").isNotNull().alias("has_error"))
+
+
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"orders_view_{uuid.uuid4().hex}"
+    raw(spark, sf_dir, L.MESSY)[S.ORDERS].createOrReplaceTempView(name)
+    return spark.table(name)
+
+
+def _iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order times in each accepted text form, read back as one wall time."""
+    orders = raw(spark, sf_dir, L.CLEAN)[S.ORDERS]
+    text = F.col("order_created_at")
+    forms = {
+        "iso": F.replace(text, F.lit(" "), F.lit("T")),
+        "iso_zulu": F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z")),
+        "offset": F.concat(text, F.lit("+0130")),
+        "minutes": F.substring(text, 1, 16),
+        "day": F.substring(text, 1, 10),
+        "nanoseconds": F.concat(text, F.lit(".123456789")),
+    }
+    rows = orders.select(
+        "order_id", F.inline(F.array(*[F.struct(F.lit(k).alias("form"), v.alias("text")) for k, v in forms.items()]))
+    )
+    return rows.select("order_id", "form", X.lenient_wall_time(rows, "text").alias("moment"))
+
+
 def _first_ten_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = _model("fct_orders")(spark, sf_dir)
     rows, _ = preview(facts.orderBy(*in_order(["order_id", "customer_id"])))
@@ -201,7 +286,19 @@ def all_queries() -> dict[str, Query]:
         "dq_sample_keys": _sample_keys,
         "dq_report": _report(L.MESSY),
         "dq_report_clean": _report(L.CLEAN),
-        "dq_failed_samples": _failed_samples,
+        "dq_failed_samples": _failed_samples(L.MESSY),
+        "dq_failed_samples_clean": _failed_samples(L.CLEAN),
+        "fct_orders_hot_keys": _hot_facts,
+        "dq_r001_hot_keys": _hot_rule("R001"),
+        "dq_r009_hot_keys": _hot_rule("R009"),
+        "dq_r013_hot_keys": _hot_rule("R013"),
+        "table_appended": _catalog_write("append"),
+        "catalog_replaced": _catalog_write("replace"),
+        "catalog_kept": _catalog_write("keep"),
+        "readiness_probe": _readiness,
+        "analysis_status": _analysis_status,
+        "raw_orders_view": _view,
+        "raw_orders_iso_times": _iso_times,
         "dq_gate": _gate(L.MESSY),
         "dq_gate_clean": _gate(L.CLEAN),
         "csv_roundtrip_orders": _csv_roundtrip(S.ORDERS),

@@ -62,22 +62,35 @@ def minute_boundaries(start: Column, end: Column) -> Column:
     )
 
 
+def _plain_form(text: Column) -> Column:
+    """An accepted text in the one form that Spark's casts read: microseconds, +hh:mm, no blank before it."""
+    full = F.regexp_replace(text, r"^(.{10}[ T]\d{2}:\d{2})(?=$|[ Z+-])", "$1:00")
+    short = F.regexp_replace(full, r"(\.\d{6})\d{1,3}", "$1")
+    close = F.regexp_replace(short, r"(:\d{2}(?:\.\d+)?) (Z|[+-])", "$1$2")
+    colon = F.regexp_replace(close, r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
+    return F.regexp_replace(colon, r"(:\d{2}(?:\.\d+)?[+-]\d{2})$", "$1:00")
+
+
 def parse_instant(text: Column) -> Column:
     """Instant of an accepted text, NULL for anything else.
 
     A shape check plus Spark's own cast: the cast rejects impossible dates, the
     shape rejects the short forms the cast would let through.
     """
+    plain = _plain_form(text)
+    # A day alone takes no offset.
+    timed = F.when(F.length(text) == 10, F.concat(text, F.lit(" 00:00:00"))).otherwise(plain)
     return F.when(
-        text.rlike(S.PLAIN_TIMESTAMP), F.concat(text, F.lit("Z")).try_cast("timestamp")
-    ).when(text.rlike(S.OFFSET_TIMESTAMP), text.try_cast("timestamp"))
+        text.rlike(S.PLAIN_TIMESTAMP), F.concat(timed, F.lit("Z")).try_cast("timestamp")
+    ).when(text.rlike(S.OFFSET_TIMESTAMP), plain.try_cast("timestamp"))
 
 
 def parse_wall_time(text: Column) -> Column:
     """UTC wall clock of an accepted text; plain texts need no detour over an instant."""
+    plain = _plain_form(text)
     return F.when(
-        text.rlike(S.PLAIN_TIMESTAMP), text.try_cast("timestamp_ntz")
-    ).when(text.rlike(S.OFFSET_TIMESTAMP), utc_wall_time(text.try_cast("timestamp")))
+        text.rlike(S.PLAIN_TIMESTAMP), plain.try_cast("timestamp_ntz")
+    ).when(text.rlike(S.OFFSET_TIMESTAMP), utc_wall_time(plain.try_cast("timestamp")))
 
 
 def utc_wall_time(instant: Column) -> Column:

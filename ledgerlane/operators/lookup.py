@@ -1,77 +1,82 @@
 """Joins of a large, possibly skewed side to a side with at most one row per key.
 
-A plain equi-join puts all rows of one key into one task. Here the keys that hold
-very many rows are measured first (a frequency sketch, one pass over the key, no
-shuffle of rows). Without such keys the join stays plain and Catalyst chooses its
-strategy. With them, their rows take a broadcast join and are not shuffled at all:
-the other side has one row per key, so the broadcast part is at most MAX_HOT_KEYS rows.
+A plain equi-join puts all rows of one key into one task. A run therefore counts the rows
+of every key once, exactly, and hands the hot keys to its joins. The rows of hot keys,
+the missing key among them, take a broadcast join and are not shuffled: the other side
+has one row per key, so what is broadcast is bounded by the number of hot keys.
+
+A key is hot with more than ``hot_rows`` rows and more than one row in HOT_SHARE of its table,
+so there are fewer than HOT_SHARE hot keys in a table of any size. Without measured keys the
+join stays plain, costs nothing at planning, and Catalyst may drop it where it is not needed.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key below this many rows fits one shuffle partition comfortably.
 HOT_ROWS = 1_000_000
-# Bound on the listed keys, and so on what is ever broadcast or brought to the driver.
-MAX_HOT_KEYS = 4096
-# Keys the sketch follows per task; it cannot miss a key above ~3.5 / 65536 of all rows.
-TRACKED_KEYS = 32_768
-# Sketches are merged in this many groups before the last merge.
-SKETCH_GROUPS = 512
-# Inputs estimated below this cannot hold a key worth isolating; they are not scanned for one.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
+# A hot key holds more than this part of its table, which bounds their number.
+HOT_SHARE = 100_000
 
 
-def key_hash(keys: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(k) for k in keys])
+def hot_values(df: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> list[str | None]:
+    """The hot keys of a column as text, the missing key included; fewer than HOT_SHARE.
 
+    Two jobs: the table's row count, and exact counts per key, combined before the shuffle.
+    """
+    limit = max(hot_rows, df.count() // HOT_SHARE)
+    counts = df.groupBy(F.col(column).cast("string").alias("key")).count()
+    return [r["key"] for r in counts.filter(F.col("count") > limit).select("key").collect()]
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan; without one, more than any limit."""
-    if not hasattr(df, "_jdf"):
-        return sys.maxsize
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
 
+class MeasuredTables(dict):
+    """Tables together with the hot keys of their key columns, measured once per run."""
 
-def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    hot_rows: int = HOT_ROWS,
-    small_input_bytes: int = SMALL_INPUT_BYTES,
-) -> list[int]:
-    """Hashes of the keys (NULL included) with more than ``hot_rows`` rows.
+    def __init__(self, tables: Mapping[str, DataFrame], hot: Mapping[str, list[str | None]]) -> None:
+        super().__init__(tables)
+        self.hot = dict(hot)
 
-    The list only steers the physical plan; results do not depend on it.
-    """
-    if estimated_bytes(df) < small_input_bytes:
-        return []
-    sketches = (
-        df.select(
-            key_hash(keys).alias("key_hash"),
-            F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("sketch_group"),
-        )
-        .groupBy("sketch_group")
-        .agg(F.expr(f"approx_top_k_accumulate(key_hash, {TRACKED_KEYS})").alias("s"))
-    )
-    # Grouped, not global: the merge of no sketch at all is an error.
-    top = sketches.groupBy((F.col("sketch_group") < 0).alias("all")).agg(
-        F.expr(
-            f"approx_top_k_estimate(approx_top_k_combine(s, {TRACKED_KEYS}), {MAX_HOT_KEYS})"
-        ).alias("top")
-    )
-    rows = (
-        top.select(F.inline("top"))
-        .filter(F.col("count") > hot_rows)
-        .select("item")
-        .collect()
-    )
-    return sorted(r["item"] for r in rows)
+
+def measured(
+    tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], hot_rows: int = HOT_ROWS
+) -> MeasuredTables:
+    """``tables`` with the hot values of each column over the tables it is named for."""
+    hot = {}
+    for column, names in columns.items():
+        rows = tables[names[0]].select(column)
+        for name in names[1:]:
+            rows = rows.unionAll(tables[name].select(column))
+        hot[column] = hot_values(rows, column, hot_rows)
+    return MeasuredTables(tables, hot)
+
+
+def hot_frame(spark: SparkSession, values: Sequence[str | None] | None, column: str) -> DataFrame | None:
+    """Hot values as a table of one column, None where there are none."""
+    if not values:
+        return None
+    return spark.createDataFrame([(v,) for v in values], f"`{column}` string")
+
+
+def hot_keys_of(tables: Mapping[str, DataFrame], column: str, nullable: bool = False) -> DataFrame | None:
+    """The measured hot keys of a column; ``nullable`` gives them as stand-in columns."""
+    spark = next(iter(tables.values())).sparkSession
+    frame = hot_frame(spark, getattr(tables, "hot", {}).get(column), column)
+    if frame is None or not nullable:
+        return frame
+    return with_nullable_key(frame, column).select(*NULLABLE_KEY)
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary and of hot keys; a missing key equals a missing key."""
+    listed = F.broadcast(hot.select(*[F.col(k).alias(f"hot_{i}") for i, k in enumerate(keys)]))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(F.col(f"hot_{i}"))
+    return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
 
 
 def lookup_join(
@@ -79,23 +84,19 @@ def lookup_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str,
-    hot: list[int] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which must have at most one row per key.
 
     ``how`` is inner, left, left_semi or left_anti; a NULL key matches nothing.
-    ``hot`` presets the measured keys.
+    ``hot`` has the columns ``keys`` and fewer than HOT_SHARE rows.
     """
     if hot is None:
-        hot = hot_keys(left, keys)
-    if not hot:
         return left.join(right, list(keys), how)
-    is_hot = key_hash(keys).isin(hot)
-    spread = left.filter(~is_hot).join(right, list(keys), how)
-    in_place = left.filter(is_hot).join(
-        F.broadcast(right.filter(is_hot)), list(keys), how
-    )
-    return spread.unionByName(in_place)
+    ordinary, in_place = split_hot(left, keys, hot)
+    _, few = split_hot(right, keys, hot)
+    spread = ordinary.join(right, list(keys), how)
+    return spread.unionByName(in_place.join(F.broadcast(few), list(keys), how))
 
 
 # Stand-ins for a nullable key, under which a missing key equals a missing key.

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlane.functions import exprs as X
 from ledgerlane.operators.lookup import (
     NULLABLE_KEY,
-    hot_keys,
-    key_hash,
     lookup_join,
+    split_hot,
     with_nullable_key,
 )
 
@@ -18,13 +17,13 @@ POINT = [*NULLABLE_KEY, "moment"]
 
 
 def events_before_orders(
-    orders: DataFrame, events: DataFrame, hot: list[int] | None = None
+    orders: DataFrame, events: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Events earlier than at least one order row with the same order_id.
 
     Keeps the event columns and adds ``later_orders``: with how many order rows the
     event conflicts. A NULL order_id matches a NULL order_id. Rows whose timestamp is
-    missing or does not parse take no part. ``hot`` presets the measured keys.
+    missing or does not parse take no part. ``hot`` has the hot values of order_id.
     """
     return _conflicts(orders, events, hot, _by_calendar).select(
         *events.columns, "later_orders"
@@ -32,7 +31,7 @@ def events_before_orders(
 
 
 def conflict_counts(
-    orders: DataFrame, events: DataFrame, hot: list[int] | None = None
+    orders: DataFrame, events: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Numbers, in ``later_orders``, that add up to those of ``events_before_orders``.
 
@@ -48,40 +47,40 @@ def _conflicts(orders, events, hot, of_hot_keys) -> DataFrame:
     )
     dated = events.withColumn("moment", X.lenient_wall_time(events, "event_timestamp"))
     if hot is None:
-        hot = hot_keys(
-            orders.select("order_id").unionAll(events.select("order_id")), ["order_id"]
-        )
-    if not hot:
         return _within_key(created, dated)
-    is_hot = key_hash(["order_id"]).isin(hot)
-    return _within_key(created.filter(~is_hot), dated.filter(~is_hot)).unionByName(
-        of_hot_keys(created.filter(is_hot), dated.filter(is_hot)),
-        allowMissingColumns=True,
+    plain_orders, hot_orders = split_hot(created, ["order_id"], hot)
+    plain_events, hot_events = split_hot(dated, ["order_id"], hot)
+    return _within_key(plain_orders, plain_events).unionByName(
+        of_hot_keys(hot_orders, hot_events), allowMissingColumns=True
     )
 
 
 def _within_key(created: DataFrame, dated: DataFrame) -> DataFrame:
-    """For keys of ordinary size: one shuffle by key, one walk from late to early.
+    """For keys of ordinary size: a walk from late to early over the violators and their orders.
 
+    An event violates exactly if it precedes its key's latest order, one row a key. Only
+    the violators, and the orders of their keys, reach the walk.
     At equal moments events come first, so an order counts for earlier events only.
-    Undated orders come last and so count for no dated event.
+    Undated orders are left out before; they count for no event.
     """
+    created = with_nullable_key(created.filter(F.col("moment").isNotNull()), "order_id")
+    latest = created.groupBy(*NULLABLE_KEY).agg(F.max("moment").alias("latest"))
+    dated = with_nullable_key(dated.filter(F.col("moment").isNotNull()), "order_id")
+    dated = dated.join(latest, NULLABLE_KEY).filter(F.col("moment") < F.col("latest")).drop("latest")
+    keys = dated.select(*NULLABLE_KEY).distinct()
+    created = created.join(keys, NULLABLE_KEY, "left_semi")
     rows = dated.withColumn("is_order", F.lit(0)).unionByName(
         created.withColumn("is_order", F.lit(1)), allowMissingColumns=True
     )
     from_late = (
-        Window.partitionBy("order_id")
-        .orderBy(F.desc_nulls_last("moment"), F.asc("is_order"))
+        Window.partitionBy(*NULLABLE_KEY)
+        .orderBy(F.desc("moment"), F.asc("is_order"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         rows.withColumn("later_orders", F.sum("is_order").over(from_late))
-        .filter(
-            (F.col("is_order") == 0)
-            & (F.col("later_orders") > 0)
-            & F.col("moment").isNotNull()
-        )
-        .drop("is_order", "moment")
+        .filter((F.col("is_order") == 0) & (F.col("later_orders") > 0))
+        .drop("is_order", "moment", *NULLABLE_KEY)
     )
 
 

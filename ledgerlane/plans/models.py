@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
 from ledgerlane.functions import exprs as X
-from ledgerlane.operators.lookup import lookup_join
+from ledgerlane.operators.lookup import hot_keys_of, lookup_join
 from ledgerlane.sources.readers import wall_times
 
 
@@ -58,7 +58,7 @@ def int_order_event_summary(events: DataFrame) -> DataFrame:
 
 
 def fct_orders(
-    orders: DataFrame, summary: DataFrame, hot: list[int] | None = None
+    orders: DataFrame, summary: DataFrame, hot: DataFrame | None = None
 ) -> DataFrame:
     """Every order row with its event times, presence flags and conflict flags.
 
@@ -102,11 +102,14 @@ def fct_daily_revenue(orders: DataFrame) -> DataFrame:
 
 
 def build_models(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All five models, lazily, from raw tables whose timestamps may still be text."""
+    """All five models, lazily, from raw tables whose timestamps may still be text.
+
+    Tables that were measured (``operators.lookup.measured``) bring their hot keys along.
+    """
     orders = stg_orders(wall_times(raw[S.ORDERS], "order_created_at"))
     events = stg_order_events(wall_times(raw[S.ORDER_EVENTS], "event_timestamp"))
     summary = int_order_event_summary(events)
-    facts = fct_orders(orders, summary)
+    facts = fct_orders(orders, summary, hot_keys_of(raw, "order_id"))
     return {
         "stg_orders": orders,
         "stg_order_events": events,

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
+from ledgerlane.operators.lookup import (
+    HOT_ROWS,
+    MeasuredTables,
+    hot_frame,
+    hot_values,
+    measured,
+)
 from ledgerlane.plans import insights as I
 from ledgerlane.plans import models as M
 from ledgerlane.quality.gate import enforce
@@ -17,20 +24,19 @@ from ledgerlane.sources.readers import typed_timestamps
 from ledgerlane.sources.sinks import RunContext, Warehouse, stamp, write_csv
 
 
-def ingest(
+def check(
+    spark: SparkSession,
     tables: Tables,
-    warehouse: Warehouse,
     reports_path: str,
-    mode: str = S.DEV,
-    overwrite: bool = True,
     rules: Sequence[Rule] | None = None,
-) -> None:
-    """Check the raw tables, write report and samples, load all four tables, then gate.
+    hot_rows: int = HOT_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Check the raw tables and write report and samples; nothing is loaded.
 
-    Rules see the raw texts, the warehouse gets typed timestamps. In production mode a
-    critical failure raises only after everything is written.
+    Hot keys are measured once, for all rules. Returns both as written.
     """
-    spark = warehouse.spark
+    if not isinstance(tables, MeasuredTables):
+        tables = measured(tables, S.KEY_COLUMNS, hot_rows)
     report_path, samples_path = (
         f"{reports_path}/data_quality_report",
         f"{reports_path}/failed_samples",
@@ -44,7 +50,23 @@ def ingest(
     samples = spark.read.parquet(f"{samples_path}.parquet")
     write_csv(report, f"{report_path}.csv", files=1)
     write_csv(samples, f"{samples_path}.csv", files=1)
+    return report, samples
+
+
+def ingest(
+    tables: Tables,
+    warehouse: Warehouse,
+    reports_path: str,
+    mode: str = S.DEV,
+    overwrite: bool = True,
+    rules: Sequence[Rule] | None = None,
+) -> None:
+    """Check the raw tables, write report and samples, load all four tables, then gate.
 
+    Rules see the raw texts, the warehouse gets typed timestamps. In production mode a
+    critical failure raises only after everything is written.
+    """
+    report, samples = check(warehouse.spark, tables, reports_path, rules)
     typed_orders = typed_timestamps(tables[S.ORDERS], "order_created_at")
     typed_events = typed_timestamps(tables[S.ORDER_EVENTS], "event_timestamp")
     warehouse.write("raw_orders", typed_orders, overwrite)
@@ -63,7 +85,8 @@ def transform(warehouse: Warehouse) -> None:
     events.createOrReplaceTempView("stg_order_events")
     warehouse.write("int_order_event_summary", M.int_order_event_summary(events))
     summary = warehouse.table("int_order_event_summary")
-    warehouse.write("fct_orders", M.fct_orders(orders, summary))
+    hot = hot_frame(warehouse.spark, hot_values(orders, "order_id"), "order_id")
+    warehouse.write("fct_orders", M.fct_orders(orders, summary, hot))
     facts = warehouse.table("fct_orders")
     warehouse.write("fct_daily_revenue", M.fct_daily_revenue(facts))
 

@@ -15,6 +15,7 @@ _ORDER_FIELDS = (
 )
 
 
+# Ids, severities, key and sample columns of the thirteen rules.
 def standard_rules() -> tuple[R.Rule, ...]:
     return (
         R.duplicate_pk(S.ORDER_EVENTS, "event_id", "R001", S.CRITICAL, _EVENT_ROW),

@@ -16,6 +16,7 @@ from ledgerlane import schemas as S
 from ledgerlane.functions import exprs as X
 from ledgerlane.operators.lookup import (
     NULLABLE_KEY,
+    hot_keys_of,
     lookup_join,
     nullable_key,
     with_nullable_key,
@@ -71,7 +72,8 @@ class DuplicateCheck(Check):
     def violations(self, tables: Tables, table: str) -> DataFrame:
         keyed = with_nullable_key(tables[table], self.column)
         keys = self.repeated(tables, table).select(*NULLABLE_KEY)
-        return lookup_join(keyed, keys, NULLABLE_KEY, "left_semi").select(
+        hot = hot_keys_of(tables, self.column, nullable=True)
+        return lookup_join(keyed, keys, NULLABLE_KEY, "left_semi", hot).select(
             *tables[table].columns
         )
 
@@ -86,13 +88,14 @@ class OrdersWithoutEvents(Check):
 
     def violations(self, tables: Tables, table: str) -> DataFrame:
         keys = tables[S.ORDER_EVENTS].select("order_id").distinct()
-        return lookup_join(tables[S.ORDERS], keys, ["order_id"], "left_anti")
+        hot = hot_keys_of(tables, "order_id")
+        return lookup_join(tables[S.ORDERS], keys, ["order_id"], "left_anti", hot)
 
     def key_rows(self, tables: Tables, table: str) -> DataFrame:
         # Both sides hold a key once: nothing can be hot.
         orders = tables[S.ORDERS].select("order_id").distinct()
         keys = tables[S.ORDER_EVENTS].select("order_id").distinct()
-        return lookup_join(orders, keys, ["order_id"], "left_anti", hot=[])
+        return lookup_join(orders, keys, ["order_id"], "left_anti")
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,8 @@ class EventsWithoutOrders(Check):
     def violations(self, tables: Tables, table: str) -> DataFrame:
         keys = tables[S.ORDERS].select("order_id").distinct()
         events = tables[S.ORDER_EVENTS]
-        orphans = lookup_join(events, keys, ["order_id"], "left_anti")
+        hot = hot_keys_of(tables, "order_id")
+        orphans = lookup_join(events, keys, ["order_id"], "left_anti", hot)
         return orphans.select(*events.columns)
 
 
@@ -115,7 +119,8 @@ class CompletedWithoutPayment(Check):
 
     def violations(self, tables: Tables, table: str) -> DataFrame:
         completed, paid = self._sides(tables)
-        unpaid = lookup_join(completed, paid.distinct(), NULLABLE_KEY, "left_anti")
+        hot = hot_keys_of(tables, "order_id", nullable=True)
+        unpaid = lookup_join(completed, paid.distinct(), NULLABLE_KEY, "left_anti", hot)
         return unpaid.select("order_id")
 
     def key_rows(self, tables: Tables, table: str) -> DataFrame:
@@ -125,7 +130,6 @@ class CompletedWithoutPayment(Check):
             paid.distinct(),
             NULLABLE_KEY,
             "left_anti",
-            hot=[],
         )
         return unpaid.select(nullable_key().alias("order_id"))
 
@@ -150,11 +154,13 @@ class EventBeforeOrder(Check):
     """
 
     def violations(self, tables: Tables, table: str) -> DataFrame:
-        return events_before_orders(tables[S.ORDERS], tables[S.ORDER_EVENTS])
+        hot = hot_keys_of(tables, "order_id")
+        return events_before_orders(tables[S.ORDERS], tables[S.ORDER_EVENTS], hot)
 
     def pair_counts(self, tables: Tables) -> DataFrame:
         """``later_orders`` without the events: the same sum for less."""
-        return conflict_counts(tables[S.ORDERS], tables[S.ORDER_EVENTS])
+        hot = hot_keys_of(tables, "order_id")
+        return conflict_counts(tables[S.ORDERS], tables[S.ORDER_EVENTS], hot)
 
     def sample_rows(self, tables: Tables, table: str, n: int) -> DataFrame:
         found = self.violations(tables, table)
@@ -185,6 +191,7 @@ class Rule:
         return self.key_columns if present else self.fallback_keys
 
 
+# The rule names below are fixed values.
 def duplicate_pk(
     table: str, pk: str, rule_id: str, severity: str, sample: Sequence[str]
 ) -> Rule:

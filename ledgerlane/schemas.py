@@ -51,13 +51,17 @@ MISSING_TOKENS = (
 # How a missing key cell is shown inside a text of sample keys.
 MISSING_KEY_TEXT = "nan"
 
-# Accepted timestamp texts: yyyy-MM-dd HH:mm:ss[.ffffff], with or without a UTC offset.
-# Without one the time is UTC.
-PLAIN_TIMESTAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
+# Accepted timestamp texts: a day, optionally T or a space and a time to the minute, second or
+# up to nine digits of it (cut to microseconds), optionally with a UTC offset: Z, +hh, +hhmm
+# or +hh:mm. Without an offset the time is UTC.
+PLAIN_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 OFFSET_TIMESTAMP = (
-    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+    r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}(:?\d{2})?)$"
 )
 
+# Key columns and the tables that have them, for measuring hot keys.
+KEY_COLUMNS = {"order_id": (ORDERS, ORDER_EVENTS), "event_id": (ORDER_EVENTS,)}
+
 RAW_ORDERS = T.StructType(
     [
         T.StructField("order_id", T.StringType()),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,16 +13,30 @@ from ledgerlane import schemas as S
 from ledgerlane.functions import exprs as X
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header, columns matched by name; missing-value texts become NULL.
 
-    A missing path, a missing column, or a number that is none fails the read.
+    All files of one path have one header; a file with another one fails the read. Paths
+    with different headers are given as a list and united by name. A missing path, a
+    missing column, a row with too few or too many cells, or a number that is none fails the
+    read. ``multi_line`` allows line breaks inside quotes, which makes files unsplittable;
+    without it such a row is one with too few cells.
     """
+    if not isinstance(path, str):
+        parts = [read_csv(spark, p, schema, multi_line) for p in path]
+        return reduce(DataFrame.unionByName, parts)
     text = (
         spark.read.option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
+        .option("enforceSchema", False)
+        .option("multiLine", multi_line)
+        # Rows are counted cell by cell, also where a query reads few columns.
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path)
     )
     return text.select(*[_typed(f, _present(F.col(f.name))) for f in schema.fields])

@@ -27,7 +27,13 @@ def moment(text):
         ("2024-02-30 00:00:00", None),
         ("2024-03-05 25:00:00", None),
         ("2024", None),
-        ("2024-03-05", None),
+        ("2024-03-05", dt.datetime(2024, 3, 5)),
+        ("2024-03-05T23:30", dt.datetime(2024, 3, 5, 23, 30)),
+        ("2024-03-05T23:30:00.123456789Z", dt.datetime(2024, 3, 5, 23, 30, 0, 123456)),
+        ("2024-03-05 23:30 +0130", dt.datetime(2024, 3, 5, 22, 0)),
+        ("2024-03-05T23:30:00.5-01", dt.datetime(2024, 3, 6, 0, 30, 0, 500000)),
+        ("2024-03-05Z", None),
+        ("12:30", None),
         ("12:30", None),
         ("not-a-date", None),
         ("", None),

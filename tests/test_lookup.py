@@ -21,11 +21,6 @@ def sides(spark):
     return left, right
 
 
-def key_hashes(spark, *keys):
-    df = spark.createDataFrame([(k,) for k in keys], "key string")
-    return [r[0] for r in df.select(K.key_hash(["key"])).collect()]
-
-
 def rows(df):
     return sorted(df.select(sorted(df.columns)).collect(), key=str)
 
@@ -34,34 +29,40 @@ def rows(df):
 def test_isolating_hot_keys_does_not_change_the_result(spark, sides, how):
     left, right = sides
     plain = rows(left.join(right, "key", how))
-    for hot in ([], key_hashes(spark, "hot"), key_hashes(spark, "hot", None, "k1", "k6")):
-        assert rows(K.lookup_join(left, right, ["key"], how, hot=hot)) == plain
     assert rows(K.lookup_join(left, right, ["key"], how)) == plain
+    for hot in ([], ["hot"], ["hot", None, "k1", "k6"]):
+        frame = K.hot_frame(spark, hot, "key")
+        assert rows(K.lookup_join(left, right, ["key"], how, frame)) == plain
 
 
-def test_keys_above_the_limit_are_found_missing_keys_included(spark, sides):
+def test_keys_above_the_limit_are_found_missing_keys_included(sides):
     left, _ = sides
-    found = K.hot_keys(left, ["key"], hot_rows=25, small_input_bytes=0)
-    assert found == sorted(key_hashes(spark, "hot", None))
-    assert K.hot_keys(left, ["key"], hot_rows=35, small_input_bytes=0) == key_hashes(spark, "hot")
-    assert K.hot_keys(left, ["key"], hot_rows=100, small_input_bytes=0) == []
-    assert K.hot_keys(left.limit(0), ["key"], hot_rows=1, small_input_bytes=0) == []
-
-
-def test_a_key_with_a_third_of_many_rows_stands_out(spark):
-    many = spark.range(0, 300_000, 1, 16).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key")
-    )
-    found = K.hot_keys(many, ["key"], hot_rows=50_000, small_input_bytes=0)
-    assert found == key_hashes(spark, "hot")
-
-
-def test_small_inputs_are_not_scanned(spark, sides):
-    small = spark.range(10).select(F.lit("hot").alias("key"))
-    assert K.estimated_bytes(small) < K.SMALL_INPUT_BYTES
-    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    assert K.hot_keys(small, ["key"], hot_rows=1) == []
-    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == jobs
+    assert set(K.hot_values(left, "key", hot_rows=25)) == {"hot", None}
+    assert K.hot_values(left, "key", hot_rows=35) == ["hot"]
+    assert K.hot_values(left, "key", hot_rows=100) == []
+    assert K.hot_values(left.limit(0), "key", hot_rows=1) == []
+
+
+def test_a_key_of_twenty_million_rows_in_a_tiny_file_is_isolated(spark, tmp_path):
+    """Run-length encoding makes a skewed table small; its rows are counted, not its bytes."""
+    path = str(tmp_path / "one")
+    spark.range(0, 20_000_000, 1, 8).select(
+        F.when(F.col("id") % 100_000 == 0, F.col("id").cast("string")).otherwise("hot").alias("key")
+    ).write.parquet(path)
+    left = spark.read.parquet(path)
+    assert K.hot_values(left, "key") == ["hot"]
+    right = spark.createDataFrame([("hot", 1), ("100000", 2)], "key string, mark int")
+    joined = K.lookup_join(left, right, ["key"], "left", K.hot_frame(spark, ["hot"], "key"))
+    found = joined.groupBy("mark").count().collect()
+    assert {r["mark"]: r["count"] for r in found} == {1: 19_999_800, 2: 1, None: 199}
+
+
+def test_measured_tables_hand_their_keys_on(spark, sides):
+    left, right = sides
+    tables = K.measured({"a": left, "b": right}, {"key": ("a", "b")}, hot_rows=25)
+    assert set(tables.hot["key"]) == {"hot", None}
+    assert rows(K.hot_keys_of(tables, "key", nullable=True)) == [(False, "hot"), (True, "")]
+    assert K.hot_keys_of({"a": left}, "key") is None
 
 
 def test_nullable_keys_match_each_other_but_not_the_empty_text(spark):

@@ -34,7 +34,9 @@ def stored(spark, raw_by_profile, tmp_path_factory):
 
 # The others only read back what they have written, or hold ten collected rows.
 PLANNED = [
-    n for n in all_queries() if not n.startswith(("csv_", "table_", "fct_orders_preview"))
+    n
+    for n in all_queries()
+    if not n.startswith(("csv_", "table_", "catalog_", "fct_orders_preview", "analysis_", "readiness_"))
 ]
 
 
@@ -95,3 +97,12 @@ def test_row_rules_of_a_table_share_one_scan_without_a_row_shuffle(stored):
     text = plan(Q._scan_shares(stored, S.ORDERS, rules))
     assert text.count("FileScan") == 1
     assert "hashpartitioning" not in text
+
+
+def test_only_events_before_their_keys_latest_order_reach_the_walk(stored):
+    from ledgerlane.operators.sequence import conflict_counts
+
+    df = conflict_counts(stored[S.ORDERS], stored[S.ORDER_EVENTS])
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    walk = next(i for i, line in enumerate(lines) if "Window [" in line)
+    assert any("moment" in line and "< latest" in line for line in lines[walk:])

@@ -61,13 +61,7 @@ def pairwise(orders, events) -> Counter:
 @pytest.mark.parametrize("hot", ["none", "some", "all"])
 def test_counts_equal_the_pairwise_count(spark, tables, seed, hot):
     orders, events, raw = random_tables(seed, tables)
-    hashes = [
-        r[0]
-        for r in spark.createDataFrame([(k,) for k in KEYS], "order_id string")
-        .select(K.key_hash(["order_id"]))
-        .collect()
-    ]
-    listed = {"none": [], "some": [hashes[0], hashes[3]], "all": hashes}[hot]
+    listed = K.hot_frame(spark, {"none": [], "some": ["a", None], "all": KEYS}[hot], "order_id")
     result = events_before_orders(raw[S.ORDERS], raw[S.ORDER_EVENTS], hot=listed)
     ours = Counter(
         (r.event_id, r.order_id, r.event_type, r.event_timestamp, r.later_orders)

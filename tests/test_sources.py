@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -107,3 +108,40 @@ def test_stamp_adds_the_run_context(spark):
     row = stamp(spark.range(1), context).first()
     assert (row.dq_profile, row.n, row.seed, row.mode) == ("messy", 5000, 42, "dev")
     assert row.run_id == context.run_id and row.generated_at is not None
+
+
+def csv(tmp_path, name, *lines):
+    path = tmp_path / name
+    path.parent.mkdir(exist_ok=True)
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+HEADER = ",".join(S.RAW_ORDER_EVENTS.fieldNames())
+
+
+def test_files_of_one_path_must_share_their_header(spark, tmp_path):
+    turned = "order_id,event_id,event_type,event_timestamp,source_system"
+    one = csv(tmp_path, "one/a.csv", HEADER, "E1,O1,order_created,t,web")
+    two = csv(tmp_path, "two/b.csv", turned, "O2,E2,order_created,t,web")
+    both = tmp_path / "both"
+    both.mkdir()
+    for p in (one, two):
+        (both / p.rsplit("/", 1)[1]).write_text(open(p).read())
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        readers.read_csv(spark, str(both), S.RAW_ORDER_EVENTS).collect()
+    united = readers.read_csv(spark, [one, two], S.RAW_ORDER_EVENTS)
+    assert sorted((r.event_id, r.order_id) for r in united.collect()) == [("E1", "O1"), ("E2", "O2")]
+
+
+@pytest.mark.parametrize("row", ["E1,O1,order_created,t", "E1,O1,order_created,t,web,more", '"a\nb",O1,order_created,t,web'])
+def test_rows_with_another_number_of_cells_fail(spark, tmp_path, row):
+    path = csv(tmp_path, "x.csv", HEADER, row)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        readers.read_csv(spark, path, S.RAW_ORDER_EVENTS).select("event_id").collect()
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = csv(tmp_path, "x.csv", HEADER, '"a\nb",O1,order_created,t,web')
+    rows = readers.read_csv(spark, path, S.RAW_ORDER_EVENTS, multi_line=True).collect()
+    assert [r.event_id for r in rows] == ["a\nb"]
