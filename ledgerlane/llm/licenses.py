@@ -183,13 +183,9 @@ class Scanner:
                         out[t]["spans"].append((a.label, int(i - base), int(i - base) + end, a.mandatory))
         for r in out:
             r["spans"] = sorted(set(r["spans"]))
-            covered = set()
-            for _, start, end, _ in r["spans"]:
-                covered.update(range(start, end))
             strong = max((m for *_, m in r["spans"]), default=0)
             # A bare phrase is weak evidence; an accepted template grows with its mandatory words.
             r["score"] = 1 - 0.5 ** (strong / 2) if strong else 0.25 if r["places"] else 0.0
-            r["covered"] = len(covered)
         return out
 
 

@@ -177,9 +177,6 @@ class Filter:
             at += len(data)
         self.data = np.frombuffer(b"".join(d for _, d in parts), np.uint8)
 
-    def __contains__(self, r: int) -> bool:
-        return self.start[r] >= 0
-
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Highest level found of each key; 0 for keys of ranges that are not here."""
         where = P.range_of(keys, self.ranges)

@@ -46,10 +46,8 @@ def test_pseudonyms_keep_forms_and_links():
             new = p(kind, value)
             assert new and new != value, (kind, value)
             if kind != "dmy":
-                assert re.sub(r"\d", "9", re.sub("[A-Za-z]", "a", new)) in (
-                    re.sub(r"\d", "9", re.sub("[A-Za-z]", "a", value)),
-                    new if kind == "ip" else "",
-                )
+                form = [re.sub(r"\d+" if kind == "ip" else r"\d", "9", re.sub("[A-Za-z]", "a", x)) for x in (value, new)]
+                assert form[0] == form[1]
                 assert back(kind, new) == value
     assert date.fromisoformat(p("iso", "2024-02-29")) == date(*map(int, reversed(p("dmy", "29.02.2024").split("."))))
     for invalid in (("card", "4111111111111112"), ("ip", "1.2.3.256"), ("ssn", "666-12-1234"), ("iso", "2023-02-29"), ("iban", "DE88370400440532013000")):
