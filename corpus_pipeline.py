@@ -44,11 +44,12 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mark and n_chars counted anew where one was."""
     found = secrets.scan(docs)
-    text = F.coalesce("text", F.lit(""))
-    some = F.size("secret_spans") > 0
-    clean = F.when(some, secrets.redact(text, F.col("secret_spans"))).otherwise(F.col("text"))
-    size = F.when(some, F.length(clean).cast("bigint")).otherwise(F.col("n_chars"))
-    columns = [clean.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    # Columns of the frame itself: by name alone, n_chars would be counted on the text already replaced.
+    text, spans = found["text"], found["secret_spans"]
+    some = F.size(spans) > 0
+    clean = F.when(some, secrets.redact(F.coalesce(text, F.lit("")), spans)).otherwise(text)
+    size = F.when(some, F.length(clean).cast("bigint")).otherwise(found["n_chars"])
+    columns = [clean.alias(c) if c == "text" else size.alias(c) if c == "n_chars" else found[c] for c in docs.columns]
     return found.select(*columns)
 
 
