@@ -48,12 +48,13 @@ _NONE = np.int32(2**31 - 1)
 #: Contractions and word classes of the tokenizer's splitting pattern.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Characters below this are normalised here; texts with others by the tokenizer's own normaliser.
-PLAIN_END = 0x250
+#: Their small letters lie below LOWER_END.
+PLAIN_END, LOWER_END = 0x23A, 0x300
 
 
 def _ranges(keep) -> str:
-    """A character class of the plain characters that ``keep`` accepts."""
-    return "".join(re.escape(chr(i)) for i in range(PLAIN_END + 0xB8) if keep(chr(i)))
+    """A character class of the plain characters and their small letters that ``keep`` accepts."""
+    return "".join(re.escape(chr(i)) for i in range(LOWER_END) if keep(chr(i)))
 
 
 @cache

@@ -143,7 +143,7 @@ def test_redaction(spark):
     assert [r["t"] for r in rows] == ["é [SECRET], x", "nothing", None]
 
 
-ODD = ["", "  ", "don't <|endoftext|>x<|startoftext|> <|foo 'LL", "İ ΣΑΣ ǅ é é \x1c\x85\xa0a\x00b ²½ ªº", "日本 👍🏽", "x" * 3000 + " " + "ab" * 900, "aaaa AAAA !!!??? '''s"]
+ODD = ["", "  ", "don't <|endoftext|>x<|startoftext|> <|foo 'LL", "İ ΣΑΣ ǅ é é \x1c\x85\xa0a\x00b ²½ ªº", "日本 👍🏽", "x" * 3000 + " " + "ab" * 900, "aaaa AAAA !!!??? '''s", "aȺb Ⱦ ƁƆx"]
 
 
 def test_encoding_equals_the_library(frame, texts):
