@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlane.llm import words as W
-from ledgerlane.llm.jobs import ready
+from ledgerlane.llm.jobs import ready, stored
 
 #: Words compiled into the automaton, and the longest of them in bytes.
 LEXICON_WORDS = 32_768
 LEXICON_BYTES = 32
+#: Steps per doubling in the histogram of word counts.
+STEPS = 8
 #: Distinct words a counting task holds before it hands on partial counts.
 COUNTED_WORDS = 300_000
 #: Distinct words a worker remembers; beyond, it starts anew.
@@ -373,7 +375,11 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, path: str, text: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent words of up to LEXICON_BYTES bytes, from exact counts of all texts."""
+    """The most frequent words of up to LEXICON_BYTES bytes, from exact counts of all texts.
+
+    All words with at least a certain count, chosen from a histogram of counts such that they
+    are ``limit`` at most; only that histogram and these words reach the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
@@ -400,11 +406,21 @@ def frequent_words(docs: DataFrame, path: str, text: str = "text", limit: int =
         .where((F.octet_length("word") <= LEXICON_BYTES) & (F.octet_length("word") > 0))
         .groupBy("word")
         .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(limit)
+        .withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
     )
+    counts = stored(counts, "bpe-words")
+    steps = sorted(counts.groupBy("step").count().collect(), reverse=True)  # at most 63 * STEPS rows
+    least, above = None, 0
+    for step, n in steps:
+        above += n
+        if above > limit:
+            break
+        least = step
+    if least is None:
+        return []
     special = set(tokenizer(path).special)
-    return [w for w, _ in counts.collect() if w not in special]  # at most ``limit`` rows
+    rows = counts.where(F.col("step") >= least).select("n", "word").collect()  # at most ``limit`` rows
+    return [w for _, w in sorted((-n, w) for n, w in rows) if w not in special]
 
 
 def publish(spark, data: bytes) -> str:
