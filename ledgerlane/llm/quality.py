@@ -60,10 +60,13 @@ def _class_table(*ranges: str) -> np.ndarray:
     return table
 
 
-def features(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shape measures per text, and the distinct (text, bucket) pairs of its words."""
+def features(data: np.ndarray, found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shape measures per text, and the distinct (text, bucket) pairs of its words.
+
+    ``data`` are the texts as they are, ``found`` their words in lower case.
+    """
     n = len(found.first) - 1
-    data, bounds = found.data, found.text_start
+    bounds = found.text_start
     size = np.maximum(np.diff(bounds), 1).astype(float)
 
     def share(flags: np.ndarray) -> np.ndarray:
@@ -98,17 +101,10 @@ def features(found: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shapes, text_of, bucket_of
 
 
-def _words(texts: pa.Array) -> Iterator[tuple[int, int, W.Words, W.Words]]:
+def _measured(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     for low, high, data, start in W.pieces(texts):
         # Capitals are a measure of their own; words are compared in lower case.
-        yield low, high, W.find_words(data, start, W.alphanumeric(), False), W.find_words(data, start, W.alphanumeric(), True)
-
-
-def _measured(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    for low, high, cased, lower in _words(texts):
-        shapes, _, _ = features(cased)
-        _, text, bucket = features(lower)
-        yield low, high, shapes, text, bucket
+        yield low, high, *features(data, W.find_words(data, start, W.alphanumeric(), lower=True))
 
 
 def fit(shapes: np.ndarray, text: np.ndarray, bucket: np.ndarray, label: np.ndarray) -> Classifier | None:

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text taken at once (more only for a single longer text).
-PIECE_BYTES = 4 << 20
+#: Bytes of text taken at once (more only for a single longer text). Arrays of eight bytes per
+#: byte of text come and go, so a worker's memory is some 60 times this.
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
