@@ -12,9 +12,10 @@ sets is at least ``num / den``; a class is what links connect.
 3. In every tile the least member is paired with the others. A pair is checked by hashed
    bitmap signatures first: the bits set in one and not in the other bound the overlap
    from above. What may pass is intersected exactly, as sorted arrays.
-4. Links are connected. Tiles whose members are not all connected are compared fully, in
-   blocks of bounded size: bitmaps of members of different components, then exact
-   intersection. Pairs that fail are never emitted.
+4. Links are connected. Where components meet in a tile, one member of each is paired, as in
+   step 3. Tiles whose members are still not all connected are compared fully, in blocks of
+   bounded size: bitmaps of members of different components, then exact intersection.
+   Pairs whose bitmaps rule a link out are never emitted.
 
 Entries travel as packed arrays; a tile with a third of all sets has one entry per set.
 """
@@ -245,8 +246,8 @@ def _needed_tiles(members: DataFrame) -> DataFrame:
 
 
 def bitmap(value: np.ndarray) -> np.ndarray:
-    """Bits of a set's low hash bits; at least two bits per member, a power of two of them."""
-    bits = max(64, 1 << int(2 * len(value) - 1).bit_length())
+    """Bits of a set's low hash bits; at least four bits per member, a power of two of them."""
+    bits = max(64, 1 << int(4 * len(value) - 1).bit_length())
     flags = np.zeros(bits, bool)
     flags[(value & _U(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags, bitorder="little").view(_U)
@@ -299,7 +300,9 @@ def _signatures(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link: bitmaps first, then exact intersection of what may pass."""
+    """The pairs (a, b, ...) that link: bitmaps first, then exact intersection of what may pass."""
+    names = pairs.columns
+    schema = ", ".join(f"{c} bigint" for c in names)
 
     def with_side(frame: DataFrame, side: str, column: str) -> DataFrame:
         other = sets.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col(column).alias(f"{column}_{side}"))
@@ -313,7 +316,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 words = min(len(a), len(b))
                 bound = most_overlap(folded(a, words), folded(b, words), sa, sb)
                 keep.append(bool(linked(bound, sa, sb, num, den)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,11 +327,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                     a, b = b, a
                 at = np.minimum(np.searchsorted(b, a), len(b) - 1)
                 keep.append(bool(linked(np.int64((b[at] == a).sum()), len(a), len(b), num, den)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    hopeful = with_side(with_side(pairs, "a", "bits"), "b", "bits").mapInArrow(may_pass, "a bigint, b bigint")
+    hopeful = with_side(with_side(pairs, "a", "bits"), "b", "bits").mapInArrow(may_pass, schema)
     hopeful = stored(hopeful, "ngram-hopeful")
-    return with_side(with_side(hopeful, "a", "hashes"), "b", "hashes").mapInArrow(exact, "a bigint, b bigint")
+    return with_side(with_side(hopeful, "a", "hashes"), "b", "hashes").mapInArrow(exact, schema)
 
 
 def _stars(tiles: DataFrame) -> DataFrame:
@@ -338,25 +341,34 @@ def _stars(tiles: DataFrame) -> DataFrame:
     return tiles.join(heads, "tile").where("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _unsettled(tiles: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): pairs of different components that share a tile and whose bitmaps allow a link."""
+def _open_members(tiles: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tile, node, root, m) of the tiles whose m members are not all connected."""
     marked = tiles.join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("root"))
     marked = stored(marked, "ngram-marked")
     open_ = marked.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
     open_ = stored(open_.where("low <> high").select("tile", "m"), "ngram-open")
+    return marked.join(open_, "tile")
+
+
+def _unsettled(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, root_a, root_b): pairs of different components in one tile whose bitmaps allow a link."""
     parts = F.ceil(F.col("m") / TILE_SETS).cast("int")
-    member = marked.join(open_, "tile").withColumn("parts", parts)
+    member = members.withColumn("parts", parts)
     member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     member = member.select(
+        F.col("tile").alias("origin"),
         F.xxhash64("tile", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
         (F.col("own") <= F.col("other")).alias("left"),
         (F.col("own") >= F.col("other")).alias("right"),
         "node",
         "root",
     )
-    member = member.join(sets.select("node", "size", "bits"), "node")
-    count = P.ranges(tiles.sparkSession)
+    # A pair that shares several tiles is sent by the least of them only. A set has at most two
+    # tiles per segment.
+    shared = members.groupBy("node").agg(F.array_sort(F.collect_set("tile")).alias("tiles"))
+    member = member.join(sets.select("node", "size", "bits").join(shared, "node"), "node")
+    count = P.ranges(members.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -366,15 +378,18 @@ def _unsettled(tiles: DataFrame, roots: DataFrame, sets: DataFrame, num: int, de
         tile, node, root, size = (table.column(c).to_numpy() for c in ("tile", "node", "root", "size"))
         left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
         bits = table.column("bits").combine_chunks()
+        origin, tiles = table.column("origin").to_numpy(), table.column("tiles").combine_chunks()
         order = np.lexsort((node, tile))
         bounds = np.flatnonzero(np.concatenate([[True], tile[order][1:] != tile[order][:-1], [True]]))
-        sent: set[tuple[int, int]] = set()
+        sent: set[tuple[int, int, int, int]] = set()
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             group = order[low:high]
             maps = [np.frombuffer(bits[int(i)].as_py(), _U) for i in group]
             words = min(map(len, maps))
             maps = np.stack([folded(m, words) for m in maps])
             sizes, nodes, roots_ = size[group], node[group], root[group]
+            lists = [tiles[int(i)].values.to_numpy() for i in group]
+            here = origin[group[0]]
             ones, twos = np.flatnonzero(left[group]), right[group]
             for i in ones:
                 # In a block compared with itself every pair is met once: the second behind the first.
@@ -385,21 +400,23 @@ def _unsettled(tiles: DataFrame, roots: DataFrame, sets: DataFrame, num: int, de
                     continue
                 bound = most_overlap(maps[i], maps[js], sizes[i], sizes[js])
                 for j in js[linked(bound, sizes[i], sizes[js], num, den)]:
-                    a, b = int(nodes[i]), int(nodes[j])
-                    sent.add((a, b) if a < b else (b, a))
+                    if np.intersect1d(lists[i], lists[j], assume_unique=True)[0] != here:
+                        continue
+                    one, two = (int(nodes[i]), int(roots_[i])), (int(nodes[j]), int(roots_[j]))
+                    one, two = min(one, two), max(one, two)
+                    sent.add((one[0], two[0], one[1], two[1]))
             if len(sent) > 100_000:
                 yield _pairs(sent)
                 sent.clear()
         yield _pairs(sent)
 
-    return member.repartition(count, "tile").mapInArrow(run, "a bigint, b bigint").distinct()
+    return member.repartition(count, "tile").mapInArrow(run, "a bigint, b bigint, root_a bigint, root_b bigint").distinct()
 
 
-def _pairs(found: set[tuple[int, int]]) -> pa.RecordBatch:
+def _pairs(found: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
     rows = sorted(found)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"]
-    )
+    names = ["a", "b", "root_a", "root_b"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=names)
 
 
 def _named(docs: DataFrame, n: int) -> DataFrame:
@@ -444,10 +461,19 @@ def classes(
     sets = stored(_signatures(docs, nodes, n), "ngram-signatures")
     stars = stored(_stars(tiles), "ngram-stars")
     links = stored(_verified(stars, sets, num, den), "ngram-links")
-    more = _unsettled(tiles, components(links), sets, num, den)
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = stored(more.join(tried, ["a", "b"], "left_anti"), "ngram-more")
-    links = links.union(_verified(more, sets, num, den))
+    # Components that meet in a tile are first bridged by one member each, so that dense groups
+    # are one component before their members are compared.
+    members = _open_members(tiles, components(links))
+    some = stored(members.groupBy("tile", "root").agg(F.max("node").alias("node")).select("tile", "node"), "ngram-some")
+    bridges = _stars(some).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    bridges = stored(bridges.join(tried, ["a", "b"], "left_anti"), "ngram-bridges")
+    links = stored(links.union(_verified(bridges, sets, num, den)), "ngram-links")
+    more = _unsettled(_open_members(tiles, components(links)), sets, num, den)
+    more = stored(more.join(tried.union(bridges), ["a", "b"], "left_anti"), "ngram-more")
+    # Of all links between two components one is enough.
+    joined = _verified(more, sets, num, den).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    links = links.union(joined)
     roots = components(links)
     member = least.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     member = stored(member, "ngram-members")
