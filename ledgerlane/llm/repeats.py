@@ -4,12 +4,12 @@ A window is ``window`` consecutive words of one document. A window that also sta
 (smaller key, or same document and earlier start) is removed with all its words; all windows
 are judged on the input.
 
-Windows that repeat at a quarter of the length are extended to half of it, and those that
-repeat there to the full length. At the shorter lengths not every word sequence is looked
-up: a window is represented by the one with the least hash within it, which two equal
-windows have in common. A window stays a candidate only if its representative occurs at
-two places or more. So the first level sends about one entry per eight words, and the last
-one only windows that almost surely repeat.
+Windows that repeat at one length alone are extended to twice that length, up to the full
+one; the first length is a parameter. Below the full length not every word sequence is
+looked up: a window is represented by the one with the least hash within it, which two
+equal windows have in common. A window stays a candidate only if its representative occurs
+at two places or more. So the first level sends one entry per six words or fewer, and the
+last one only windows that almost surely repeat.
 
 Entries travel packed (see ``packed``). A task that meets a sequence twice settles its own
 places at once and sends one entry for all, so a passage in a third of all documents
@@ -91,10 +91,14 @@ _ENTRY = ["range", "hash", "doc", "kind"]
 def _asked_rows(value: np.ndarray, doc: np.ndarray, count: int) -> list[tuple]:
     """Packed entries of one task's places: equal hashes are settled here, with one entry for others."""
     order = np.argsort(value, kind="stable")
-    value, doc = value[order], doc[order]
+    value, sorted_doc = value[order], doc[order]
     new = np.ones(len(value), bool)
     new[1:] = value[1:] != value[:-1]
-    several = ~new | np.append(~new[1:], False)
+    # Back in the order of the texts, in which document keys shrink well when written.
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    several = (~new | np.append(~new[1:], False))[at]
+    value, doc, new = value[at], sorted_doc[at], new[at]
     rows = []
     single = ~several
     head = new & several
@@ -162,112 +166,124 @@ def _kept_words(raw: bytes, remove: np.ndarray | None) -> bytes:
     return b" ".join(parts)
 
 
+def lengths(window: int, first: int) -> list[int]:
+    """Lengths below the window's, each twice the one before; the last is at least half of it."""
+    out = [first]
+    while out[-1] * 2 < window:
+        out.append(out[-1] * 2)
+    return out
+
+
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id", kept: str = "text"
+    docs: DataFrame,
+    window: int = WINDOW,
+    text: str = "text",
+    key: str = "doc_id",
+    kept: str = "text",
+    first_length: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_removed and what is kept.
 
     ``kept`` is "text" (column kept_text: the kept words joined by one space) or "sha256"
-    (column kept_sha256: lower-case hex of that text's digest; less is written). Null and
-    empty texts have no words and keep an empty text. Keys must be integers; rows without
-    key come before all others and count as one document. Rows that share a key are one
-    document in the order rule: a window is removed if an equal one starts at a smaller
-    word number in any of them, or in a document with a smaller key, so repeated rows
-    do not remove each other. An empty table gives no rows; other columns are not read.
+    (column kept_sha256: lower-case hex of that text's digest; less is written).
+    ``first_length`` is the length of the first level, half the window if not given; a
+    shorter one adds levels and changes no result. Null and empty texts have no words and
+    keep an empty text. Keys must be integers; rows without key come before all others and
+    count as one document. Rows that share a key are one document in the order rule: a
+    window is removed if an equal one starts at a smaller word number in any of them, or in
+    a document with a smaller key, so repeated rows do not remove each other. An empty
+    table gives no rows; other columns are not read.
     """
-    if window < 4:
-        raise ValueError("a window needs at least four words")
+    first_length = window // 2 if first_length is None else first_length
+    if not 1 <= first_length < window:
+        raise ValueError("the first length must be shorter than the window")
     spark = ready(docs.sparkSession)
     count = P.ranges(spark)
-    quarter, half = window // 4, window // 2
-    source = docs.select(
+    out_name = "kept_text" if kept == "text" else "kept_sha256"
+    levels = lengths(window, first_length)
+    pending = docs.select(
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(NO_KEY)).alias("doc"), F.col(f"`{text}`").cast("string").alias("text")
     )
 
-    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=False):
-                doc = _keys(batch.column(0).slice(low, high - low))
-                first = found.first
-                level = Level(found.hashes(), first, window, quarter)
-                valid = np.zeros(len(level.at), bool)
-                for t in np.flatnonzero(found.counts >= window):
-                    a, b = _windows(first, t, window)
-                    valid[a:b] = True
-                places = np.unique(level.at[valid])
-                owner = doc[np.searchsorted(first, places, "right") - 1]
-                yield P.row_batch(_asked_rows(level.gram[places], owner, count), _ENTRY)
-
-    small = _repeated(source.mapInArrow(first_level, P.schema(_ENTRY)))
-    out_name = "kept_text" if kept == "text" else "kept_sha256"
-
     def finish(raw: bytes, remove: np.ndarray | None) -> str:
         words = _kept_words(raw, remove)
         return words.decode("utf-8") if kept == "text" else hashlib.sha256(words).hexdigest()
 
-    def candidates(found: W.Words, levels: list[tuple[Level, list[bytes | None]]], t: int) -> np.ndarray:
-        a, b = _windows(found.first, t, window)
-        good = np.ones(b - a, bool)
-        for level, wanted in levels:
-            good &= _inside(level.of(a, b), wanted[t])
-        return a + np.flatnonzero(good)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def candidates(found: W.Words, hashes: np.ndarray, rows: list[list[bytes | None]]) -> list[np.ndarray]:
+        """Per text its windows whose representatives repeat at all levels passed so far."""
+        passed = [Level(hashes, found.first, window, n) for n in levels[: len(rows)]]
+        out = []
+        for t, n in enumerate(found.counts):
+            a, b = _windows(found.first, t, window)
+            good = np.full(b - a, n >= window)
+            for level, wanted in zip(passed, rows, strict=True):
+                good &= _inside(level.of(a, b), wanted[t])
+            out.append(a + np.flatnonzero(good))
+        return out
+
+    def asking(step: int):
+        """Entries of the representatives at a level, of the windows left by the levels before."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=False):
+                    doc = _keys(batch.column(0).slice(low, high - low))
+                    rows = [batch.column(2 + i).slice(low, high - low).to_pylist() for i in range(step)]
+                    hashes = found.hashes()
+                    level = Level(hashes, found.first, window, levels[step])
+                    places = np.unique(level.at[np.concatenate(candidates(found, hashes, rows))])
+                    owner = doc[np.searchsorted(found.first, places, "right") - 1]
+                    yield P.row_batch(_asked_rows(level.gram[places], owner, count), _ENTRY)
+
+        return run
+
+    def settling(step: int):
         """Rows without candidates are done; the others go on with their text."""
-        for batch in batches:
-            for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=False):
-                wanted = batch.column(2).slice(low, high - low).to_pylist()
-                some = [w is not None and n >= window for w, n in zip(wanted, found.counts, strict=True)]
-                level = Level(found.hashes(), found.first, window, quarter) if any(some) else None
-                raw, bounds = found.data.tobytes(), found.text_start.tolist()
-                texts, done = [], []
-                for t in range(high - low):
-                    own = raw[bounds[t] : bounds[t + 1]]
-                    pending = some[t] and len(candidates(found, [(level, wanted)], t))
-                    texts.append(own.decode("utf-8") if pending else None)
-                    done.append(None if pending else finish(own, None))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(low, high - low),
-                        pa.array(found.counts),
-                        pa.array(done, pa.string()),
-                        pa.array(texts, pa.string()),
-                        pa.array([w if x is not None else None for w, x in zip(wanted, texts, strict=True)], pa.binary()),
-                    ],
-                    names=["doc", "n_words", "kept", "text", "small"],
-                )
-
-    settled = _with(source, small, "small").mapInArrow(
-        settle, "doc bigint, n_words bigint, kept string, text string, small binary"
-    )
-    settled = stored(settled, "repeats-settled")
-    pending = settled.where("text is not null").select("doc", "text", "small")
 
-    def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=False):
-                doc = _keys(batch.column(0).slice(low, high - low))
-                wanted = batch.column(2).slice(low, high - low).to_pylist()
-                hashes = found.hashes()
-                fine, wide = Level(hashes, found.first, window, quarter), Level(hashes, found.first, window, half)
-                at = [candidates(found, [(fine, wanted)], t) for t in range(high - low)]
-                places = np.unique(wide.at[np.concatenate(at)])
-                owner = doc[np.searchsorted(found.first, places, "right") - 1]
-                yield P.row_batch(_asked_rows(wide.gram[places], owner, count), _ENTRY)
-
-    large = _repeated(pending.mapInArrow(second_level, P.schema(_ENTRY)))
-    both = _with(pending, large, "large").where("large is not null")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=False):
+                    rows = [batch.column(2 + i).slice(low, high - low).to_pylist() for i in range(step + 1)]
+                    some = any(w is not None for w in rows[-1])
+                    at = candidates(found, found.hashes(), rows) if some else []
+                    raw, bounds = found.data.tobytes(), found.text_start.tolist()
+                    texts, done = [], []
+                    for t in range(high - low):
+                        own = raw[bounds[t] : bounds[t + 1]]
+                        going = some and len(at[t]) > 0
+                        texts.append(own.decode("utf-8") if going else None)
+                        done.append(None if going else finish(own, None))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(low, high - low),
+                            pa.array(found.counts),
+                            pa.array(done, pa.string()),
+                            pa.array(texts, pa.string()),
+                            *[pa.array([w if x is not None else None for w, x in zip(r, texts, strict=True)], pa.binary()) for r in rows],
+                        ],
+                        names=["doc", "n_words", "kept", "text", *[f"level{i}" for i in range(step + 1)]],
+                    )
+
+        return run
+
+    done = []
+    for step in range(len(levels)):
+        repeated = _repeated(pending.mapInArrow(asking(step), P.schema(_ENTRY)))
+        columns = [f"level{i}" for i in range(step + 1)]
+        schema = ", ".join(["doc bigint, n_words bigint, kept string, text string", *[f"{c} binary" for c in columns]])
+        settled = _with(pending, repeated, columns[-1]).mapInArrow(settling(step), schema)
+        settled = stored(settled, "repeats-settled")
+        done.append(settled.where("text is null").select("doc", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept"))
+        pending = settled.where("text is not null").select("doc", "text", *columns)
     names = ["range", "hash", "doc", "start", "tag", "kind"]
 
     def last_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=False):
                 doc = _keys(batch.column(0).slice(low, high - low))
-                fine_in, wide_in = (batch.column(i).slice(low, high - low).to_pylist() for i in (2, 3))
+                rows = [batch.column(2 + i).slice(low, high - low).to_pylist() for i in range(len(levels))]
                 hashes = found.hashes()
-                fine, wide = Level(hashes, found.first, window, quarter), Level(hashes, found.first, window, half)
-                at = [candidates(found, [(fine, fine_in), (wide, wide_in)], t) for t in range(high - low)]
-                places = np.concatenate(at)
+                places = np.concatenate(candidates(found, hashes, rows))
                 text = np.searchsorted(found.first, places, "right") - 1
                 value = W.grams(hashes, window)[places]
                 start = (places - found.first[text]).astype(np.uint32)
@@ -280,7 +296,8 @@ def remove_repeats(
         later = kind == PASSED
         asked = np.flatnonzero(~later)
         later[asked] = _later(value[asked], doc[asked], start[asked])
-        doc, start, tag = doc[later], start[later], tag[later]
+        order = np.lexsort((start[later], doc[later]))
+        doc, start, tag = doc[later][order], start[later][order], tag[later][order]
         where = P.cut(W.mix(doc.astype(_U)), count)
         yield P.row_batch([(r, doc[i].tobytes(), start[i].tobytes(), tag[i].tobytes()) for r, i in where], ["range", "doc", "start", "tag"])
 
@@ -290,7 +307,7 @@ def remove_repeats(
         order = np.lexsort((both, doc))
         yield _by_doc(doc[order], both[order], "starts")
 
-    asked = both.mapInArrow(last_level, P.schema(names))
+    asked = pending.mapInArrow(last_level, P.schema(names))
     gone = P.reduce_ranges(asked, firsts, P.schema(["range", "doc", "start", "tag"]))
     gone = P.reduce_ranges(gone, gather, "doc bigint, starts binary")
 
@@ -318,8 +335,9 @@ def remove_repeats(
     final = _with(pending.select("doc", "text"), gone, "starts").mapInArrow(
         remove, "doc bigint, n_words bigint, n_removed bigint, kept string"
     )
-    done = settled.where("text is null").select("doc", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept")
-    return final.union(done).select(
+    for rows in done:
+        final = final.union(rows)
+    return final.select(
         F.when(F.col("doc") == NO_KEY, None).otherwise(F.col("doc")).alias(key), "n_words", "n_removed", F.col("kept").alias(out_name)
     )
 

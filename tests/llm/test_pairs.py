@@ -72,6 +72,8 @@ def test_repeats(frame, made, size):
     assert removed(frame(made).repartition(5), size) == expected
     digests = {d: (*x[:2], brute.sha(x[2])) for d, x in expected.items()}
     assert removed(frame(made), size, "sha256") == digests
+    more = repeats.remove_repeats(frame(made), size, first_length=size // 4).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in more} == expected
 
 
 def test_repeats_keys(frame):
