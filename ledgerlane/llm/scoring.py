@@ -11,12 +11,13 @@ more probes and a singleton no space. False positives can only raise a count.
 * The parts are handed to the workers in groups of at most FILTER_BYTES; each group costs one
   pass over the texts, in which the quantised counts found so far travel along as one byte
   a token. So what is broadcast stays bounded however large the corpus is.
-* p(w | v) = BACK * p(w) + (1 - BACK) * min(1, c(v w) / c(v)), where p(w) is add-one smoothed. Counts of
-  the EXACT_WORDS most frequent words are exact (a table of that size is broadcast), all other
-  counts in the model come from the filter. The first word follows the end token.
+* p(w | v) = BACK * p(w) + (1 - BACK) * min(1, c(v w) / c(v)), where p(w) is add-one smoothed. All
+  three counts come from the filter, whatever the size of the table. The first word follows
+  the end token.
 
-The base score needs exact counts of rare words too: their tokens are sent, packed, to the
-reducers that hold the counts, and the sums come back per document.
+The base score needs exact counts. Those of the EXACT_WORDS most frequent words are broadcast;
+the tokens of rarer words are sent, packed, to the reducers that hold the counts, and the
+sums come back per document.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from ledgerlane.llm.jobs import ready, stored
 _U = np.uint64
 #: Hash that stands for the end of a text.
 END = _U(0xE2D0F7E47A1B5C31)
-#: Words whose exact counts are broadcast, at most.
+#: Words whose exact counts are broadcast for the base score, at most.
 EXACT_WORDS = 1 << 18
 #: Bytes of filter handed out at once, about.
 FILTER_BYTES = 64 << 20
@@ -143,6 +144,11 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1] - 1
 
 
+def least_count(level: np.ndarray) -> np.ndarray:
+    """The least count of each level; 0 where no level was found."""
+    return np.where(level > 0, np.exp2(level.astype(np.float64)), 0.0)
+
+
 def _places(keys: np.ndarray, level: np.ndarray, bits: np.ndarray, probe: int) -> np.ndarray:
     """Bit number of a probe for (key, level) in a filter of ``bits`` bits."""
     a = W.mix(keys + level.astype(_U) * _U(0x9FB21C651E98DF25))
@@ -314,8 +320,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bytes
                 for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=True):
                     token, first = tokens(found)
                     pair = bloom.level(bigrams(token, first))
-                    word = np.where(exact.value.get(token) > 0, 0, bloom.level(token)).astype(np.uint8)
-                    both = np.stack([pair, word], axis=1)
+                    both = np.stack([pair, bloom.level(token)], axis=1)
                     if before is not None:
                         old = b"".join(before.slice(low, high - low).to_pylist())
                         both = np.maximum(both, np.frombuffer(old, np.uint8).reshape(-1, 2))
@@ -350,14 +355,13 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bytes
                 if not alone:
                     old = np.frombuffer(b"".join(batch.column(2).slice(low, high - low).to_pylist()), np.uint8).reshape(-1, 2)
                     pair, word = np.maximum(pair, old[:, 0]), np.maximum(word, old[:, 1])
-                # A rare word's count: its level's least, 1 where no level is known.
-                count = np.where(known > 0, known, 1 << np.minimum(word, 62).astype(np.int64)).astype(np.float64)
+                count, together = least_count(word), least_count(pair)
                 context = np.empty(len(token))
                 context[1:] = count[:-1]
-                context[first[:-1]] = max(int(exact.value.get(np.array([END]))[0]), 1)
-                together = np.where(pair > 0, np.exp2(pair.astype(np.float64)), 0.0)
-                single = (np.where((known > 0) | (word > 0), count, 0) + 1) / (total + distinct + 1)
-                p = BACK * single + (1 - BACK) * np.minimum(together / context, 1.0)
+                # A text's first token follows the end token, which is also its last.
+                context[first[:-1]] = count[first[1:] - 1]
+                single = (count + 1) / (total + distinct + 1)
+                p = BACK * single + (1 - BACK) * np.minimum(together / np.maximum(context, 1.0), 1.0)
                 base = np.where(known > 0, np.log10(known + 1.0) - log_all, 0.0)
                 rare = known == 0
                 rows = high - low

@@ -234,6 +234,14 @@ def test_language_model(frame, made, texts):
     assert scoring.score(frame({})).count() == 0
 
 
+def test_scores_do_not_depend_on_the_exact_words(frame, made):
+    # Counts of 1, 3 and 5 among them, which no level but the least power of two tells.
+    docs = made | {200: "once", 202: "thrice thrice thrice", 203: "five " * 5}
+    few, many = ({r["doc_id"]: r for r in scoring.score(frame(docs), exact_words=n).collect()} for n in (0, 1 << 18))
+    assert {d: r["score"] for d, r in few.items()} == pytest.approx({d: r["score"] for d, r in many.items()}, rel=1e-12)
+    assert {d: r["base_score"] for d, r in few.items()} == pytest.approx({d: r["base_score"] for d, r in many.items()}, rel=1e-12)
+
+
 def test_filter_never_forgets_and_seldom_invents():
     rnd = np.random.default_rng(4)
     keys = rnd.integers(0, 1 << 63, 20_000).astype(np.uint64)
