@@ -1,9 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds n-grams with their counts quantised to powers of two: an n-gram seen
-2 ** q to 2 ** (q + 1) - 1 times is entered q times, as (n-gram, 1) ... (n-gram, q). A count
-is read back by probing level after level until one is missing, so a frequent n-gram costs
-more probes and a singleton no space. False positives can only raise a count.
+The filter holds every n-gram with its count c quantised to q = 1 + floor(log2 c): it is
+entered q times, as (n-gram, 1) ... (n-gram, q). A count is read back, as the least of its
+level, 2 ** (q - 1), by probing level after level until one is missing, so a frequent n-gram
+costs more probes and a singleton one entry. False positives can only raise a count.
 
 * Counting: every task counts the unigrams and bigrams of its training texts in arrays and
   sends them packed by key range; a range's reducer adds them up and builds its own part of
@@ -144,9 +144,9 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1] - 1
 
 
-def least_count(level: np.ndarray) -> np.ndarray:
-    """The least count of each level; 0 where no level was found."""
-    return np.where(level > 0, np.exp2(level.astype(np.float64)), 0.0)
+def least_count(quantised: np.ndarray) -> np.ndarray:
+    """The least count of each quantised count, which is 1 + its level; 0 where nothing was found."""
+    return np.where(quantised > 0, np.exp2(quantised - 1.0), 0.0)
 
 
 def _places(keys: np.ndarray, level: np.ndarray, bits: np.ndarray, probe: int) -> np.ndarray:
@@ -158,8 +158,7 @@ def _places(keys: np.ndarray, level: np.ndarray, bits: np.ndarray, probe: int) -
 
 def build_filter(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Bytes of a filter holding the keys' quantised counts."""
-    q = levels(counts)
-    keys, q = keys[q > 0], q[q > 0]
+    q = 1 + levels(counts)
     size = max(64, int(q.sum()) * BITS)
     flags = np.zeros(-(-size // 8) * 8, bool)
     m = _U(len(flags))
@@ -184,7 +183,11 @@ class Filter:
         self.data = np.frombuffer(b"".join(d for _, d in parts), np.uint8)
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """Highest level found of each key; 0 for keys of ranges that are not here."""
+        """floor(log2(count)) of each key; 0 for keys that are not here."""
+        return np.maximum(self.quantised(keys), 1) - 1
+
+    def quantised(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised count found of each key; 0 for unseen keys and those of ranges that are not here."""
         where = P.range_of(keys, self.ranges)
         out = np.zeros(len(keys), np.uint8)
         todo = np.flatnonzero(self.start[where] >= 0)
@@ -311,7 +314,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bytes
     groups = model.parts(filter_bytes) or [[]]
 
     def passed(frame: DataFrame, handed, first_pass: bool) -> DataFrame:
-        """Adds the levels that this group of filter parts knows: a byte per bigram, one per word."""
+        """Adds the quantised counts that this group of filter parts knows: a byte per bigram, one per word."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bloom = handed.value
@@ -319,8 +322,8 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bytes
                 before = None if first_pass else batch.column(2)
                 for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=True):
                     token, first = tokens(found)
-                    pair = bloom.level(bigrams(token, first))
-                    both = np.stack([pair, bloom.level(token)], axis=1)
+                    pair = bloom.quantised(bigrams(token, first))
+                    both = np.stack([pair, bloom.quantised(token)], axis=1)
                     if before is not None:
                         old = b"".join(before.slice(low, high - low).to_pylist())
                         both = np.maximum(both, np.frombuffer(old, np.uint8).reshape(-1, 2))
@@ -351,7 +354,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bytes
             for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=True):
                 token, first = tokens(found)
                 known = exact.value.get(token)
-                pair, word = bloom.level(bigrams(token, first)), bloom.level(token)
+                pair, word = bloom.quantised(bigrams(token, first)), bloom.quantised(token)
                 if not alone:
                     old = np.frombuffer(b"".join(batch.column(2).slice(low, high - low).to_pylist()), np.uint8).reshape(-1, 2)
                     pair, word = np.maximum(pair, old[:, 0]), np.maximum(word, old[:, 1])

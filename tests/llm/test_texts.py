@@ -242,6 +242,34 @@ def test_scores_do_not_depend_on_the_exact_words(frame, made):
     assert {d: r["base_score"] for d, r in few.items()} == pytest.approx({d: r["base_score"] for d, r in many.items()}, rel=1e-12)
 
 
+def test_words_and_bigrams_seen_once_are_known(frame, made):
+    rnd = random.Random(3)
+    passage = [f"rare{i}" for i in range(200)]
+    mixed = rnd.sample([f"new{i}" for i in range(200)], 200)
+    learnt = [d for d in range(1000, 1050) if not scoring.held_out(d)][:2]
+    docs = made | {learnt[0]: " ".join(passage), learnt[1]: " ".join(passage[:100] + mixed[:100])}
+    # Held-out documents are scored, but teach nothing.
+    out = [d for d in range(2000, 2050) if scoring.held_out(d)][:3]
+    docs |= {out[0]: " ".join(passage[100:]), out[1]: " ".join(rnd.sample(passage[100:], 100)), out[2]: " ".join(f"unseen{i}" for i in range(100))}
+    rows = {r["doc_id"]: r["score"] / r["n_tokens"] for r in scoring.score(frame(docs)).collect()}
+    # A once-seen passage follows its bigrams; its words in another order are known but unconnected.
+    assert rows[out[0]] > rows[out[1]] + 1
+    assert rows[out[1]] > rows[out[2]] + 0.1
+
+
+def test_filter_holds_counts_of_one():
+    rnd = np.random.default_rng(5)
+    keys = rnd.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    counts = np.concatenate([np.ones(10_000, np.int64), rnd.integers(1, 100, 10_000)])
+    bloom = scoring.Filter([(0, scoring.build_filter(keys, counts).tobytes())], 1)
+    found = bloom.quantised(keys).astype(int)
+    assert (found >= 1 + np.floor(np.log2(counts))).all()
+    assert (found[:10_000] == 1).mean() > 0.97
+    least = scoring.least_count(np.array([0, 1, 2, 3], np.uint8))
+    assert least.tolist() == [0, 1, 2, 4]
+    assert (bloom.quantised(rnd.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.03
+
+
 def test_filter_never_forgets_and_seldom_invents():
     rnd = np.random.default_rng(4)
     keys = rnd.integers(0, 1 << 63, 20_000).astype(np.uint64)
