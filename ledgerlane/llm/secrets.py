@@ -3,8 +3,8 @@
 Everything is a DataFrame expression; no Python runs on the executors.
 
 Spans of kinds ``assign``, ``access`` and ``hex`` come from patterns. Spans of kind
-``random`` come from tests. A candidate is a run of 20 or more characters of the base64
-alphabets that holds no pattern span. Its encoding is inferred from its characters
+``random`` come from tests. A candidate is what pattern spans leave of a run of the base64
+alphabets, 20 or more characters together. Its encoding is inferred from its characters
 (``hex`` in one case, ``base32``, ``alnum`` or ``base64``), which fixes the number of
 symbols K and each symbol's rank. Three tests ask whether the ranks look like K equally
 likely independent symbols:
@@ -13,13 +13,21 @@ likely independent symbols:
 * Wald-Wolfowitz runs above and below the middle rank,
 * serial correlation of neighbouring ranks.
 
-Each gives a two-sided p-value; the candidate's p-value is three times the least, at most 1.
-A random string has p-values spread evenly, other text crowds near 0, and short strings
-are told apart less well. So false discoveries are controlled per encoding and length
-class: the candidates with p above one half, doubled, estimate how many random strings
-the class has; the class's limit is the least of a few p-values at which the others among
-the accepted are estimated at no more than ``rate`` of them. A class without such a limit
-gives no discoveries. Only class counts, at most 4 * 8 * 20, leave the executors.
+Each gives a two-sided p-value. The least of them, m, is made even over (0, 1) for random
+strings: u = 1 - (1 - m) ** 2.6, as three tests that depend on each other count like 2.6.
+
+A fourth test looks at words and not at ranks: the neighbouring pairs that are among
+the commonest letter pairs of English, in any case. A random string has them by chance at a
+rate that its alphabet fixes; a run with more than WORDY deviations above that is ordinary
+whatever its u, which a random string meets in about one case of 50.
+
+Limits on u are set per encoding and length class. No limit is above FALLBACK, so that no class
+loses more than that share of its random strings to the three tests, however many ordinary runs
+share the class. A limit is lower where the false ones stay below ``rate`` of the accepted.
+They are estimated without the accepted runs: of the runs that the three tests surely refuse,
+the share that the fourth lets pass, times the runs that only the fourth refuses. Classes
+that are small or noisy take FALLBACK itself; there ``rate`` is not promised, as ordinary runs
+of rare letter pairs can pass. Only class counts, at most 4 * 8 * 2 * 6, leave the executors.
 """
 
 from __future__ import annotations
@@ -48,8 +56,22 @@ ALPHABETS = {
 }
 #: Upper ends of the length classes; the last class has no end.
 LENGTH_CLASSES = (24, 32, 40, 48, 64, 96, 128)
-P_STEPS = 20
+#: So many independent tests give the least p-value that the three give (simulated).
+EFFECTIVE_TESTS = 2.6
+#: Limits on u that a class may have; the last one is for classes without a better one.
+LIMITS = (0.001, 0.01, 0.02, 0.03, 0.05)
+FALLBACK = LIMITS[-1]
+#: Runs a class has below the least limit before its limit may be lower than FALLBACK.
+ENOUGH = 50
 RATE = 0.1
+#: Frequent pairs of English letters: the second letters by the first.
+PAIRS = {
+    "a": "bcdgilmnprst", "b": "aeloru", "c": "aehiklot", "d": "aeio", "e": "acdelmnrstvx", "f": "eior", "g": "ehir",
+    "h": "aeio", "i": "cdeglmnorstv", "k": "e", "l": "adeiloty", "m": "aeiop", "n": "acdegiost", "o": "cdflmnoprstuw",
+    "p": "aelor", "q": "u", "r": "adeiosty", "s": "aehiopstu", "t": "aehiorsu", "u": "lmnrst", "v": "aei", "w": "aehio", "y": "s",
+}
+_PAIR = "(?=" + "|".join(f"{a}[{b}]" for a, b in PAIRS.items()) + ")"
+WORDY = 2.6
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -143,7 +165,7 @@ def _sums(symbols: Column, table: Column, k: Column) -> Column:
 
 
 def _battery(a: Column, k: Column) -> Column:
-    """Three times the least p-value of the three tests, at most 1."""
+    """The least p-value of the three tests."""
     zero, least = F.lit(0.0), F.lit(1e-12)
     n = a["n"]
     # Chi-squared over four ranges of ranks; those of 62 ranks differ in size.
@@ -166,7 +188,38 @@ def _battery(a: Column, k: Column) -> Column:
     lag = a["sxy"] - middle * (2 * a["s"] - a["first"] - a["last"]) + (n - 1) * middle * middle
     # Expected at -1 / n, with variance near 1 / n.
     p_lag = F.when(spread > least, _tail((lag / F.greatest(spread, least) + 1 / n) * F.sqrt(n))).otherwise(zero)
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_lag))
+    return F.least(p_chi, p_runs, p_lag)
+
+
+def pair_rate(code: str) -> float:
+    """Share of the pairs of an encoding's symbols that PAIRS has, in any case of letters."""
+    letters = ALPHABETS[code]
+    return sum(b.lower() in PAIRS.get(a.lower(), "") for a in letters for b in letters) / len(letters) ** 2
+
+
+def _wordy(token: Column, code: Column) -> Column:
+    """Whether the token has more frequent letter pairs than random symbols of its encoding."""
+    rates = F.create_map(*[x for k in ALPHABETS for x in (F.lit(k), F.lit(pair_rate(k)))])
+    n, q = (F.length(token) - 1).cast("double"), rates[code]
+    return F.regexp_count(F.lower(token), F.lit(_PAIR)) - 0.5 > n * q + WORDY * F.sqrt(n * q * (1 - q))
+
+
+def _beside(run: Column, base: Column) -> Column:
+    """What spans, sorted by start, leave of a run: stretches long enough for a candidate."""
+    kind = f"struct<at:bigint,out:{_SPAN}>"
+    empty = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("out")).cast(kind)
+
+    def cut(done: Column, end: Column) -> Column:
+        piece = F.struct(done["at"].alias("start"), F.lit(3).alias("kind"), end.alias("end"))
+        return F.when(end - done["at"] >= CANDIDATE_CHARS, F.concat(done["out"], F.array(piece))).otherwise(done["out"])
+
+    near = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(
+        near,
+        empty,
+        lambda done, b: F.struct(F.greatest(done["at"], b["end"]).alias("at"), cut(done, b["start"]).alias("out")).cast(kind),
+        lambda done: cut(done, run["end"]),
+    )
 
 
 def _length_class(size: Column) -> Column:
@@ -177,9 +230,12 @@ def _length_class(size: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Candidate runs as (start, end, code, size class, p), without those touching a base span."""
+    """Candidates as (start, end, code, size class, p, u, wordy), beside the base spans.
+
+    ``p`` is three times the least p-value, at most 1, and ``u`` the even one; see above.
+    """
     runs = _spans(text, CANDIDATE, 3, CANDIDATE_CHARS)
-    free = F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    free = F.flatten(F.transform(runs, lambda r: _beside(r, base)))
 
     # Each transform binds what the next one uses, so that nothing is computed per symbol.
     tables = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))])
@@ -201,6 +257,7 @@ def candidates(text: Column, base: Column) -> Column:
             r["start"].alias("start"),
             r["end"].alias("end"),
             r["code"].alias("code"),
+            _wordy(r["token"], r["code"]).alias("wordy"),
             tables[r["code"]].alias("table"),
             F.length(tables[r["code"]]).cast("double").alias("k"),
             F.filter(
@@ -220,41 +277,56 @@ def candidates(text: Column, base: Column) -> Column:
             r["start"].alias("start"),
             r["end"].alias("end"),
             r["code"].alias("code"),
+            r["wordy"].alias("wordy"),
             r["k"].alias("k"),
             _sums(r["symbols"], r["table"], r["k"]).alias("sums"),
         ),
     )
-    return F.transform(
+    tested = F.transform(
         summed,
+        lambda r: F.struct(
+            r["start"].alias("start"),
+            r["end"].alias("end"),
+            r["code"].alias("code"),
+            r["wordy"].alias("wordy"),
+            _battery(r["sums"], r["k"]).alias("m"),
+        ),
+    )
+    return F.transform(
+        tested,
         lambda r: F.struct(
             r["start"].alias("start"),
             r["end"].alias("end"),
             r["code"].alias("code"),
             _length_class(r["end"] - r["start"]).alias("size"),
-            _battery(r["sums"], r["k"]).alias("p"),
+            F.least(F.lit(1.0), 3 * r["m"]).alias("p"),
+            (1 - F.pow(1 - r["m"], F.lit(EFFECTIVE_TESTS))).alias("u"),
+            r["wordy"].alias("wordy"),
         ),
     )
 
 
 def limits(found: DataFrame, rate: float = RATE) -> dict[tuple[str, int], float]:
-    """The least accepted p-value of each (encoding, length class) that has one."""
+    """The least accepted u of each (encoding, length class) that has candidates."""
+    step = sum((F.col("c.u") >= x).cast("int") for x in LIMITS)
     counts = (
         found.select(F.explode("candidates").alias("c"))
-        .groupBy("c.code", "c.size", F.least(F.floor(F.col("c.p") * P_STEPS), F.lit(P_STEPS - 1)).cast("int").alias("step"))
+        .groupBy("c.code", "c.size", "c.wordy", step.alias("step"))
         .count()
-        .collect()  # at most len(ALPHABETS) * 8 * P_STEPS rows
+        .collect()  # at most len(ALPHABETS) * 8 * 2 * (len(LIMITS) + 1) rows
     )
-    classes: dict[tuple[str, int], list[int]] = {}
-    for code, size, step, n in counts:
-        classes.setdefault((code, size), [0] * P_STEPS)[step] += n
+    classes: dict[tuple[str, int], list[list[int]]] = {}
+    for code, size, wordy, step, n in counts:
+        classes.setdefault((code, size), [[0] * (len(LIMITS) + 1) for _ in range(2)])[wordy][step] += n
     out = {}
-    for key, steps in classes.items():
-        genuine = 2 * sum(steps[P_STEPS // 2 :])
-        for s in range(P_STEPS // 2 + 1):
-            accepted = sum(steps[s:])
-            false = accepted - genuine * (1 - s / P_STEPS)
-            if accepted and false <= rate * accepted:
-                out[key] = s / P_STEPS
+    for key, (plain, wordy) in classes.items():
+        out[key] = FALLBACK
+        refused = plain[0] + wordy[0]
+        if refused < ENOUGH or not wordy[0]:
+            continue
+        for i, limit in enumerate(LIMITS, 1):
+            if sum(wordy[i:]) * plain[0] / wordy[0] <= rate * sum(plain[i:]):
+                out[key] = limit
                 break
     return out
 
@@ -276,12 +348,12 @@ def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     if not accepted:
         return out
     allowed = F.create_map(
-        *[x for (code, size), p in sorted(accepted.items()) for x in (F.lit(f"{code}:{size}"), F.lit(float(p)))]
+        *[x for (code, size), u in sorted(accepted.items()) for x in (F.lit(f"{code}:{size}"), F.lit(float(u)))]
     )
     more = F.transform(
         F.filter(
             candidates(whole, F.col("secret_spans")),
-            lambda c: c["p"] >= F.coalesce(allowed[F.concat_ws(":", c["code"], c["size"])], F.lit(2.0)),
+            lambda c: ~c["wordy"] & (c["u"] >= F.coalesce(allowed[F.concat_ws(":", c["code"], c["size"])], F.lit(FALLBACK))),
         ),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )

@@ -110,6 +110,54 @@ def test_random_strings_are_told_from_words(spark, frame):
     assert first["spans"] == "random:4:48"
 
 
+def test_few_keys_are_found_beside_many_ordinary_runs(frame):
+    rnd = random.Random(12)
+    symbols, parts = secrets.ALPHABETS["base64"], ["get", "User", "Name", "Path", "index", "2", "Item", "list", "Value", "Size", "7"]
+    keys = {d: "".join(rnd.choice(symbols) for _ in range(rnd.choice([22, 30, 44]))) for d in range(60)}
+    words = {1000 + d: "/".join("".join(rnd.choice(parts) for _ in range(rnd.randrange(2, 5))) for _ in range(5))[:44] for d in range(1500)}
+
+    def found(docs):
+        rows = secrets.digest(secrets.scan(frame({d: f"see {x} end" for d, x in docs.items()}))).collect()
+        return {r["doc_id"]: r["n_random"] for r in rows}
+
+    both = found(keys | words)
+    assert sum(both[d] for d in keys) >= 50
+    assert sum(both[d] for d in words) <= 0.02 * len(words)
+    # A single key in its class is found too, whether its p-value is above one half or not.
+    alone = [sum(found({d: keys[d]}).values()) for d in list(keys)[:8]]
+    assert sum(alone) >= 6
+
+
+def test_ordinary_runs_that_pass_the_three_tests_are_refused(spark, frame):
+    # Letters in changing case spread over the ranks like random symbols do, but spell words.
+    rnd = random.Random(13)
+    words = ["THE", "SERVER", "CONTENT", "PARAMETER", "ENTRIES", "OPERATION", "SEQUENCE", "HEADING", "MATERIAL", "STATION", "VERTICAL", "ORIENTED"]
+    runs = ["".join(rnd.choice(words) for _ in range(8))[: rnd.choice([22, 24])] for _ in range(400)]
+    docs = {d: "".join(rnd.choice([c, c.lower()]) for c in run) for d, run in enumerate(runs)}
+    df = frame(docs)
+    tested = df.select(F.explode(secrets.candidates(F.col("text"), F.array().cast(secrets._SPAN))).alias("c")).select("c.*").collect()
+    high = [r for r in tested if r["p"] > 0.5]
+    assert len(high) >= 10
+    rows = secrets.digest(secrets.scan(df)).collect()
+    assert sum(r["n_random"] for r in rows) <= 0.05 * len(rows)
+
+
+def test_even_p_values_are_even(spark):
+    rnd = random.Random(14)
+    tokens = [("".join(rnd.choice(secrets.ALPHABETS["base64"]) for _ in range(40)),) for _ in range(3000)]
+    df = spark.createDataFrame(tokens, "text string")
+    found = df.select(F.explode(secrets.candidates(F.col("text"), F.array().cast(secrets._SPAN))).alias("c")).select("c.*").collect()
+    for limit in (0.05, 0.25, 0.5, 0.75):
+        assert np.mean([r["u"] < limit for r in found]) == pytest.approx(limit, abs=0.04)
+    assert np.mean([r["wordy"] for r in found]) < 0.03
+
+
+def test_rests_of_runs_beside_pattern_spans_are_tested(spark):
+    df = spark.createDataFrame([("Zq7Rk2Xv9Lw4Tn8Yb3Hc6J_0123456789abcdef_short",)], "text string")
+    found = df.select(secrets.candidates(F.col("text"), secrets.base_spans(F.col("text"))).alias("c")).first()["c"]
+    assert [(r["start"], r["end"]) for r in found] == [(0, 23)]
+
+
 def test_battery_agrees_with_its_formulas(spark):
     tokens = ["0123456789abcdef" * 3, "f" * 24, "Zm9vYmFyIGJheiBxdXV4IGNvcmdl", "ABCDEFGH234567ABCDEFGH"]
     df = spark.createDataFrame([(t,) for t in tokens], "text string")
