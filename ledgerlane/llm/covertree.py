@@ -320,12 +320,13 @@ def near_duplicates(
 
     ``n_links`` counts the other rows linked directly, copies included; ``component_id`` is
     the least key reachable by links, the row's own included. Vectors that are null, empty,
-    zero, hold null or non-finite components, or have another length than most vectors
-    (ties: the greater length) link with nothing. Keys must be integers; rows without key take
+    zero or hold null or non-finite components link with nothing. Vectors of different lengths
+    do not link; each length has its own cover tree, and its own jobs, so tables of very many
+    lengths take long. Keys must be integers; rows without key take
     part, and a class of such rows alone has no component_id. Rows that share a key are rows
     of their own. An empty table gives no rows; other columns are not read.
     """
-    spark = ready(vectors.sparkSession)
+    ready(vectors.sparkSession)
     v = F.col("vector")
     source = vectors.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{column}`").cast("array<double>").alias("vector"))
     good = (
@@ -336,9 +337,23 @@ def near_duplicates(
     )
     # A null component makes the condition null.
     good = F.coalesce(good, F.lit(False))
-    length = source.where(good).groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    good = good & (F.size(v) == (length["n"] if length else 0))
-    points = source.where(good).groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("weight"))
+    usable = source.where(good)
+    lengths = [r["n"] for r in usable.select(F.size(v).alias("n")).distinct().orderBy("n").collect()]
+    alone = source.where(~good).select("key", F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"))
+    if not lengths:
+        return alone.withColumnRenamed("key", key)
+    found = [_classes(usable.where(F.size(v) == n), least, rows) for n in lengths]
+    classes = found[0]
+    for other in found[1:]:
+        classes = classes.union(other)
+    kept = usable.join(classes, "vector").select("key", "n_links", "component_id")
+    return kept.union(alone).withColumnRenamed("key", key)
+
+
+def _classes(source: DataFrame, least: float, rows: int) -> DataFrame:
+    """(vector, n_links, component_id) of the distinct vectors of one length."""
+    spark = source.sparkSession
+    points = source.groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("weight"))
     # Points are numbered once, in the written table.
     points = stored(points.select(F.monotonically_increasing_id().alias("point"), "least", "weight", "vector"), "cover-points")
     sample = points.orderBy(F.xxhash64("vector"), "point").limit(SAMPLE).select("vector").toArrow()
@@ -383,10 +398,7 @@ def near_duplicates(
     rooted = stored(rooted, "cover-roots")
     firsts = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "cover-firsts")
     classes = rooted.join(firsts, "root").select("vector", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
-    classes = stored(classes, "cover-classes")
-    kept = source.where(good).join(classes, "vector").select("key", "n_links", "component_id")
-    alone = source.where(~good).select("key", F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"))
-    return kept.union(alone).withColumnRenamed("key", key)
+    return stored(classes, "cover-classes")
 
 
 def _compare(located: DataFrame, where: dict, n_blocks: int, pairs: list[tuple[int, int]], least: float) -> DataFrame:

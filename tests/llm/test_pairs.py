@@ -145,3 +145,11 @@ def test_near_vectors_of_hot_group_and_empty_table(spark):
     assert {tuple(r) for r in found if r["vec_id"] is not None} == {(k, 89, 0) for k in range(90)}
     assert [tuple(r) for r in found if r["vec_id"] is None] == [(None, 0, None)]
     assert vectors(spark.createDataFrame([], schema)) == {}
+
+
+def test_vectors_link_within_every_length(spark):
+    vectors = {1: [1.0, 0.0], 2: [1.0, 0.01], 3: [0.0, 1.0], 4: [0.0, 1.0], 5: [1.0, 0.0, 0.0], 6: [2.0, 0.0, 0.0], 7: [3.0], 8: [1.0], 9: [0.0], 10: None}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    rows = covertree.near_duplicates(df).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == brute.near_vectors(vectors, 0.9)
+    assert len(rows) == len(vectors)
