@@ -43,13 +43,14 @@ REMEMBERED = 100_000
 
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
-EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
+EMAIL = re.compile(r"(?<![\w.+%-])_*[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")
 #: Forms that hold digits, in order of precedence where two begin at one place.
 NUMBER = re.compile(
     r"(?<![\w.+-])(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?P<iso>\d{4}-\d{2}-\d{2})(?![\w-])"
+    r"|(?P<iso>\d{4}-\d{2}-\d{2})(?:(?![\w-])|(?=[Tt]\d{2}))"
+    r"|(?P<ymd>\d{4}/\d{1,2}/\d{1,2})(?:(?!\w)|(?=[Tt]\d{2}))"
     r"|(?P<dmy>\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4})(?!\w)"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?P<card>\d(?:[\x20-]?\d){12,18})(?![\w])"
@@ -223,6 +224,12 @@ class Pseudonyms:
         moved = self._day(*map(int, value.split("-")))
         return moved and moved.isoformat()
 
+    def _ymd(self, value: str) -> str | None:
+        year, month, day = value.split("/")
+        moved = self._day(int(year), int(month), int(day))
+        widths = [2 if len(x) == 2 else 1 for x in (month, day)]
+        return moved and f"{moved.year:04d}/{moved.month:0{widths[0]}d}/{moved.day:0{widths[1]}d}"
+
     def _dmy(self, value: str) -> str | None:
         """Day first, or month first where only that is a date; padded where the text is."""
         sep = "." if "." in value else "/"
@@ -271,7 +278,7 @@ class Pseudonyms:
         return "".join([*out, text[last:]]), [(a, b, k) for a, b, k, _ in spans]
 
 
-_NAMES = {"iso": "date", "dmy": "date", "nanp": "phone", "intl": "phone"}
+_NAMES = {"iso": "date", "ymd": "date", "dmy": "date", "nanp": "phone", "intl": "phone"}
 _HINT = re.compile(r"[0-9@]")
 
 
