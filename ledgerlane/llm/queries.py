@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlane.llm import bpe, covertree, licenses, ngrams, privacy, quality, repeats, scoring, secrets, suffixes
+from ledgerlane.llm import (
+    bpe,
+    covertree,
+    infill,
+    licenses,
+    ngrams,
+    privacy,
+    quality,
+    repeats,
+    scoring,
+    secrets,
+    suffixes,
+    topk,
+    whitening,
+)
 from ledgerlane.llm.jobs import ready
 from ledgerlane.llm.oracle import all_oracles  # noqa: F401  (the entry points read both here)
 
@@ -72,6 +86,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), path)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(table(spark, sf_dir, "embeddings"), components=16))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def all_queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -86,5 +112,8 @@ def all_queries() -> dict[str, Query]:
             op8_embedding_duplicates,
             op9_license_scan,
             op10_quality_classifier,
+            op11_fill_in_middle,
+            op12_embedding_whitening,
+            op13_topk_search,
         )
     }
