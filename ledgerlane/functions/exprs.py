@@ -75,22 +75,27 @@ def parse_instant(text: Column) -> Column:
     """Instant of an accepted text, NULL for anything else.
 
     A shape check plus Spark's own cast: the cast rejects impossible dates, the
-    shape rejects the short forms the cast would let through.
+    shape rejects the short forms the cast would let through. The common form, a day and
+    a time to the second, is cast as it is; only the others are rewritten.
     """
     plain = _plain_form(text)
     # A day alone takes no offset.
     timed = F.when(F.length(text) == 10, F.concat(text, F.lit(" 00:00:00"))).otherwise(plain)
-    return F.when(
-        text.rlike(S.PLAIN_TIMESTAMP), F.concat(timed, F.lit("Z")).try_cast("timestamp")
-    ).when(text.rlike(S.OFFSET_TIMESTAMP), plain.try_cast("timestamp"))
+    return (
+        F.when(text.rlike(S.COMMON_TIMESTAMP), F.concat(text, F.lit("Z")).try_cast("timestamp"))
+        .when(text.rlike(S.PLAIN_TIMESTAMP), F.concat(timed, F.lit("Z")).try_cast("timestamp"))
+        .when(text.rlike(S.OFFSET_TIMESTAMP), plain.try_cast("timestamp"))
+    )
 
 
 def parse_wall_time(text: Column) -> Column:
     """UTC wall clock of an accepted text; plain texts need no detour over an instant."""
     plain = _plain_form(text)
-    return F.when(
-        text.rlike(S.PLAIN_TIMESTAMP), plain.try_cast("timestamp_ntz")
-    ).when(text.rlike(S.OFFSET_TIMESTAMP), utc_wall_time(plain.try_cast("timestamp")))
+    return (
+        F.when(text.rlike(S.COMMON_TIMESTAMP), text.try_cast("timestamp_ntz"))
+        .when(text.rlike(S.PLAIN_TIMESTAMP), plain.try_cast("timestamp_ntz"))
+        .when(text.rlike(S.OFFSET_TIMESTAMP), utc_wall_time(plain.try_cast("timestamp")))
+    )
 
 
 def utc_wall_time(instant: Column) -> Column:

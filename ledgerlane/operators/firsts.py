@@ -9,19 +9,30 @@ from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
 
+# Groups of tasks whose first rows are chosen before those of all tasks.
+TASK_GROUPS = 256
+# Buckets of keys, each represented by its least.
+KEY_BUCKETS = 64
+
 
 def in_order(columns: Sequence[str]) -> list[Column]:
     return [F.asc_nulls_last(c) for c in columns]
 
 
 def first_rows(df: DataFrame, group: str, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows of each group; every task keeps n rows a group before the shuffle."""
-    window = Window.partitionBy(group).orderBy(*in_order(order))
-    return (
-        df.withColumn("position", F.row_number().over(window))
-        .filter(F.col("position") <= n)
-        .drop("position")
-    )
+    """The first ``n`` rows of each group, in two levels.
+
+    Every task keeps n rows a group. Tasks are dealt into TASK_GROUPS, each of which keeps n, and
+    the groups' rows meet last, so that no task takes n rows from every other.
+    """
+    tasks = df.withColumn("task_group", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)))
+    few = _first(tasks, [group, "task_group"], order, n)
+    return _first(few.drop("task_group"), [group], order, n)
+
+
+def _first(df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    window = Window.partitionBy(*groups).orderBy(*in_order(order))
+    return df.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= n).drop("position")
 
 
 def key_cells(columns: Sequence[str]) -> str:
@@ -34,9 +45,18 @@ def key_cells(columns: Sequence[str]) -> str:
 
 
 def first_keys(df: DataFrame, group: str, cells: str, n: int = 5) -> DataFrame:
-    """One text per group: its first ``n`` distinct keys, cells by ``,`` and keys by ``; ``."""
-    firsts = first_rows(df.select(group, cells).distinct(), group, [cells], n)
-    keys = F.array_sort(F.collect_list(cells))
+    """One text per group: its first ``n`` distinct keys, cells by ``,`` and keys by ``; ``.
+
+    Keys are dealt into KEY_BUCKETS by their hash, and each task sends one least key per group and
+    bucket. The n-th of these, which are all different, bounds the n-th of all keys from above, so
+    that only the few keys up to it are told apart in a second reading.
+    """
+    dealt = df.withColumn("bucket", F.pmod(F.xxhash64(cells), F.lit(KEY_BUCKETS)))
+    least = dealt.groupBy(group, "bucket").agg(F.min(cells).alias("least"))
+    ends = least.groupBy(group).agg(F.get(F.array_sort(F.collect_list("least")), F.lit(n - 1)).alias("end"))
+    upto = F.col("end").isNull() | (F.col(cells) <= F.col("end"))
+    near = df.join(F.broadcast(ends), group).filter(upto)  # one row per group
+    keys = F.slice(F.array_sort(F.collect_list(cells)), 1, n)
     text = F.transform(
         keys,
         lambda key: F.array_join(
@@ -46,7 +66,8 @@ def first_keys(df: DataFrame, group: str, cells: str, n: int = 5) -> DataFrame:
             ",",
         ),
     )
-    return firsts.groupBy(group).agg(F.array_join(text, "; ").alias("sample_keys"))
+    found = near.groupBy(group, cells).agg(F.count("*").alias("rows"))
+    return found.groupBy(group).agg(F.array_join(text, "; ").alias("sample_keys"))
 
 
 def sample_keys(df: DataFrame, columns: Sequence[str], n: int = 5) -> DataFrame:

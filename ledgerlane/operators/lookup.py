@@ -1,9 +1,10 @@
 """Joins of a large, possibly skewed side to a side with at most one row per key.
 
 A plain equi-join puts all rows of one key into one task. A run therefore counts the rows
-of every key once, exactly, and hands the hot keys to its joins. The rows of hot keys,
-the missing key among them, take a broadcast join and are not shuffled: the other side
-has one row per key, so what is broadcast is bounded by the number of hot keys.
+of every key once, exactly, and hands the hot keys to its joins. Both sides are then read
+once: the rows of a hot key, the missing key among them, are spread over several tasks by a
+number beside the key, and the one row of a hot key on the other side is repeated for each.
+What is broadcast is the list of hot keys.
 
 A key is hot with more than ``hot_rows`` rows and more than one row in HOT_SHARE of its table,
 so there are fewer than HOT_SHARE hot keys in a table of any size. Without measured keys the
@@ -14,13 +15,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A key below this many rows fits one shuffle partition comfortably.
 HOT_ROWS = 1_000_000
 # A hot key holds more than this part of its table, which bounds their number.
 HOT_SHARE = 100_000
+# Tasks that the rows of one hot key are spread over. A hot key's row on the other side is
+# repeated as often, which the limit on hot keys bounds.
+HOT_PARTS = 64
+HOT_PART = "hot_part"
+IS_HOT = "is_hot"
 
 
 def hot_values(df: DataFrame, column: str, hot_rows: int = HOT_ROWS) -> list[str | None]:
@@ -85,18 +91,40 @@ def lookup_join(
     keys: Sequence[str],
     how: str,
     hot: DataFrame | None = None,
+    parts: int = HOT_PARTS,
 ) -> DataFrame:
     """Join ``left`` to ``right``, which must have at most one row per key.
 
     ``how`` is inner, left, left_semi or left_anti; a NULL key matches nothing.
-    ``hot`` has the columns ``keys`` and fewer than HOT_SHARE rows.
+    ``hot`` has the columns ``keys`` and fewer than HOT_SHARE rows. Both sides are read
+    once: rows of hot keys get one of ``parts`` numbers on the left, and the one row of a hot
+    key on the right is repeated for each number, so that the key's rows spread over as many
+    tasks. A missing key matches nothing, so its rows are spread without any partner.
     """
     if hot is None:
         return left.join(right, list(keys), how)
-    ordinary, in_place = split_hot(left, keys, hot)
-    _, few = split_hot(right, keys, hot)
-    spread = ordinary.join(right, list(keys), how)
-    return spread.unionByName(in_place.join(F.broadcast(few), list(keys), how))
+    on = [*keys, HOT_PART]
+    # By content and place: copies of one row spread too, and a task run again gives the same numbers.
+    number = F.pmod(F.xxhash64(*_comparable(left)) + F.spark_partition_id(), F.lit(parts)).cast("int")
+    spread = tagged_hot(left, keys, hot).withColumn(HOT_PART, F.when(F.col(IS_HOT), number).otherwise(0))
+    numbers = F.when(F.col(IS_HOT), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = tagged_hot(right, keys, hot).withColumn(HOT_PART, F.explode(numbers)).drop(IS_HOT)
+    return spread.drop(IS_HOT).join(repeated, on, how).drop(HOT_PART)
+
+
+def tagged_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """``df`` with a flag for rows of hot keys; a missing key equals a missing key."""
+    listed = hot.select(*[F.col(k).alias(f"hot_{i}") for i, k in enumerate(keys)], F.lit(True).alias(IS_HOT))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & df[k].eqNullSafe(F.col(f"hot_{i}"))
+    found = df.join(F.broadcast(listed), same, "left").drop(*[f"hot_{i}" for i in range(len(keys))])
+    return found.withColumn(IS_HOT, F.coalesce(IS_HOT, F.lit(False)))
+
+
+def _comparable(df: DataFrame) -> list[str]:
+    """Columns whose values spread rows; maps cannot be hashed."""
+    return [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
 
 
 # Stand-ins for a nullable key, under which a missing key equals a missing key.
@@ -117,8 +145,3 @@ def with_nullable_key(df: DataFrame, column: str) -> DataFrame:
             KEY_MISSING: F.col(column).isNull(),
         }
     )
-
-
-def nullable_key() -> Column:
-    """The key text behind the stand-in columns, NULL where it is missing."""
-    return F.when(~F.col(KEY_MISSING), F.col(KEY_VALUE))

@@ -56,34 +56,49 @@ def _conflicts(orders, events, hot, of_hot_keys) -> DataFrame:
 
 
 def _within_key(created: DataFrame, dated: DataFrame) -> DataFrame:
-    """For keys of ordinary size: a walk from late to early over the violators and their orders.
+    """For keys of ordinary size: one row per key with its orders' moments, sorted.
 
-    An event violates exactly if it precedes its key's latest order, one row a key. Only
-    the violators, and the orders of their keys, reach the walk.
-    At equal moments events come first, so an order counts for earlier events only.
-    Undated orders are left out before; they count for no event.
+    An event violates exactly if it precedes its key's latest order; only violators are
+    searched for their place among the moments. Undated orders count for no event.
     """
-    created = with_nullable_key(created.filter(F.col("moment").isNotNull()), "order_id")
-    latest = created.groupBy(*NULLABLE_KEY).agg(F.max("moment").alias("latest"))
+    moments = order_moments(with_nullable_key(created, "order_id"))
     dated = with_nullable_key(dated.filter(F.col("moment").isNotNull()), "order_id")
-    dated = dated.join(latest, NULLABLE_KEY).filter(F.col("moment") < F.col("latest")).drop("latest")
-    keys = dated.select(*NULLABLE_KEY).distinct()
-    created = created.join(keys, NULLABLE_KEY, "left_semi")
-    rows = dated.withColumn("is_order", F.lit(0)).unionByName(
-        created.withColumn("is_order", F.lit(1)), allowMissingColumns=True
-    )
-    from_late = (
-        Window.partitionBy(*NULLABLE_KEY)
-        .orderBy(F.desc("moment"), F.asc("is_order"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = dated.join(moments, NULLABLE_KEY).filter(F.col("moment") < F.col("latest"))
+    return found.withColumn("later_orders", later_than(F.col("moments"), F.col("moment"))).drop(
+        "moments", "latest", "moment", *NULLABLE_KEY
     )
+
+
+def order_moments(created: DataFrame) -> DataFrame:
+    """Per key, of rows with the stand-in columns: the sorted moments of its dated orders, and the latest."""
     return (
-        rows.withColumn("later_orders", F.sum("is_order").over(from_late))
-        .filter((F.col("is_order") == 0) & (F.col("later_orders") > 0))
-        .drop("is_order", "moment", *NULLABLE_KEY)
+        created.filter(F.col("moment").isNotNull())
+        .groupBy(*NULLABLE_KEY)
+        .agg(F.array_sort(F.collect_list("moment")).alias("moments"), F.max("moment").alias("latest"))
     )
 
 
+def later_than(moments: Column, moment: Column) -> Column:
+    """How many entries of a sorted array are later than a moment, by binary search.
+
+    As many halvings as the array's length has binary digits; each keeps the range in which the
+    first later entry lies.
+    """
+    span = F.struct(F.lit(0).alias("low"), F.size(moments).alias("high"))
+    halvings = F.sequence(F.lit(1), F.length(F.bin(F.size(moments))))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        done = at["low"] >= at["high"]
+        # The entry is read at a place inside the array even when nothing is left to halve.
+        before = F.get(moments, F.least(middle, F.size(moments) - 1)) <= moment
+        low = F.when(~done & before, middle + 1).otherwise(at["low"])
+        high = F.when(~done & ~before, middle).otherwise(at["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    return F.aggregate(halvings, span, halve, lambda at: F.size(moments) - at["low"]).cast("bigint")
+
+
 def _by_calendar(created: DataFrame, dated: DataFrame) -> DataFrame:
     """For hot keys: orders are ranked by distinct moment, events look their moment up."""
     created, dated = _with_points(created), _with_points(dated)

@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from ledgerlane import schemas as S
 from ledgerlane.operators.lookup import (
     HOT_ROWS,
-    MeasuredTables,
     hot_frame,
     hot_values,
-    measured,
 )
 from ledgerlane.plans import insights as I
 from ledgerlane.plans import models as M
@@ -33,15 +31,13 @@ def check(
 ) -> tuple[DataFrame, DataFrame]:
     """Check the raw tables and write report and samples; nothing is loaded.
 
-    Hot keys are measured once, for all rules. Returns both as written.
+    Hot keys are found on the way. Returns both as written.
     """
-    if not isinstance(tables, MeasuredTables):
-        tables = measured(tables, S.KEY_COLUMNS, hot_rows)
     report_path, samples_path = (
         f"{reports_path}/data_quality_report",
         f"{reports_path}/failed_samples",
     )
-    report, samples = run_quality_checks(tables, rules)
+    report, samples = run_quality_checks(tables, rules, hot_rows)
     # Both have a bounded number of rows (one, or 50, per rule): a single file each,
     # by a last small shuffle that leaves the stages before it parallel.
     report.repartition(1).write.mode("overwrite").parquet(f"{report_path}.parquet")

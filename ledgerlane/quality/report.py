@@ -1,6 +1,7 @@
 """Failure counts, sample keys and sample rows of a set of rules.
 
-Counting does not run rule by rule. Row predicates of one table share one scan without
+A run finds and stores all violating rows first (``violations``). ``count_failures`` needs no
+stored rows and stays lazy. It does not run rule by rule either: row predicates of one table share one scan without
 a shuffle. The rules that compare orders with events share one join of per-key counts,
 one row a key on either side, so that neither hot keys nor copies reach a task unreduced.
 """
@@ -17,61 +18,71 @@ from pyspark.sql import types as T
 from ledgerlane import schemas as S
 from ledgerlane.functions import exprs as X
 from ledgerlane.operators.firsts import first_keys, first_rows, key_cells
+from ledgerlane.operators.lookup import HOT_ROWS
 from ledgerlane.quality import rules as R
 from ledgerlane.quality.bindings import standard_rules
 from ledgerlane.quality.rules import Rule, Tables
-
-RELATION_CHECKS = (
-    R.OrdersWithoutEvents,
-    R.EventsWithoutOrders,
-    R.CompletedWithoutPayment,
+from ledgerlane.quality.violations import (
+    RELATION_CHECKS,
+    Found,
+    find,
+    is_order_key_duplicate,
+    sql_text,
+    violating,
 )
 
-
 def run_quality_checks(
-    tables: Tables, rules: Sequence[Rule] | None = None
+    tables: Tables, rules: Sequence[Rule] | None = None, hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame]:
     """The report (one row per rule) and the failed samples.
 
-    Counting runs at once, as one job with one result row per rule; sample keys and
-    sample rows then read the tables again for the rules that failed, and only those.
+    The tables are read at once, and their violating rows stored with all counts
+    (``violations.find``); report and samples read what was stored. No hot keys need be
+    measured before: the pass over the keys finds them.
     """
-    rules = tuple(rules or standard_rules())
-    counts = measure(tables, rules)
-    return (
-        quality_report(tables, rules, counts),
-        failed_samples(tables, _failing(rules, counts), rules),
-    )
+    found = find(tables, tuple(rules or standard_rules()), hot_rows)
+    return report_of(found, tables), samples_of(found, tables, found.rules)
 
 
-def measure(tables: Tables, rules: Sequence[Rule]) -> dict[str, tuple[int, int]]:
-    """rule_id -> (failed_rows, total_rows)."""
-    rows = count_failures(tables, rules).collect()
-    return {r["rule_id"]: (r["failed_rows"], r["total_rows"]) for r in rows}
+def quality_report(tables: Tables, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """One row per rule in the order of the rules."""
+    return report_of(find(tables, tuple(rules or standard_rules())), tables)
 
 
-def quality_report(
+def failed_samples(
     tables: Tables,
     rules: Sequence[Rule] | None = None,
-    counts: dict[str, tuple[int, int]] | None = None,
+    shown_for: Sequence[Rule] = (),
+    n: int = R.SAMPLE_ROWS,
 ) -> DataFrame:
-    """One row per rule in the order of the rules."""
-    rules = tuple(rules or standard_rules())
-    counts = measure(tables, rules) if counts is None else counts
+    """Up to ``n`` violating rows of each rule, first in the order of the sample columns.
+
+    The columns are the same whichever rules fail; a rule leaves those it does not show
+    NULL. ``shown_for`` adds the columns of rules beyond those evaluated.
+    """
+    rules = tuple(standard_rules() if rules is None else rules)
+    return samples_of(find(tables, rules), tables, (*rules, *shown_for), n)
+
+
+def rule_sample_keys(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
+    """rule_id and the text of its first five distinct keys; rules without failures are absent."""
+    return keys_of(find(tables, rules))
+
+
+def report_of(found: Found, tables: Tables) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     report = spark.createDataFrame(
         [
-            (i, r.rule_id, r.rule_name, r.table_name, r.severity, *counts[r.rule_id])
-            for i, r in enumerate(rules)
+            (i, r.rule_id, r.rule_name, r.table_name, r.severity, *found.counts[r.rule_id])
+            for i, r in enumerate(found.rules)
         ],
         "position int, rule_id string, rule_name string, table_name string,"
         " severity string, failed_rows bigint, total_rows bigint",
     ).withColumn(
         "failure_rate", X.ratio_or_zero(F.col("failed_rows"), F.col("total_rows"))
     )
-    failing = _failing(rules, counts)
-    if failing:
-        keys = F.broadcast(rule_sample_keys(tables, failing))  # one row per rule
+    if found.failing():
+        keys = F.broadcast(keys_of(found))  # one row per rule
         report = report.join(keys, "rule_id", "left")
     else:
         report = report.withColumn("sample_keys", F.lit(None).cast("string"))
@@ -82,14 +93,42 @@ def quality_report(
     )
 
 
-def _failing(
-    rules: Sequence[Rule], counts: dict[str, tuple[int, int]]
-) -> tuple[Rule, ...]:
-    return tuple(r for r in rules if counts[r.rule_id][0] > 0)
+def keys_of(found: Found) -> DataFrame:
+    parts = violating(found, lambda rule, df: {"cells": key_cells(rule.keys_in(df))})
+    return first_keys(reduce(DataFrame.unionByName, parts), "rule_id", "cells")
+
+
+def samples_of(
+    found: Found, tables: Tables, shown_for: Sequence[Rule], n: int = R.SAMPLE_ROWS
+) -> DataFrame:
+    extra = dict.fromkeys(c for r in shown_for for c in r.sample_columns)
+    columns = tuple(dict.fromkeys(S.SAMPLE_COLUMNS + tuple(extra)))
+    kinds = {f.name: f.dataType for f in S.DQ_FAILED_SAMPLES.fields}
+    if not found.failing():
+        spark = next(iter(tables.values())).sparkSession
+        kind = {c: kinds.get(c, T.StringType()) for c in ("rule_id", *columns)}
+        fields = [T.StructField(c, k) for c, k in kind.items()]
+        return spark.createDataFrame([], T.StructType(fields))
+
+    def shown(rule: Rule, df: DataFrame) -> dict[str, str]:
+        return {
+            c: f"CAST({f'`{c}`' if c in rule.sample_columns else 'NULL'} AS "
+            f"{kinds.get(c, T.StringType()).simpleString()})"
+            for c in columns
+        }
+
+    parts = violating(found, shown, repeated=n)
+    return first_rows(reduce(DataFrame.unionByName, parts), "rule_id", columns, n)
+
+
+def measure(tables: Tables, rules: Sequence[Rule]) -> dict[str, tuple[int, int]]:
+    """rule_id -> (failed_rows, total_rows), without storing violating rows."""
+    rows = count_failures(tables, rules).collect()
+    return {r["rule_id"]: (r["failed_rows"], r["total_rows"]) for r in rows}
 
 
 def count_failures(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
-    """rule_id, failed_rows, total_rows. Every pass adds its share of either number."""
+    """rule_id, failed_rows, total_rows, lazily. Every pass adds its share of either number."""
     shares: list[DataFrame] = []
     for table in dict.fromkeys(rule.table_name for rule in rules):
         shares.append(
@@ -98,7 +137,7 @@ def count_failures(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
     relations = [r for r in rules if isinstance(r.check, RELATION_CHECKS)]
     if relations:
         # Duplicate order keys fall out of the same per-key counts.
-        relations += [r for r in rules if _is_order_key_duplicate(r)]
+        relations += [r for r in rules if is_order_key_duplicate(r)]
         shares.append(_relation_shares(tables, relations))
     for rule in rules:
         if isinstance(rule.check, R.EventBeforeOrder):
@@ -116,91 +155,6 @@ def count_failures(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-def rule_sample_keys(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
-    """rule_id and the text of its first five distinct keys; rules without failures are absent."""
-    parts = [
-        rows.select("rule_id", "cells")
-        for rows in _violating_rows(
-            tables,
-            rules,
-            lambda rule, df: {"cells": key_cells(rule.keys_in(df))},
-        )
-    ]
-    return first_keys(reduce(DataFrame.unionByName, parts), "rule_id", "cells")
-
-
-def failed_samples(
-    tables: Tables,
-    rules: Sequence[Rule] | None = None,
-    shown_for: Sequence[Rule] = (),
-    n: int = R.SAMPLE_ROWS,
-) -> DataFrame:
-    """Up to ``n`` violating rows of each rule, first in the order of the sample columns.
-
-    The columns are the same whichever rules fail; a rule leaves those it does not show
-    NULL. ``shown_for`` adds the columns of rules beyond those evaluated.
-    """
-    rules = tuple(standard_rules() if rules is None else rules)
-    extra = dict.fromkeys(c for r in (*rules, *shown_for) for c in r.sample_columns)
-    columns = tuple(dict.fromkeys(S.SAMPLE_COLUMNS + tuple(extra)))
-    kinds = {f.name: f.dataType for f in S.DQ_FAILED_SAMPLES.fields}
-    if not rules:
-        spark = next(iter(tables.values())).sparkSession
-        kind = {c: kinds.get(c, T.StringType()) for c in ("rule_id", *columns)}
-        fields = [T.StructField(c, k) for c, k in kind.items()]
-        return spark.createDataFrame([], T.StructType(fields))
-
-    def shown(rule: Rule, df: DataFrame) -> dict[str, str]:
-        return {
-            c: f"CAST({f'`{c}`' if c in rule.sample_columns else 'NULL'} AS "
-            f"{kinds.get(c, T.StringType()).simpleString()})"
-            for c in columns
-        }
-
-    parts = [
-        rows.select("rule_id", *columns)
-        for rows in _violating_rows(tables, rules, shown, limited_to=n)
-    ]
-    return first_rows(
-        reduce(DataFrame.unionByName, parts), "rule_id", columns, n
-    )
-
-
-def _violating_rows(tables, rules, columns, limited_to: int | None = None):
-    """Per pass, the violating rows with rule_id and the columns ``columns(rule, df)`` names.
-
-    With ``limited_to`` enough rows for that many samples, else enough for all keys.
-
-    All row predicates of one table are tried in one scan: a row is repeated once for
-    each rule it breaks.
-    """
-    for table in dict.fromkeys(rule.table_name for rule in rules):
-        df = tables[table]
-        row_rules = [
-            r
-            for r in rules
-            if r.table_name == table and isinstance(r.check, R.RowCheck)
-        ]
-        if row_rules:
-            broken = []
-            for rule in row_rules:
-                fields = ", ".join(f"{c} AS `{n}`" for n, c in columns(rule, df).items())
-                row = F.expr(f"struct({_sql_text(rule.rule_id)} AS rule_id, {fields})")
-                broken.append(F.when(rule.check.predicate(df), row))
-            yield df.select(F.inline(F.array(*broken))).filter("rule_id IS NOT NULL")
-    for rule in rules:
-        if isinstance(rule.check, R.RowCheck):
-            continue
-        if limited_to is None:
-            rows = rule.check.key_rows(tables, rule.table_name)
-        else:
-            rows = rule.check.sample_rows(tables, rule.table_name, limited_to)
-        yield rows.selectExpr(
-            f"{_sql_text(rule.rule_id)} AS rule_id",
-            *[f"{c} AS `{n}`" for n, c in columns(rule, rows).items()],
-        )
-
-
 def _scan_shares(tables: Tables, table: str, rules: Sequence[Rule]) -> DataFrame:
     """One scan of a table: every rule's row total, and the failures of row predicates."""
     df = tables[table]
@@ -257,19 +211,6 @@ def _relation_shares(tables: Tables, rules: Sequence[Rule]) -> DataFrame:
     return _shares(both, {r: failures(r.check, r.table_name) for r in rules})
 
 
-def _is_order_key_duplicate(rule: Rule) -> bool:
-    return (
-        isinstance(rule.check, R.DuplicateCheck)
-        and rule.check.column == "order_id"
-        and rule.table_name in (S.ORDERS, S.ORDER_EVENTS)
-    )
-
-
-def _sql_text(value: str) -> str:
-    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{escaped}'"
-
-
 def _shares(
     df: DataFrame, failed: dict[Rule, Column], totals: Sequence[Rule] = ()
 ) -> DataFrame:
@@ -287,7 +228,7 @@ def _shares(
             f"total_{populations.index(rule.check.population)}" if rule in totals else "0"
         )
         rows.append(
-            f"{_sql_text(rule.rule_id)}, CAST(coalesce({n_failed}, 0) AS BIGINT),"
+            f"{sql_text(rule.rule_id)}, CAST(coalesce({n_failed}, 0) AS BIGINT),"
             f" CAST({n_total} AS BIGINT)"
         )
     return sums.selectExpr(

@@ -18,7 +18,6 @@ from ledgerlane.operators.lookup import (
     NULLABLE_KEY,
     hot_keys_of,
     lookup_join,
-    nullable_key,
     with_nullable_key,
 )
 from ledgerlane.operators.sequence import conflict_counts, events_before_orders
@@ -38,14 +37,6 @@ class Check:
     def violations(self, tables: Tables, table: str) -> DataFrame:
         raise NotImplementedError
 
-    def sample_rows(self, tables: Tables, table: str, n: int) -> DataFrame:
-        """Rows from which the first ``n`` violating rows are taken."""
-        return self.violations(tables, table)
-
-    def key_rows(self, tables: Tables, table: str) -> DataFrame:
-        """Rows holding every key of a violating row at least once."""
-        return self.violations(tables, table)
-
 
 @dataclass(frozen=True)
 class RowCheck(Check):
@@ -77,10 +68,6 @@ class DuplicateCheck(Check):
             *tables[table].columns
         )
 
-    def key_rows(self, tables: Tables, table: str) -> DataFrame:
-        repeated = self.repeated(tables, table)
-        return repeated.select(nullable_key().alias(self.column))
-
 
 @dataclass(frozen=True)
 class OrdersWithoutEvents(Check):
@@ -91,12 +78,6 @@ class OrdersWithoutEvents(Check):
         hot = hot_keys_of(tables, "order_id")
         return lookup_join(tables[S.ORDERS], keys, ["order_id"], "left_anti", hot)
 
-    def key_rows(self, tables: Tables, table: str) -> DataFrame:
-        # Both sides hold a key once: nothing can be hot.
-        orders = tables[S.ORDERS].select("order_id").distinct()
-        keys = tables[S.ORDER_EVENTS].select("order_id").distinct()
-        return lookup_join(orders, keys, ["order_id"], "left_anti")
-
 
 @dataclass(frozen=True)
 class EventsWithoutOrders(Check):
@@ -123,16 +104,6 @@ class CompletedWithoutPayment(Check):
         unpaid = lookup_join(completed, paid.distinct(), NULLABLE_KEY, "left_anti", hot)
         return unpaid.select("order_id")
 
-    def key_rows(self, tables: Tables, table: str) -> DataFrame:
-        completed, paid = self._sides(tables)
-        unpaid = lookup_join(
-            completed.select(*NULLABLE_KEY).distinct(),
-            paid.distinct(),
-            NULLABLE_KEY,
-            "left_anti",
-        )
-        return unpaid.select(nullable_key().alias("order_id"))
-
     @staticmethod
     def _sides(tables: Tables) -> tuple[DataFrame, DataFrame]:
         done = F.col("order_status") == S.COMPLETED
@@ -162,12 +133,6 @@ class EventBeforeOrder(Check):
         hot = hot_keys_of(tables, "order_id")
         return conflict_counts(tables[S.ORDERS], tables[S.ORDER_EVENTS], hot)
 
-    def sample_rows(self, tables: Tables, table: str, n: int) -> DataFrame:
-        found = self.violations(tables, table)
-        order = [F.asc_nulls_last(c) for c in S.SAMPLE_COLUMNS if c in found.columns]
-        pairs = F.sequence(F.lit(1), F.least("later_orders", F.lit(n)).cast("int"))
-        return found.orderBy(*order).limit(n).withColumn("pair", F.explode(pairs))
-
 
 @dataclass(frozen=True)
 class Rule:

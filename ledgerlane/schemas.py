@@ -54,6 +54,7 @@ MISSING_KEY_TEXT = "nan"
 # Accepted timestamp texts: a day, optionally T or a space and a time to the minute, second or
 # up to nine digits of it (cut to microseconds), optionally with a UTC offset: Z, +hh, +hhmm
 # or +hh:mm. Without an offset the time is UTC.
+COMMON_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}$"
 PLAIN_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 OFFSET_TIMESTAMP = (
     r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)? ?(Z|[+-]\d{2}(:?\d{2})?)$"

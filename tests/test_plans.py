@@ -8,8 +8,11 @@ from ledgerlane import schemas as S
 from ledgerlane.catalog.queries import all_queries
 from ledgerlane.plans import insights as I
 from ledgerlane.plans import models as M
+from ledgerlane.operators.lookup import measured
 from ledgerlane.quality import report as Q
+from ledgerlane.quality import violations as V
 from ledgerlane.quality.bindings import standard_rules
+from ledgerlane.sources import sinks
 from ledgerlane.sources.readers import read_parquet
 from tests.conftest import SF_DIR
 
@@ -86,10 +89,38 @@ def test_orders_and_events_shuffle_once_each_for_the_facts(spark, stored):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_samples_are_limited_before_the_shuffle(stored):
+def test_samples_are_limited_in_two_levels_before_each_shuffle(stored):
     text = plan(Q.failed_samples(stored))
-    assert text.count("WindowGroupLimit") == 2
-    assert text.index("Final") < text.index("Partial")
+    # Per task, per group of tasks, and once more on either side of the last shuffle.
+    assert text.count("WindowGroupLimit") == 4
+    last, first = text.index("Exchange hashpartitioning(rule_id"), text.index("Exchange hashpartitioning(rule_id", text.index("task_group"))
+    assert last < text.index("task_group") < first
+    assert text.rindex("WindowGroupLimit") > first
+
+
+def test_sample_keys_send_one_key_per_bucket_and_few_others(stored):
+    found = V.find(stored, standard_rules())
+    df = Q.keys_of(found)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    lines = text.splitlines()
+    told_apart = next(i for i, line in enumerate(lines) if "Aggregate [rule_id" in line and "cells" in line and "min(" not in line)
+    # Keys are told apart only below the filter against the n-th least of all buckets.
+    assert any("<= end" in line for line in lines[told_apart:])
+    assert "min(cells" in text
+
+
+def test_a_quality_run_scans_each_table_three_times(stored, monkeypatch):
+    """Once for the keys, once for order times or repeated keys, once for the rows."""
+    written = []
+    monkeypatch.setattr(V, "write_files", lambda df, path: (written.append(plan(df)), sinks.write_files(df, path)))
+    report, samples = Q.run_quality_checks(stored)
+    assert len(written) == 5
+    for name in (S.ORDERS, S.ORDER_EVENTS):
+        assert sum(text.count(f"/{name}]") for text in written) == 3
+    # The other scans read stored keys.
+    assert sum(text.count("FileScan") for text in written) == 6 + 5
+    for df in (report, samples):
+        assert f"/{S.ORDERS}]" not in plan(df) and f"/{S.ORDER_EVENTS}]" not in plan(df)
 
 
 def test_row_rules_of_a_table_share_one_scan_without_a_row_shuffle(stored):
@@ -99,10 +130,16 @@ def test_row_rules_of_a_table_share_one_scan_without_a_row_shuffle(stored):
     assert "hashpartitioning" not in text
 
 
-def test_only_events_before_their_keys_latest_order_reach_the_walk(stored):
+def test_events_meet_one_row_of_order_times_per_key(stored):
     from ledgerlane.operators.sequence import conflict_counts
 
-    df = conflict_counts(stored[S.ORDERS], stored[S.ORDER_EVENTS])
-    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    walk = next(i for i, line in enumerate(lines) if "Window [" in line)
-    assert any("moment" in line and "< latest" in line for line in lines[walk:])
+    text = plan(conflict_counts(stored[S.ORDERS], stored[S.ORDER_EVENTS]))
+    assert text.count("FileScan") == 2 and text.count("Join") == 1 and "Window" not in text
+    # Only events before their key's latest order are searched for their place.
+    assert any("Join" in line and "moment" in line and "< latest" in line for line in text.splitlines())
+
+
+def test_hot_keys_do_not_read_a_side_twice(spark, stored):
+    tables = measured(stored, S.KEY_COLUMNS, hot_rows=3)
+    plain, hot = (plan(M.build_models(t)["fct_orders"]) for t in (stored, tables))
+    assert tables.hot["order_id"] and hot.count("FileScan") == plain.count("FileScan") == 2

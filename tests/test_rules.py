@@ -6,10 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
+from ledgerlane.operators import firsts
 from ledgerlane.operators.lookup import measured
+from ledgerlane.operators.sequence import later_than
 from ledgerlane.quality import report as Q
 from ledgerlane.quality import rules as R
+from ledgerlane.quality import violations as V
 from ledgerlane.quality.bindings import standard_rules
+from tests.test_sequence import random_tables
 
 T0 = "2024-01-01 00:00:00"
 RULES = {r.rule_id: r for r in standard_rules()}
@@ -193,3 +197,58 @@ def test_hot_keys_do_not_change_a_rule(raw_by_profile, rule_id):
     tables = measured(raw, S.KEY_COLUMNS, hot_rows=2)
     assert len(tables.hot["order_id"]) > 100
     assert sorted(RULES[rule_id].violations(tables).collect(), key=str) == expected
+
+
+def test_hot_keys_do_not_change_a_run(raw_by_profile):
+    """With keys of few rows taken as hot, counts, keys and samples stay the same."""
+    raw = raw_by_profile["messy"]
+    plain = [sorted(df.collect(), key=str) for df in Q.run_quality_checks(raw)]
+    hot = [sorted(df.collect(), key=str) for df in Q.run_quality_checks(raw, hot_rows=3)]
+    assert hot == plain
+
+
+def test_a_run_over_random_tables_equals_the_rules_one_by_one(tables):
+    for seed in range(3):
+        _, _, raw = random_tables(seed, tables)
+        found = V.find(raw, list(RULES.values()), hot_rows=(1, 4, 100)[seed])
+        for rule in RULES.values():
+            rows = rule.violations(raw)
+            failed = rows.agg({"later_orders": "sum"}).first()[0] or 0 if rule.rule_id == "R013" else rows.count()
+            assert found.counts[rule.rule_id][0] == failed, rule.rule_id
+
+
+def test_more_rules_than_bits_and_checks_of_another_kind(spark):
+    class Small(R.Check):
+        def violations(self, tables, table):
+            return tables[table].filter("n < 3")
+
+    shops = spark.createDataFrame([(i, i % 5) for i in range(20)], "shop_id bigint, n int")
+    rules = [R.allowed_values("shops", "n", [i % 5], f"A{i:03d}", S.WARNING, ["shop_id"]) for i in range(70)]
+    rules.append(R.Rule("Z", "Small", "shops", S.WARNING, Small(), ("shop_id",), ("shop_id", "n")))
+    report, samples = Q.run_quality_checks({"shops": shops}, rules)
+    rows = report.collect()
+    assert [(r.failed_rows, r.total_rows) for r in rows] == [(16, 20)] * 70 + [(12, 20)]
+    assert rows[-1].sample_keys == "0; 1; 10; 11; 12"
+    assert samples.count() == 70 * 16 + 12
+
+
+def test_empty_tables_have_a_report(tables):
+    report, samples = Q.run_quality_checks(tables([], []))
+    assert {(r.failed_rows, r.total_rows, r.failure_rate, r.sample_keys) for r in report.collect()} == {(0, 0, 0.0, "")}
+    assert samples.count() == 0
+
+
+def test_first_keys_are_exact_whatever_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(firsts, "KEY_BUCKETS", 3)
+    rows = [("a", f"{i % 40:02d}") for i in range(400)] + [("b", "x"), ("b", "x"), ("c", None), ("c", "1")]
+    df = spark.createDataFrame(rows, "g string, k string").selectExpr("g", f"{firsts.key_cells(['k'])} AS cells")
+    found = {r["g"]: r["sample_keys"] for r in firsts.first_keys(df, "g", "cells", 5).collect()}
+    assert found == {"a": "00; 01; 02; 03; 04", "b": "x", "c": "1; nan"}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 8, 9, 33])
+def test_binary_search_counts_later_entries(spark, size):
+    moments = sorted([(i * 7) % 20 for i in range(size)])
+    df = spark.createDataFrame([(moments, m) for m in range(-1, 22)], "moments array<int>, moment int")
+    for r in df.withColumn("later", later_than(F.col("moments"), F.col("moment"))).collect():
+        assert r["later"] == sum(x > r["moment"] for x in moments)
