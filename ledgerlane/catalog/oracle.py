@@ -474,6 +474,32 @@ def _status() -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS s(insight, status, has_error)"
 
 
+_SHORT = """SELECT * REPLACE (
+    CASE WHEN order_id LIKE '%7' THEN NULL ELSE currency END AS currency,
+    CASE WHEN order_id LIKE '%7' THEN NULL ELSE order_status END AS order_status) FROM raw_orders"""
+
+_QUARANTINE = """SELECT CASE right(order_id, 1) WHEN '3' THEN 'too many cells' WHEN '5' THEN 'too few cells'
+    WHEN '9' THEN 'no number' ELSE 'fits' END AS reason, count(*) AS n_rows FROM raw_orders GROUP BY 1"""
+
+_TOKENS = """SELECT * REPLACE (CASE WHEN order_id LIKE '%1' THEN NULL ELSE customer_id END AS customer_id)
+    FROM raw_orders"""
+
+_ONE_MONTH = """SELECT * FROM fct_orders
+    WHERE order_created_at >= DATE '1996-02-10' AND order_created_at < DATE '1996-03-06'"""
+
+
+def _rerun() -> str:
+    return f"""SELECT k.*, run_id, 'messy' AS dq_profile, CAST(0 AS BIGINT) AS n, CAST(42 AS BIGINT) AS seed,
+        'dev' AS mode FROM ({_INSIGHTS["insight_03_status_kpis"]}) k, (VALUES ('run-1'), ('run-2')) AS r(run_id)"""
+
+
+def _refreshed() -> str:
+    parts = []
+    for messy, chosen in ((False, "IS DISTINCT FROM 1995"), (True, "= 1995")):
+        parts.append(f"SELECT * FROM ({_tables(messy)} SELECT * FROM fct_orders WHERE year(order_created_at) {chosen})")
+    return " UNION ALL ".join(parts)
+
+
 def all_oracles() -> dict[str, str]:
     messy = {
         name: f"SELECT * FROM {name}"
@@ -501,6 +527,15 @@ def all_oracles() -> dict[str, str]:
         "dq_gate": _gate(),
         "csv_roundtrip_orders": "SELECT * FROM raw_orders",
         "csv_roundtrip_order_events": "SELECT * FROM raw_order_events",
+        "csv_short_rows": _SHORT,
+        "csv_quarantine": _QUARANTINE,
+        "csv_two_layouts": "SELECT * FROM raw_orders",
+        "csv_missing_tokens": _TOKENS,
+        "raw_orders_month_first_times": "SELECT order_id, TRY_CAST(order_created_at AS TIMESTAMP) AS moment FROM raw_orders",
+        "dq_failure_counts_day_first": _counts(),
+        "fct_orders_bucketed": "SELECT * FROM fct_orders",
+        "fct_orders_one_month": _ONE_MONTH,
+        "insight_03_rerun": _rerun(),
         "table_replaced": "SELECT * FROM raw_orders",
         "catalog_replaced": "SELECT * FROM raw_orders",
         "raw_orders_view": "SELECT * FROM raw_orders",
@@ -524,6 +559,6 @@ def all_oracles() -> dict[str, str]:
         "dq_failed_samples_clean": _samples(),
         "raw_orders_iso_times": _ISO_TIMES,
     }
-    return {"table_appended": _appended()} | {name: f"{_tables(True)} {sql}" for name, sql in messy.items()} | {
+    return {"table_appended": _appended(), "fct_orders_refreshed": _refreshed()} | {name: f"{_tables(True)} {sql}" for name, sql in messy.items()} | {
         name: f"{_tables(False)} {sql}" for name, sql in clean.items()
     }

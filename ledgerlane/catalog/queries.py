@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
@@ -24,8 +24,9 @@ from ledgerlane.quality.bindings import standard_rules
 from ledgerlane.quality.gate import gate_decisions
 from ledgerlane.session import shared_folder
 from ledgerlane.sources import lifecycle as L
-from ledgerlane.sources.readers import read_raw, typed_timestamps
+from ledgerlane.sources.readers import read_csv, read_csv_checked, read_raw, typed_timestamps
 from ledgerlane.sources.sinks import RunContext, Warehouse, stamp, write_csv, write_files
+from ledgerlane.sources.timeforms import declare_times, infer_times
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -203,6 +204,135 @@ def _analysis_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("insight", "status", F.col("error").isNotNull().alias("has_error"))
 
 
+def _day_first(df: DataFrame, column: str) -> DataFrame:
+    """Timestamp texts written with the day first; texts that are none stay."""
+    moment = F.col(column).try_cast("timestamp_ntz")
+    return df.withColumn(column, F.coalesce(F.date_format(moment, "d/M/yyyy H:mm:ss"), F.col(column)))
+
+
+def _month_first_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order times written with the month first, their form found by counting."""
+    orders = raw(spark, sf_dir, L.MESSY)[S.ORDERS]
+    moment = F.col("order_created_at").try_cast("timestamp_ntz")
+    text = F.coalesce(F.date_format(moment, "MM/dd/yyyy HH:mm:ss"), F.col("order_created_at"))
+    found = infer_times(orders.select("order_id", text.alias("order_created_at")), "order_created_at")
+    return found.select("order_id", X.lenient_wall_time(found, "order_created_at").alias("moment"))
+
+
+def _counts_day_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure counts of tables with day-first times: one form found, one declared."""
+    tables = raw(spark, sf_dir, L.MESSY)
+    orders = _day_first(tables[S.ORDERS], "order_created_at")
+    events = _day_first(tables[S.ORDER_EVENTS], "event_timestamp")
+    tables = {
+        S.ORDERS: infer_times(orders, "order_created_at"),
+        S.ORDER_EVENTS: declare_times(events, {"event_timestamp": "day_first"}),
+    }
+    return Q.count_failures(tables, standard_rules())
+
+
+def _lines(df: DataFrame, folder: str, columns: list[str], line: Column) -> str:
+    """Rows written as the text lines of a CSV file with a header, as another program might."""
+    plain = df.select(line.alias(",".join(columns))).write.option("header", True).option("sep", "\x01").option("quote", "")
+    plain.csv(folder)
+    return folder
+
+
+def _cells(columns: list[str]) -> list[Column]:
+    return [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+
+
+def _csv_short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of order ids that end in 7 lack their last two cells and are padded."""
+    orders, columns = raw(spark, sf_dir, L.MESSY)[S.ORDERS], S.RAW_ORDERS.fieldNames()
+    cells = _cells(columns)
+    short = F.coalesce(F.col("order_id").endswith("7"), F.lit(False))
+    line = F.when(short, F.concat_ws(",", *cells[:-2])).otherwise(F.concat_ws(",", *cells))
+    path = _lines(orders, shared_folder(spark, "csv"), columns, line)
+    return read_csv_checked(spark, path, S.RAW_ORDERS, pad_short=True).rows
+
+
+def _csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows set aside, by reason: surplus cells, lacking cells, amounts that are no numbers."""
+    orders, columns = raw(spark, sf_dir, L.MESSY)[S.ORDERS], S.RAW_ORDERS.fieldNames()
+    cells = _cells(columns)
+    ends = F.substring("order_id", -1, 1)
+    wordy = [F.lit("much") if c == "order_amount" else cell for c, cell in zip(columns, cells, strict=True)]
+    line = (
+        F.when(ends == "3", F.concat_ws(",", *cells, F.lit("")))
+        .when(ends == "5", F.concat_ws(",", *cells[:-1]))
+        .when(ends == "9", F.concat_ws(",", *wordy))
+        .otherwise(F.concat_ws(",", *cells))
+    )
+    path = _lines(orders, shared_folder(spark, "csv"), columns, line)
+    found = read_csv_checked(spark, path, S.RAW_ORDERS)
+    aside = shared_folder(spark, "quarantine")
+    write_files(found.rejected, aside)
+    reasons = spark.read.parquet(aside).groupBy("reason").agg(F.count("*").alias("n_rows"))
+    return reasons.unionByName(found.rows.agg(F.lit("fits").alias("reason"), F.count("*").alias("n_rows")))
+
+
+def _csv_two_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in two folders whose files have their columns in different orders."""
+    orders, columns = raw(spark, sf_dir, L.MESSY)[S.ORDERS], S.RAW_ORDERS.fieldNames()
+    even = F.coalesce(F.substring("order_id", -1, 1).isin(*"02468"), F.lit(True))
+    paths = []
+    for rows, layout in ((orders.where(even), columns), (orders.where(~even), columns[::-1])):
+        paths.append(_lines(rows, shared_folder(spark, "csv"), layout, F.concat_ws(",", *_cells(layout))))
+    return read_csv(spark, paths, S.RAW_ORDERS)
+
+
+def _csv_missing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of order ids that end in 1 replaced by the texts that stand for a missing value, in turn."""
+    orders, columns = raw(spark, sf_dir, L.MESSY)[S.ORDERS], S.RAW_ORDERS.fieldNames()
+    tokens = F.array(*[F.lit(t) for t in S.MISSING_TOKENS])
+    turn = F.pmod(F.xxhash64("order_id"), F.lit(len(S.MISSING_TOKENS))).cast("int")
+    chosen = F.coalesce(F.col("order_id").endswith("1"), F.lit(False))
+    marked = orders.withColumn("customer_id", F.when(chosen, F.get(tokens, turn)).otherwise(F.col("customer_id")))
+    path = _lines(marked, shared_folder(spark, "csv"), columns, F.concat_ws(",", *_cells(columns)))
+    return read_csv(spark, path, S.RAW_ORDERS)
+
+
+def _fresh_database(spark: SparkSession) -> Warehouse:
+    database = f"run_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    return Warehouse(spark, database)
+
+
+def _bucketed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts over raw tables stored in buckets, with a limit that makes many keys hot."""
+    warehouse = _fresh_database(spark)
+    runs.store_keyed(warehouse, raw(spark, sf_dir, L.MESSY), 8, LOW_HOT_ROWS)
+    return runs.keyed_facts(warehouse)
+
+
+def _rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run written twice and another once: each is there once."""
+    warehouse = _fresh_database(spark)
+    facts = _model("fct_orders")(spark, sf_dir)
+    for run_id in ("run-1", "run-2", "run-1"):
+        context = RunContext(L.MESSY, 0, 42, S.DEV, run_id=run_id)
+        warehouse.write_parts("status_kpis", stamp(I.status_kpis(facts), context), "run_id")
+    return warehouse.table("status_kpis").drop("generated_at")
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of clean tables stored by month, of which the months of 1995 are rebuilt from messy ones."""
+    warehouse = _fresh_database(spark)
+    runs.refresh_facts(warehouse, raw(spark, sf_dir, L.CLEAN), unit="month")
+    months = [f"1995-{m:02d}-01" for m in range(1, 13)]
+    runs.refresh_facts(warehouse, raw(spark, sf_dir, L.MESSY), months, unit="month")
+    return warehouse.table("fct_orders_by_period").drop(M.PERIOD)
+
+
+def _one_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored facts of some days, read from their months alone."""
+    warehouse = _fresh_database(spark)
+    runs.refresh_facts(warehouse, raw(spark, sf_dir, L.MESSY), unit="month")
+    stored = warehouse.table("fct_orders_by_period")
+    return M.in_periods(stored, "1996-02-10", "1996-03-05", "month").drop(M.PERIOD)
+
+
 def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"orders_view_{uuid.uuid4().hex}"
     raw(spark, sf_dir, L.MESSY)[S.ORDERS].createOrReplaceTempView(name)
@@ -305,6 +435,16 @@ def all_queries() -> dict[str, Query]:
         "dq_gate_clean": _gate(L.CLEAN),
         "csv_roundtrip_orders": _csv_roundtrip(S.ORDERS),
         "csv_roundtrip_order_events": _csv_roundtrip(S.ORDER_EVENTS),
+        "csv_short_rows": _csv_short_rows,
+        "csv_quarantine": _csv_quarantine,
+        "csv_two_layouts": _csv_two_layouts,
+        "csv_missing_tokens": _csv_missing_tokens,
+        "raw_orders_month_first_times": _month_first_times,
+        "dq_failure_counts_day_first": _counts_day_first,
+        "fct_orders_bucketed": _bucketed_facts,
+        "insight_03_rerun": _rerun,
+        "fct_orders_refreshed": _refreshed,
+        "fct_orders_one_month": _one_month,
         "table_replaced": _second_write(overwrite=True),
         "table_kept": _second_write(overwrite=False),
         "fct_orders_preview": _first_ten_orders,

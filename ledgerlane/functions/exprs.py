@@ -98,6 +98,36 @@ def parse_wall_time(text: Column) -> Column:
     )
 
 
+# Forms of timestamp texts by name, in the order in which they are preferred where several fit equally
+# well. Days and months have one digit or two; a time of day is optional; texts are UTC.
+_CLOCK = "[ H:mm[:ss[.SSSSSS]]]"
+TIME_FORMS = {
+    "iso": None,
+    "month_first": "M/d/yyyy" + _CLOCK,
+    "day_first": "d/M/yyyy" + _CLOCK,
+    "day_first_dots": "d.M.yyyy" + _CLOCK,
+    "day_first_dashes": "d-M-yyyy" + _CLOCK,
+    "year_first_slashes": "yyyy/M/d" + _CLOCK,
+    "compact": "yyyyMMdd[ HHmmss]",
+    "month_name": "MMM d, yyyy" + _CLOCK,
+}
+
+# Key in a column's metadata that names the form of its texts.
+TIME_FORM = "time_form"
+
+
+def parse_form(text: Column, form: str) -> Column:
+    """Instant of a text in a named form, NULL for anything else."""
+    pattern = TIME_FORMS[form]
+    if pattern is None:
+        return parse_instant(text)
+    return F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(pattern + "X"))
+
+
+def _form_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].metadata.get(TIME_FORM, "iso")
+
+
 def utc_wall_time(instant: Column) -> Column:
     """The UTC wall clock of an instant as a zone-less timestamp, in any session zone."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -107,14 +137,16 @@ def utc_wall_time(instant: Column) -> Column:
 def lenient_instant(df: DataFrame, column: str) -> Column:
     """Instant of a text or timestamp column; texts that do not parse become NULL."""
     if isinstance(df.schema[column].dataType, T.StringType):
-        return parse_instant(F.col(column))
+        return parse_form(F.col(column), _form_of(df, column))
     return strict_instant(df, column)
 
 
 def lenient_wall_time(df: DataFrame, column: str) -> Column:
     """UTC wall clock of a text or timestamp column; texts that do not parse become NULL."""
     if isinstance(df.schema[column].dataType, T.StringType):
-        return parse_wall_time(F.col(column))
+        form = _form_of(df, column)
+        text = F.col(column)
+        return parse_wall_time(text) if form == "iso" else utc_wall_time(parse_form(text, form))
     return utc_timestamp(df, column)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlane import schemas as S
 from ledgerlane.functions import exprs as X
 from ledgerlane.operators.lookup import hot_keys_of, lookup_join
+from ledgerlane.sources.keyed import KeyedTable
 from ledgerlane.sources.readers import wall_times
 
 
@@ -117,3 +118,32 @@ def build_models(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "fct_orders": facts,
         "fct_daily_revenue": fct_daily_revenue(facts),
     }
+
+
+def keyed_facts(orders: KeyedTable, events: KeyedTable) -> KeyedTable:
+    """``fct_orders`` over tables stored in the same number of buckets of order_id, without a shuffle.
+
+    Hot keys have one summary row each, which is broadcast; there are fewer than HOT_SHARE.
+    """
+    stg = orders.each(lambda df: stg_orders(wall_times(df, "order_created_at")))
+    summary = events.each(lambda df: int_order_event_summary(stg_order_events(wall_times(df, "event_timestamp"))))
+    facts = fct_orders(stg.ordinary, summary.ordinary)
+    if stg.hot is None:
+        return KeyedTable(facts)
+    few = summary.ordinary.limit(0) if summary.hot is None else summary.hot
+    return KeyedTable(facts, fct_orders(stg.hot, F.broadcast(few)))
+
+
+# Column that facts are partitioned by when stored per period.
+PERIOD = "order_period"
+
+
+def with_period(facts: DataFrame, unit: str = "day") -> DataFrame:
+    """Facts with the first day of the period (day, month, year) their order falls into."""
+    return facts.withColumn(PERIOD, F.to_date(F.date_trunc(unit, "order_created_at")))
+
+
+def in_periods(stored: DataFrame, first: str, last: str, unit: str = "day") -> DataFrame:
+    """Stored facts with order days from ``first`` to ``last``; other partitions are not read."""
+    low, high = (F.to_date(F.date_trunc(unit, F.lit(d).cast("date"))) for d in (first, last))
+    return stored.where(F.col(PERIOD).between(low, high)).where(F.to_date("order_created_at").between(first, last))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
+from ledgerlane.functions import exprs as X
 from ledgerlane.operators.lookup import (
     HOT_ROWS,
     hot_frame,
@@ -18,6 +20,7 @@ from ledgerlane.plans import models as M
 from ledgerlane.quality.gate import enforce
 from ledgerlane.quality.report import run_quality_checks
 from ledgerlane.quality.rules import Rule, Tables
+from ledgerlane.sources.keyed import read_keyed, write_keyed
 from ledgerlane.sources.readers import typed_timestamps
 from ledgerlane.sources.sinks import RunContext, Warehouse, stamp, write_csv
 
@@ -92,9 +95,10 @@ def analyse(
     context: RunContext,
     insights: Sequence[I.Insight] = I.INSIGHTS,
 ) -> DataFrame:
-    """Write the metrics record (replaced) and every insight (appended), stamped with the run.
+    """Write the metrics record (replaced) and every insight, stamped with the run.
 
-    A failing insight does not stop the others. Returns one status row per insight.
+    Insight tables keep one partition per run: another run adds its own, the same run_id again
+    replaces what it wrote before. A failing insight does not stop the others. Returns one status row per insight.
     """
     warehouse.require("fct_orders")
     metrics = I.revenue_metrics(warehouse.table("fct_orders"))
@@ -103,10 +107,47 @@ def analyse(
     for insight in insights:
         try:
             answer = insight.query(warehouse.table(insight.table))
-            warehouse.append(insight.name, stamp(answer, context))
+            warehouse.write_parts(insight.name, stamp(answer, context), "run_id")
             outcome.append((insight.name, insight.title, "ok", None))
         except Exception as error:  # whatever it is, the others still run
             outcome.append((insight.name, insight.title, "error", str(error)))
     return warehouse.spark.createDataFrame(
         outcome, "insight string, title string, status string, error string"
     ).withColumn("run_id", F.lit(context.run_id))
+
+
+def store_keyed(warehouse: Warehouse, tables: Tables, buckets: int, hot_rows: int = HOT_ROWS) -> None:
+    """Store both raw tables in buckets of order_id, rows of hot keys beside them.
+
+    Once stored, facts, summaries and rules by order_id join them without a shuffle.
+    """
+    both = tables[S.ORDERS].select("order_id").unionAll(tables[S.ORDER_EVENTS].select("order_id"))
+    hot = hot_frame(warehouse.spark, hot_values(both, "order_id", hot_rows), "order_id")
+    for name, df in tables.items():
+        write_keyed(warehouse, f"keyed_{name}", df, "order_id", buckets, hot)
+
+
+def keyed_facts(warehouse: Warehouse) -> DataFrame:
+    """``fct_orders`` from the tables that ``store_keyed`` has written."""
+    return M.keyed_facts(*[read_keyed(warehouse, f"keyed_{n}") for n in (S.ORDERS, S.ORDER_EVENTS)]).whole()
+
+
+def refresh_facts(warehouse: Warehouse, tables: Tables, periods: Sequence[str] | None = None, unit: str = "day") -> None:
+    """Rebuild the stored facts of the given periods (their first days), or of all.
+
+    Only orders of these periods are joined, and only their partitions are replaced; a period
+    without orders any more loses its partition. Undated orders form a partition of their own, which
+    a refresh of all periods replaces.
+    """
+    chosen = dict(tables)
+    if periods is not None:
+        created = X.lenient_wall_time(tables[S.ORDERS], "order_created_at")
+        first_day = F.to_date(F.date_trunc(unit, created))
+        chosen[S.ORDERS] = tables[S.ORDERS].where(first_day.isin([datetime.date.fromisoformat(p) for p in periods]))
+    facts = M.with_period(M.build_models(chosen)["fct_orders"], unit)
+    if periods is None:
+        warehouse.drop("fct_orders_by_period")
+    warehouse.write_parts("fct_orders_by_period", facts, M.PERIOD)
+    if periods is not None:
+        found = {str(r[0]) for r in facts.select(M.PERIOD).distinct().collect()}  # at most the given periods
+        warehouse.drop_parts("fct_orders_by_period", M.PERIOD, [p for p in periods if p not in found])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,73 @@ def read_csv(
     return text.select(*[_typed(f, _present(F.col(f.name))) for f in schema.fields])
 
 
+# Columns added while reading: the line of a row that does not fit, and its file.
+CORRUPT, SOURCE_FILE = "corrupt_line", "source_file"
+_MARK = "\x02"
+
+
+@dataclass(frozen=True)
+class CheckedRows:
+    """Rows that fit, typed, and those that do not, as (source_file, line, reason)."""
+
+    rows: DataFrame
+    rejected: DataFrame
+
+
+def read_csv_checked(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    pad_short: bool = False,
+    multi_line: bool = False,
+) -> CheckedRows:
+    """As ``read_csv``, but rows that do not fit are set aside and do not end the read.
+
+    Reasons: ``too many cells``, ``too few cells``, ``open quote``, ``no number``. With ``pad_short`` the cells
+    that a short row lacks at its end are missing values, and the row fits. Files of one path
+    must still share their header, and missing columns fail.
+    """
+    if not isinstance(path, str):
+        parts = [read_csv_checked(spark, p, schema, pad_short, multi_line) for p in path]
+        return CheckedRows(*[reduce(DataFrame.unionByName, [getattr(p, side) for p in parts]) for side in ("rows", "rejected")])
+    options = {
+        "header": True,
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+        "multiLine": multi_line,
+    }
+    header = spark.read.options(**options).csv(path).columns
+    cells = T.StructType([T.StructField(c, T.StringType()) for c in [*header, CORRUPT]])
+    read = spark.read.options(**options).options(
+        mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=False, columnPruning=False
+    )
+    text = read.schema(cells).csv(path).select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
+    # The line is read again with a mark as its last cell: the mark's place tells how many it has.
+    wide = ", ".join(f"c{i} string" for i in range(len(header) + 1))
+    marked = F.from_csv(F.concat(F.col(CORRUPT), F.lit(f",{_MARK}")), wide, {"escape": '"', "multiLine": str(multi_line).lower()})
+    seen = F.array(*[F.coalesce(marked[f"c{i}"], F.lit("")) for i in range(len(header) + 1)])
+    whole = F.array_contains(seen, _MARK)
+    misfit = (
+        F.when(whole & ~F.lit(pad_short), "too few cells")
+        .when(~whole & F.exists(seen, lambda c: c.endswith(_MARK)), "open quote")
+        .when(~whole, "too many cells")
+    )
+    typed = {f.name: _typed(f, _present(F.col(f"`{f.name}`")), Column.try_cast) for f in schema.fields}
+    numbers = [f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    wrong = F.lit(False)
+    for name in numbers:
+        given = _present(F.col(f"`{name}`"))
+        wrong = wrong | (given.isNotNull() & given.try_cast(schema[name].dataType).isNull())
+    reason = F.coalesce(F.when(F.col(CORRUPT).isNotNull(), misfit), F.when(wrong, "no number"))
+    judged = text.withColumn("reason", reason)
+    line = F.coalesce(F.col(CORRUPT), F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in header]))
+    return CheckedRows(
+        judged.where("reason IS NULL").select(*typed.values()),
+        judged.where("reason IS NOT NULL").select(SOURCE_FILE, line.alias("line"), "reason"),
+    )
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet with at least the schema's columns; NaN becomes NULL, timestamps stay typed."""
     df = spark.read.parquet(path)
@@ -82,8 +150,8 @@ def _present(column: Column) -> Column:
     return F.when(~column.isin(*S.MISSING_TOKENS), column)
 
 
-def _typed(field: T.StructField, column: Column) -> Column:
-    value = column.cast(field.dataType)
+def _typed(field: T.StructField, column: Column, cast: Callable[..., Column] = Column.cast) -> Column:
+    value = cast(column, field.dataType)
     if isinstance(field.dataType, T.DoubleType):
         value = F.when(~F.isnan(value), value)
     return value.alias(field.name)

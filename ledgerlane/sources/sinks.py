@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,9 +47,35 @@ class Warehouse:
         mode = "overwrite" if overwrite else "ignore"
         df.write.mode(mode).format("parquet").saveAsTable(self.name(table))
 
+    def drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")
+
     def append(self, table: str, df: DataFrame) -> None:
         df.write.mode("append").format("parquet").saveAsTable(self.name(table))
 
+    def write_parts(self, table: str, df: DataFrame, by: str) -> None:
+        """Replace, in the partitioned table, the partitions that ``df`` has rows of, and no others.
+
+        The table is made where there is none. Rows of one partition are brought together before
+        they are written; Spark divides partitions that are large.
+        """
+        rows = df.select(*[c for c in df.columns if c != by], by).hint("rebalance", by)
+        if not self.exists(table):
+            rows.write.partitionBy(by).format("parquet").saveAsTable(self.name(table))
+            return
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
+        try:
+            rows.select(*self.table(table).columns).write.insertInto(self.name(table), overwrite=True)
+        finally:
+            self.spark.conf.set(mode, before)
+
+    def drop_parts(self, table: str, by: str, values: Sequence[str]) -> None:
+        """Drop partitions by value, present or not."""
+        for value in values:
+            self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION ({by} = '{value}')")
+
 
 def write_csv(df: DataFrame, path: str, files: int | None = None) -> None:
     """CSV folder with header, replaced. ``files=1`` only for outputs of bounded size."""

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
 from ledgerlane.catalog.queries import all_queries
 from ledgerlane.plans import insights as I
 from ledgerlane.plans import models as M
+from ledgerlane.plans import runs
 from ledgerlane.operators.lookup import measured
 from ledgerlane.quality import report as Q
 from ledgerlane.quality import violations as V
 from ledgerlane.quality.bindings import standard_rules
-from ledgerlane.sources import sinks
+from ledgerlane.sources import keyed, sinks
 from ledgerlane.sources.readers import read_parquet
 from tests.conftest import SF_DIR
 
@@ -39,7 +41,7 @@ def stored(spark, raw_by_profile, tmp_path_factory):
 PLANNED = [
     n
     for n in all_queries()
-    if not n.startswith(("csv_", "table_", "catalog_", "fct_orders_preview", "analysis_", "readiness_"))
+    if not n.startswith(("csv_", "table_", "catalog_", "fct_orders_preview", "analysis_", "readiness_", "fct_orders_re", "insight_03_rerun"))
 ]
 
 
@@ -143,3 +145,46 @@ def test_hot_keys_do_not_read_a_side_twice(spark, stored):
     tables = measured(stored, S.KEY_COLUMNS, hot_rows=3)
     plain, hot = (plan(M.build_models(t)["fct_orders"]) for t in (stored, tables))
     assert tables.hot["order_id"] and hot.count("FileScan") == plain.count("FileScan") == 2
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, stored):
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed")
+    warehouse = sinks.Warehouse(spark, "bucketed")
+    runs.store_keyed(warehouse, stored, 4, hot_rows=3)
+    orders, events = (keyed.read_keyed(warehouse, f"keyed_{n}") for n in (S.ORDERS, S.ORDER_EVENTS))
+    facts = M.keyed_facts(orders, events)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(facts.ordinary)
+        assert "SortMergeJoin" in text and "Exchange" not in text and "Bucketed: true" in text
+        rule = next(r for r in standard_rules() if r.rule_id == "R009")
+        text = plan(rule.violations({S.ORDERS: orders.ordinary, S.ORDER_EVENTS: events.ordinary}))
+        assert "Join" in text and "Exchange" not in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert orders.hot.count() > 0 and orders.whole().count() == stored[S.ORDERS].count()
+    assert facts.whole().exceptAll(M.build_models(stored)["fct_orders"]).isEmpty()
+    # Without hot keys there is one table.
+    runs.store_keyed(warehouse, stored, 4)
+    assert keyed.read_keyed(warehouse, f"keyed_{S.ORDERS}").hot is None
+
+
+def test_a_date_filter_reads_its_partitions_and_a_refresh_equals_a_rebuild(spark, raw_by_profile):
+    spark.sql("CREATE DATABASE IF NOT EXISTS periods")
+    warehouse = sinks.Warehouse(spark, "periods")
+    clean, messy = raw_by_profile["clean"], raw_by_profile["messy"]
+    runs.refresh_facts(warehouse, clean, unit="year")
+    facts = warehouse.table("fct_orders_by_period")
+    text = plan(M.in_periods(facts, "1995-03-01", "1995-04-01", "year"))
+    assert "order_period" in text.split("PartitionFilters: [")[1].split("]")[0]
+    files = M.in_periods(facts, "1995-03-01", "1995-04-01", "year").select(F.input_file_name()).distinct().collect()
+    assert files and all("order_period=1995-01-01" in f[0] for f in files)
+    runs.refresh_facts(warehouse, messy, ["1995-01-01", "2050-01-01"], unit="year")
+    rebuilt = M.with_period(M.build_models(messy)["fct_orders"], "year").where("order_period = '1995-01-01'")
+    mine = warehouse.table("fct_orders_by_period").where("order_period = '1995-01-01'")
+    assert mine.exceptAll(rebuilt.select(*mine.columns)).isEmpty() and mine.count() == rebuilt.count()
+    other = M.with_period(M.build_models(clean)["fct_orders"], "year").where("order_period <> '1995-01-01'")
+    assert warehouse.table("fct_orders_by_period").where("order_period <> '1995-01-01'").count() == other.count()
+    # A period without orders any more loses its partition.
+    runs.refresh_facts(warehouse, {**clean, S.ORDERS: clean[S.ORDERS].limit(0)}, ["1995-01-01"], unit="year")
+    assert mine.sparkSession.table("periods.fct_orders_by_period").where("order_period = '1995-01-01'").count() == 0

@@ -48,6 +48,9 @@ def test_a_full_run_from_csv(spark, raw_by_profile, tmp_path):
     gaps = warehouse.table("insight_01_revenue_gap")
     assert gaps.count() == 2 and gaps.select("run_id").distinct().count() == 2
     assert gaps.filter(F.col("run_id") == context.run_id).first()["orders_paid"] == 1273
+    # The same run again replaces its own rows.
+    runs.analyse(warehouse, context)
+    assert warehouse.table("insight_01_revenue_gap").count() == 2
 
 
 def test_production_fails_after_everything_is_written(spark, raw_by_profile, tmp_path):

@@ -7,7 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ledgerlane import schemas as S
-from ledgerlane.sources import readers
+from ledgerlane.functions import exprs as X
+from ledgerlane.sources import readers, timeforms
 from ledgerlane.sources.sinks import RunContext, Warehouse, stamp, write_csv, write_files
 
 
@@ -145,3 +146,86 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     path = csv(tmp_path, "x.csv", HEADER, '"a\nb",O1,order_created,t,web')
     rows = readers.read_csv(spark, path, S.RAW_ORDER_EVENTS, multi_line=True).collect()
     assert [r.event_id for r in rows] == ["a\nb"]
+
+
+ROWS = [
+    "E1,O1,order_created,t,web",
+    "E2,O2,order_created",
+    "E3,O3,order_created,t,web,",
+    "E4,O4,order_created,t,web,x,y",
+    'E5,"O5,order_created,t,web',
+    '"E,6",O6,order_created,t,',
+    "E7",
+]
+
+
+@pytest.mark.parametrize("pad", [False, True])
+def test_rows_that_do_not_fit_are_set_aside(spark, tmp_path, pad):
+    path = csv(tmp_path, "x.csv", HEADER, *ROWS)
+    found = readers.read_csv_checked(spark, path, S.RAW_ORDER_EVENTS, pad_short=pad)
+    short = {ROWS[1]: "too few cells", ROWS[6]: "too few cells"}
+    expected = {ROWS[2]: "too many cells", ROWS[3]: "too many cells", ROWS[4]: "open quote"} | ({} if pad else short)
+    rejected = found.rejected.collect()
+    assert {r["line"]: r["reason"] for r in rejected} == expected and len(rejected) == len(expected)
+    assert {r["source_file"].rsplit("/", 1)[1] for r in rejected} == {"x.csv"}
+    rows = {r.event_id: tuple(r)[1:] for r in found.rows.collect()}
+    whole = {"E1": ("O1", "order_created", "t", "web"), "E,6": ("O6", "order_created", "t", None)}
+    padded = {"E2": ("O2", "order_created", None, None), "E7": (None, None, None, None)}
+    assert rows == whole | (padded if pad else {})
+
+
+def test_numbers_that_are_none_are_set_aside(spark, tmp_path):
+    lines = ["O1,C,t,1.5,EUR,completed", "O2,C,t,much,EUR,completed", "O3,C,t,NA,EUR,completed"]
+    path = csv(tmp_path, "x.csv", ",".join(S.RAW_ORDERS.fieldNames()), *lines)
+    found = readers.read_csv_checked(spark, [path, path], S.RAW_ORDERS)
+    assert sorted((r.order_id, r.order_amount) for r in found.rows.collect()) == [("O1", 1.5)] * 2 + [("O3", None)] * 2
+    assert [(r.line, r.reason) for r in found.rejected.collect()] == [(lines[1], "no number")] * 2
+
+
+FORM_TEXTS = {
+    "iso": ["2024-01-02 03:04:05", "2024-01-02T03:04:05Z", "2024-13-02 03:04:05"],
+    "month_first": ["01/02/2024 03:04:05", "12/31/2024", "13/2/2024"],
+    "day_first": ["2/1/2024 03:04:05", "31/12/2024 23:59", "32/1/2024"],
+    "day_first_dots": ["2.1.2024 03:04:05", "31.12.2024", "1.13.2024"],
+    "day_first_dashes": ["2-1-2024 3:04:05", "31-12-2024 00:00:00.5", "1-13-2024"],
+    "year_first_slashes": ["2024/1/2 03:04:05", "2024/12/31", "2024/13/1"],
+    "compact": ["20240102 030405", "20241231", "20241301"],
+    "month_name": ["Jan 2, 2024 03:04:05", "Dec 31, 2024", "Foo 1, 2024"],
+}
+
+
+@pytest.mark.parametrize("form", list(FORM_TEXTS))
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_the_form_that_most_values_fit_is_found(spark, form, zone):
+    good, other, bad = FORM_TEXTS[form]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = timeforms.infer_times(spark.createDataFrame([(good,), (other,), (bad,), (None,), ("soon",)], "t string"), "t")
+        assert df.schema["t"].metadata == {X.TIME_FORM: form}
+        rows = df.select("t", X.lenient_wall_time(df, "t").cast("string").alias("w"), X.lenient_instant(df, "t").isNull().alias("none")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r["w"] for r in rows][0] == "2024-01-02 03:04:05"
+    assert [r["none"] for r in rows] == [False, False, True, True, True]
+
+
+def test_forms_in_doubt_and_unknown_forms(spark):
+    df = spark.createDataFrame([("01/02/2024", 1), ("3/4/2024", 2)], "t string, n int")
+    assert timeforms.infer_forms(df, ["t", "n"]) == {"t": "month_first"}
+    assert timeforms.infer_forms(df.limit(0), ["t"]) == {"t": "iso"}
+    declared = timeforms.declare_times(df, {"t": "day_first"})
+    typed = readers.wall_times(declared.filter("n > 0").select("t"), "t")
+    assert [str(r.t) for r in typed.collect()] == ["2024-02-01 00:00:00", "2024-04-03 00:00:00"]
+    with pytest.raises(ValueError, match="unknown time form"):
+        timeforms.declare_times(df, {"t": "roman"})
+
+
+def test_partitions_are_replaced_one_by_one(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS parts")
+    warehouse = Warehouse(spark, "parts")
+    warehouse.write_parts("t", spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "p string, n int"), "p")
+    warehouse.write_parts("t", spark.createDataFrame([(5, "b"), (6, "b"), (7, "c")], "n int, p string"), "p")
+    assert sorted(map(tuple, warehouse.table("t").select("p", "n").collect()), key=str) == [("a", 1), ("b", 5), ("b", 6), ("c", 7), (None, 3)]
+    warehouse.drop_parts("t", "p", ["b", "z"])
+    assert warehouse.table("t").count() == 3
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
