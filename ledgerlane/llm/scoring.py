@@ -5,19 +5,24 @@ entered q times, as (n-gram, 1) ... (n-gram, q). A count is read back, as the le
 level, 2 ** (q - 1), by probing level after level until one is missing, so a frequent n-gram
 costs more probes and a singleton one entry. False positives can only raise a count.
 
-* Counting: every task counts the unigrams and bigrams of its training texts in arrays and
-  sends them packed by key range; a range's reducer adds them up and builds its own part of
-  the filter. Frequent words are one entry per task.
-* The parts are handed to the workers in groups of at most FILTER_BYTES; each group costs one
-  pass over the texts, in which the quantised counts found so far travel along as one byte
-  a token. So what is broadcast stays bounded however large the corpus is.
-* p(w | v) = BACK * p(w) + (1 - BACK) * min(1, c(v w) / c(v)), where p(w) is add-one smoothed. All
-  three counts come from the filter, whatever the size of the table. The first word follows
-  the end token.
-
-The base score needs exact counts. Those of the EXACT_WORDS most frequent words are broadcast;
-the tokens of rarer words are sent, packed, to the reducers that hold the counts, and the
-sums come back per document.
+A filter of the whole corpus grows with it and must not be sent whole to every worker. So it is
+made and kept in parts, one per range of n-gram hashes, and the questions go to the parts:
+
+1. Texts are packed into chunks of about CHUNK_BYTES, written once.
+2. Every chunk sends its distinct unigrams and bigrams, with their counts in its training texts,
+   packed by range. Frequent n-grams are one entry per chunk. N-grams of held-out texts are
+   sent with a count of 0.
+3. A range's reducer adds the counts up, builds its part of the filter, and probes it for every
+   n-gram of every chunk: one byte per distinct n-gram goes back, and the exact count of a word.
+4. Each chunk meets its answers, lays them beside its tokens and sums up per document.
+
+So texts are read as often, and as many tables written, whatever the size of the corpus.
+
+p(w | v) = BACK * p(w) + (1 - BACK) * c(v w) / c(v), where p(w) = (c(w) + 1) / (N + V + 1). The counts of
+n-grams come from the filter; N, V and c(v), what they are divided by, are exact. As a count read back
+is never above the true one, the probabilities of all words after a context add up to at most 1
+(false positives aside); what quantising takes off, less than half, is left unassigned. The first
+word follows the end token.
 """
 
 from __future__ import annotations
@@ -38,16 +43,12 @@ from ledgerlane.llm.jobs import ready, stored
 _U = np.uint64
 #: Hash that stands for the end of a text.
 END = _U(0xE2D0F7E47A1B5C31)
-#: Words whose exact counts are broadcast for the base score, at most.
-EXACT_WORDS = 1 << 18
-#: Bytes of filter handed out at once, about.
-FILTER_BYTES = 64 << 20
+#: Bytes of text in a chunk, about (more only for a single longer text).
+CHUNK_BYTES = 4 << 20
 #: Bits and probes per filter entry: about 1 % false positives.
 BITS, PROBES = 10, 4
 #: Weight of the unigram model.
 BACK = 0.3
-#: Distinct n-grams a counting task holds before it sends them.
-HELD = 1 << 20
 
 HELD_OUT_OF, HELD_OUT = 7, 2
 
@@ -89,54 +90,82 @@ def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-class Counter:
-    """Counts of distinct keys, merged when enough have gathered."""
+def planes(values: np.ndarray) -> bytes:
+    """Values byte by byte, all first bytes first: sorted keys and small counts compress well so."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        keys, counts = _added(keys, np.ones(len(keys), np.int64))
-        self.parts.append((keys, counts))
-        self.size += len(keys)
-
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, _U), np.zeros(0, np.int64)
-        out = _added(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
-        self.parts, self.size = [], 0
-        return out
+def unplaned(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
 
-def _counted(docs: DataFrame) -> DataFrame:
-    """Packed counts of the training texts: (range, word, word_n, pair, pair_n)."""
-    count = P.ranges(docs.sparkSession)
-    names = ["range", "word", "word_n", "pair", "pair_n"]
+def chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, keys, texts): rows packed in the order in which tasks read them, written once."""
+    kind = docs.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = (Counter(), Counter())
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            rows: dict[int, list[bytes]] = {}
-            for i, c in enumerate(counters):
-                keys, n = c.take()
-                for r, at in P.cut(keys, count):
-                    row = rows.setdefault(r, [b""] * 4)
-                    row[2 * i], row[2 * i + 1] = keys[at].tobytes(), n[at].astype(np.uint32).tobytes()
-            return P.row_batch([(r, *row) for r, row in rows.items()], names)
+            table = pa.Table.from_batches(held).combine_chunks()
+            ends = pa.array([0, table.num_rows], pa.int32())
+            keys, texts = (pa.ListArray.from_arrays(ends, table.column(i).chunk(0)) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array([number]), keys, texts], names=["chunk", "keys", "texts"])
 
         for batch in batches:
-            learn = pa.array([not held_out(k) for k in batch.column(0).to_pylist()], pa.bool_())
-            for _, _, found in W.word_pieces(batch.column(1).filter(learn), W.spaced(), lower=True):
-                token, first = tokens(found)
-                counters[0].add(token)
-                counters[1].add(bigrams(token, first))
-                if counters[0].size + counters[1].size > HELD:
+            for low, high, data, _ in W.pieces(batch.column(1), CHUNK_BYTES):
+                if held and size + len(data) > CHUNK_BYTES:
                     yield out()
-        yield out()
+                    number, held, size = number + 1, [], 0
+                held.append(batch.slice(low, high - low))
+                size += len(data)
+        if held:
+            yield out()
+
+    return stored(docs.mapInArrow(pack, f"chunk bigint, keys array<{kind}>, texts array<string>"), "lm-chunks")
+
+
+class Chunk:
+    """Tokens and bigrams of a chunk's texts, piece by piece, and the distinct ones, sorted."""
 
-    return docs.mapInArrow(run, P.schema(names))
+    def __init__(self, texts: pa.Array) -> None:
+        self.first, tokens_of, pairs_of = [np.zeros(1, np.int64)], [np.zeros(0, _U)], [np.zeros(0, _U)]
+        for _, _, found in W.word_pieces(texts, W.spaced(), lower=True):
+            token, first = tokens(found)
+            tokens_of.append(token)
+            pairs_of.append(bigrams(token, first))
+            self.first.append(first[1:] + self.first[-1][-1])
+        self.first = np.concatenate(self.first)
+        self.token, self.pair = np.concatenate(tokens_of), np.concatenate(pairs_of)
+
+    def counted(self, learn: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Distinct tokens and bigrams, each with its count in the texts to learn from."""
+        weight = np.repeat(learn.astype(np.int64), np.diff(self.first))
+        return [_added(x, weight) for x in (self.token, self.pair)]
+
+
+def _counted(packed: DataFrame) -> DataFrame:
+    """Packed counts per chunk: (range, chunk, word, word_n, pair, pair_n)."""
+    count = P.ranges(packed.sparkSession)
+    names = ["range", "chunk", "word", "word_n", "pair", "pair_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = Chunk(batch.column(2)[i].values)
+                learn = np.array([not held_out(k) for k in batch.column(1)[i].values.to_pylist()], bool)
+                name = np.int64(batch.column(0)[i].as_py()).tobytes()
+                rows: dict[int, list[bytes]] = {}
+                for j, (keys, n) in enumerate(chunk.counted(learn)):
+                    for r, at in P.cut(keys, count):
+                        row = rows.setdefault(r, [b""] * 4)
+                        row[2 * j], row[2 * j + 1] = planes(keys[at]), planes(n[at].astype(np.uint32))
+                yield P.row_batch([(r, name, *row) for r, row in rows.items()], names)
+
+    return packed.mapInArrow(run, P.schema(names))
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -205,99 +234,49 @@ class Filter:
         return out
 
 
-class Exact:
-    """Exact counts of some words."""
+_ANSWERS = pa.schema(
+    [("range", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in ("count", "word_q", "pair_q", "bits")], ("distinct", pa.int64()), ("total", pa.int64())]
+)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+def _answered(columns: dict[str, list[bytes]], r: int) -> Iterator[pa.RecordBatch]:
+    """A range's part of the filter, its sums, and what it answers to every chunk."""
+    words, pairs = ([unplaned(x, _U) for x in columns[c]] for c in ("word", "pair"))
+    word, word_n = _added(np.concatenate(words), np.concatenate([unplaned(x, np.uint32) for x in columns["word_n"]]).astype(np.int64))
+    pair, pair_n = _added(np.concatenate(pairs), np.concatenate([unplaned(x, np.uint32) for x in columns["pair_n"]]).astype(np.int64))
+    learnt = [(k[n > 0], n[n > 0]) for k, n in ((word, word_n), (pair, pair_n))]
+    bits = build_filter(*(np.concatenate(x) for x in zip(*learnt, strict=True))).tobytes()
+    part = Filter([(0, bits)], 1)
+    rows = [{"range": r, "bits": bits, "distinct": len(learnt[0][0]), "total": int(learnt[0][1].sum())}]
+    for name, w, p in zip(columns["chunk"], words, pairs, strict=True):
+        exact = word_n[np.searchsorted(word, w)] if len(w) else np.zeros(0, np.int64)
+        answer = {"count": planes(exact), "word_q": part.quantised(w).tobytes(), "pair_q": part.quantised(p).tobytes()}
+        rows.append({"range": r, "chunk": int(np.frombuffer(name, np.int64)[0]), **answer})
+    yield pa.RecordBatch.from_pylist(rows, schema=_ANSWERS)
 
 
 class Model:
-    """What is learnt: counted tables in the shared folder and their sums."""
-
-    def __init__(self, docs: DataFrame, exact_words: int = EXACT_WORDS) -> None:
-        self.spark = docs.sparkSession
-        self.ranges = P.ranges(self.spark)
-
-        def total(columns: dict[str, list[bytes]], r: int) -> Iterator[pa.RecordBatch]:
-            word, word_n = _added(P.joined(columns["word"], _U), P.joined(columns["word_n"], np.uint32).astype(np.int64))
-            pair, pair_n = _added(P.joined(columns["pair"], _U), P.joined(columns["pair_n"], np.uint32).astype(np.int64))
-            bits = build_filter(np.concatenate([word, pair]), np.concatenate([word_n, pair_n]))
-            # How many words reach each level, to choose the most frequent ones.
-            reach = np.bincount(levels(word_n), minlength=64) if len(word) else np.zeros(64, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r], pa.int32()),
-                    pa.array([word.tobytes()], pa.binary()),
-                    pa.array([word_n.tobytes()], pa.binary()),
-                    pa.array([bits.tobytes()], pa.binary()),
-                    pa.array([len(word)], pa.int64()),
-                    pa.array([int(word_n.sum())], pa.int64()),
-                    pa.array([reach.tolist()], pa.list_(pa.int64())),
-                ],
-                names=["range", "word", "word_n", "bits", "distinct", "total", "reach"],
-            )
-
-        schema = "range int, word binary, word_n binary, bits binary, distinct bigint, total bigint, reach array<bigint>"
-        self.table = stored(P.reduce_ranges(_counted(docs), total, schema), "lm-counts")
-        sums = self.table.agg(
-            F.sum("distinct").alias("v"), F.sum("total").alias("n"), *[F.sum(F.col("reach")[i]).alias(f"r{i}") for i in range(64)]
-        ).first()
+    """What is learnt: the parts of the filter in the shared folder, beside the answers, and their sums."""
+
+    def __init__(self, packed: DataFrame) -> None:
+        ddl = "range int, chunk bigint, count binary, word_q binary, pair_q binary, bits binary, distinct bigint, total bigint"
+        self.table = stored(P.reduce_ranges(_counted(packed), _answered, ddl), "lm-answers")
+        sums = self.table.where("chunk is null").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).first()
         self.distinct, self.total = sums["v"] or 0, sums["n"] or 0
-        # The least power of two that at most ``exact_words`` words reach.
-        self.least, above = 64, 0
-        for i in reversed(range(64)):
-            above += sums[f"r{i}"] or 0
-            if above > exact_words:
-                break
-            self.least = i
-        self.exact = self._frequent()
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the add-one smoothed probability."""
-        return np.log10((counts + 1) / (self.total + self.distinct + 1))
-
-    def _frequent(self) -> Exact:
-        least = 1 << self.least if self.least < 63 else 1 << 62
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    word, n = np.frombuffer(word, _U), np.frombuffer(n, np.int64)
-                    many = n >= least
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([word[many].tobytes()], pa.binary()), pa.array([n[many].tobytes()], pa.binary())], names=["word", "word_n"]
-                    )
-
-        rows = self.table.select("word", "word_n").mapInArrow(pick, "word binary, word_n binary").collect()
-        return Exact(P.joined([bytes(r[0]) for r in rows], _U), P.joined([bytes(r[1]) for r in rows], np.int64))
-
-    def parts(self, limit: int) -> list[list[int]]:
-        """Ranges whose parts of the filter fit ``limit`` bytes together (a single larger part stands alone)."""
-        sizes = self.table.select("range", F.octet_length("bits").alias("n")).collect()  # one row per range
-        out: list[list[int]] = []
-        room = 0
-        for r, n in sorted(sizes):
-            if n > room or not out:
-                out.append([])
-                room = limit
-            out[-1].append(r)
-            room -= n
-        return out
 
-    def load(self, ranges: list[int]) -> Filter:
-        rows = self.table.where(F.col("range").isin(ranges)).select("range", "bits").collect()
-        return Filter([(r, bytes(b)) for r, b in rows], self.ranges)
+    def answers(self) -> DataFrame:
+        """(chunk, answers): per chunk what each range answered, by range; as much as the chunk's distinct n-grams."""
+        each = F.struct("range", "count", "word_q", "pair_q")
+        return self.table.where("chunk is not null").groupBy("chunk").agg(F.array_sort(F.collect_list(each)).alias("answers"))
+
 
+def probabilities(word: np.ndarray, pair: np.ndarray, context: np.ndarray, everything: int) -> np.ndarray:
+    """p(w | v) from the quantised counts of w and of v w, the exact count of v, and N + V + 1."""
+    single = (least_count(word) + 1) / everything
+    return BACK * single + (1 - BACK) * np.minimum(least_count(pair) / np.maximum(context, 1), 1.0)
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bytes: int = FILTER_BYTES, exact_words: int = EXACT_WORDS) -> DataFrame:
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows that are not held out and scores all. Null and empty
@@ -306,155 +285,47 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bytes
     without training rows all counts are 0. Other columns are not read.
     """
     spark = ready(docs.sparkSession)
-    source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
-    model = Model(source, exact_words)
-    exact = spark.sparkContext.broadcast(model.exact)
-    total, distinct, ranges = model.total, model.distinct, model.ranges
-    groups = model.parts(filter_bytes) or [[]]
-
-    def passed(frame: DataFrame, handed, first_pass: bool) -> DataFrame:
-        """Adds the quantised counts that this group of filter parts knows: a byte per bigram, one per word."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bloom = handed.value
-            for batch in batches:
-                before = None if first_pass else batch.column(2)
-                for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=True):
-                    token, first = tokens(found)
-                    pair = bloom.quantised(bigrams(token, first))
-                    both = np.stack([pair, bloom.quantised(token)], axis=1)
-                    if before is not None:
-                        old = b"".join(before.slice(low, high - low).to_pylist())
-                        both = np.maximum(both, np.frombuffer(old, np.uint8).reshape(-1, 2))
-                    data = both.tobytes()
-                    cells = [data[2 * a : 2 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), pa.array(cells, pa.binary())],
-                        names=["key", "text", "levels"],
-                    )
-
-        return frame.mapInArrow(run, f"key {kind}, text string, levels binary")
-
-    frame = source
-    for i, group in enumerate(groups[:-1]):
-        # Written between passes, so that only one group of parts is held at a time.
-        handed = spark.sparkContext.broadcast(model.load(group))
-        frame = stored(passed(frame, handed, i == 0), "lm-levels")
-        handed.destroy()
-    last = spark.sparkContext.broadcast(model.load(groups[-1]))
-    frame = frame if len(groups) == 1 else frame.select("key", "text", "levels")
-    alone = len(groups) == 1
+    packed = chunks(source)
+    model = Model(packed)
+    everything = model.total + model.distinct + 1
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = last.value
-        at = TaskContext.get().partitionId() << 40
-        log_all = np.log10(total + distinct + 1)
         for batch in batches:
-            for low, high, found in W.word_pieces(batch.column(1), W.spaced(), lower=True):
-                token, first = tokens(found)
-                known = exact.value.get(token)
-                pair, word = bloom.quantised(bigrams(token, first)), bloom.quantised(token)
-                if not alone:
-                    old = np.frombuffer(b"".join(batch.column(2).slice(low, high - low).to_pylist()), np.uint8).reshape(-1, 2)
-                    pair, word = np.maximum(pair, old[:, 0]), np.maximum(word, old[:, 1])
-                count, together = least_count(word), least_count(pair)
-                context = np.empty(len(token))
-                context[1:] = count[:-1]
+            for i in range(batch.num_rows):
+                chunk = Chunk(batch.column(1)[i].values)
+                if not len(chunk.token):
+                    continue
+                keys = batch.column(0)[i].values
+                found = batch.column(2)[i].as_py()
+                exact = np.concatenate([unplaned(a["count"], np.int64) for a in found])
+                word_q, pair_q = (np.frombuffer(b"".join(a[c] for a in found), np.uint8) for c in ("word_q", "pair_q"))
+                # Answers come by range, and so in the order of the sorted distinct n-grams.
+                at = np.searchsorted(np.unique(chunk.token), chunk.token)
+                known, first = exact[at], chunk.first
+                context = np.empty(len(known), np.int64)
+                context[1:] = known[:-1]
                 # A text's first token follows the end token, which is also its last.
-                context[first[:-1]] = count[first[1:] - 1]
-                single = (count + 1) / (total + distinct + 1)
-                p = BACK * single + (1 - BACK) * np.minimum(together / np.maximum(context, 1.0), 1.0)
-                base = np.where(known > 0, np.log10(known + 1.0) - log_all, 0.0)
-                rare = known == 0
-                rows = high - low
-                sums = [np.add.reduceat(x, first[:-1]) for x in (np.log10(p), base, (known > 0).astype(np.int64))]
-                own = token[rare]
-                text_of = np.repeat(np.arange(rows), np.diff(first))[rare]
-                bounds = np.searchsorted(text_of, np.arange(rows + 1)) * 8
-                data = own.tobytes()
+                context[first[:-1]] = known[first[1:] - 1]
+                pair = pair_q[np.searchsorted(np.unique(chunk.pair), chunk.pair)]
+                p = probabilities(word_q[at], pair, context, everything)
+                base = np.log10((known + 1) / everything)
+                sums = [np.add.reduceat(x, first[:-1]) for x in ((known > 0).astype(np.int64), base, np.log10(p))]
+                held = pa.array([held_out(k) for k in keys.to_pylist()], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(at, at + rows)),
-                        batch.column(0).slice(low, rows),
-                        pa.array([held_out(k) for k in batch.column(0).slice(low, rows).to_pylist()], pa.bool_()),
-                        pa.array(np.diff(first)),
-                        pa.array(sums[2]),
-                        pa.array(sums[1]),
-                        pa.array(sums[0]),
-                        pa.array([data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["row", "key", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    [keys, held, pa.array(np.diff(first)), *[pa.array(x) for x in sums]],
+                    names=["key", "held_out", "n_tokens", "n_known", "base", "score"],
                 )
-                at += rows
 
-    schema = f"row bigint, key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare binary"
-    scored = stored(frame.mapInArrow(final, schema), "lm-scores")
-    sums = _rare_sums(scored, model)
-    return scored.join(sums, "row", "left").select(
+    both = packed.join(model.answers(), "chunk").select("keys", "texts", "answers")
+    schema = f"key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
+    return both.mapInArrow(final, schema).select(
         F.col("key").alias(key),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("bigint").alias("n_known"),
-        F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        "n_known",
+        F.lit(model.total).cast("bigint").alias("train_tokens"),
+        F.col("base").alias("base_score"),
         "score",
     )
-
-
-def _rare_sums(scored: DataFrame, model: Model) -> DataFrame:
-    """(row, rare_known, rare_base): what the words without broadcast counts add to each row."""
-    count, total, distinct = model.ranges, model.total, model.distinct
-    names = ["range", "word", "n", "row"]
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(1).to_pylist()
-            row = np.repeat(batch.column(0).to_numpy(), [len(c) // 8 for c in cells])
-            word = P.joined(cells, _U)
-            yield P.row_batch([(r, word[at].tobytes(), b"", row[at].tobytes()) for r, at in P.cut(word, count)], names)
-
-    asked = scored.select("row", "rare").mapInArrow(ask, P.schema(names))
-    known = model.table.select("range", "word", F.col("word_n").alias("n"), F.lit(b"").alias("row"))
-
-    def answer(columns: dict[str, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
-        table = Exact(
-            P.joined([w for w, n in zip(columns["word"], columns["n"], strict=True) if n], _U), P.joined(columns["n"], np.int64)
-        )
-        word = P.joined([w for w, n in zip(columns["word"], columns["n"], strict=True) if not n], _U)
-        row = P.joined(columns["row"], np.int64)
-        c = table.get(word)
-        base = np.log10((c + 1) / (total + distinct + 1))
-        order = np.argsort(row, kind="stable")
-        row, base, c = row[order], base[order], c[order]
-        new = np.ones(len(row), bool)
-        new[1:] = row[1:] != row[:-1]
-        at = np.flatnonzero(new)
-        if not len(at):
-            return
-        key, sums, hits = row[at], np.add.reduceat(base, at), np.add.reduceat((c > 0).astype(np.uint32), at)
-        spread = W.mix(key.astype(_U) + _U(1))
-        yield P.row_batch(
-            [(r, key[i].tobytes(), sums[i].tobytes(), hits[i].astype(np.uint32).tobytes()) for r, i in P.cut(spread, count)],
-            ["range", "key", "sums", "hits"],
-        )
-
-    answered = P.reduce_ranges(asked.union(known), answer, P.schema(["range", "key", "sums", "hits"]))
-
-    def add(columns: dict[str, list[bytes]], _: int) -> Iterator[pa.RecordBatch]:
-        key = P.joined(columns["key"], np.int64)
-        sums, hits = P.joined(columns["sums"], np.float64), P.joined(columns["hits"], np.uint32)
-        # Sorted by value too, so that sums do not depend on the order of arrival.
-        order = np.lexsort((sums, key))
-        key, sums, hits = key[order], sums[order], hits[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(new)
-        if not len(at):
-            return
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[at]), pa.array(np.add.reduceat(hits.astype(np.int64), at)), pa.array(np.add.reduceat(sums, at))],
-            names=["row", "rare_known", "rare_base"],
-        )
-
-    return P.reduce_ranges(answered, add, "row bigint, rare_known bigint, rare_base double")
