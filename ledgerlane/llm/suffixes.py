@@ -210,25 +210,34 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-_LONGEST = pa.struct([("item_id", pa.int64()), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())])
-_MATCH = pa.struct(
-    [("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.int64())), ("longest", _LONGEST)]
-)
-_MATCH_DDL = (
-    "struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<bigint>,"
-    "longest:struct<item_id:bigint,item_word:bigint,word:bigint,length:bigint>>"
-)
+
+
+def _match(numbers: bool) -> tuple[pa.DataType, str]:
+    """The type of ``benchmark_match``, in Arrow and as text; ids are numbers or texts."""
+    kind, name = (pa.int64(), "bigint") if numbers else (pa.string(), "string")
+    longest = pa.struct([("item_id", kind), ("item_word", pa.int64()), ("word", pa.int64()), ("length", pa.int64())])
+    parts = [("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(kind)), ("longest", longest)]
+    ddl = (
+        f"struct<n_words:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<{name}>,"
+        f"longest:struct<item_id:{name},item_word:bigint,word:bigint,length:bigint>>"
+    )
+    return pa.struct(parts), ddl
+
+
+def _numbers(benchmark: DataFrame, key: str) -> bool:
+    return benchmark.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
-    """(ids, texts) of the test items, in blocks of about ``block_bytes``; the driver holds one at a time."""
-    items = benchmark.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    items = items.where(F.octet_length("text") > 0)
+    """(ids, texts) of the distinct test items, in blocks of about ``block_bytes``; the driver holds one at a time."""
+    kind = "long" if _numbers(benchmark, key) else "string"
+    items = benchmark.select(F.col(f"`{key}`").cast(kind).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    items = items.where(F.octet_length("text") > 0).distinct()
     total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     count = -(-total // block_bytes)
     for b in range(count):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == b).collect()
-        rows.sort(key=lambda r: (r["id"] is not None, r["id"], r["text"]))
+        rows.sort(key=lambda r: (r["id"] is not None, *([] if r["id"] is None else [r["id"]]), r["text"]))
         yield [r["id"] for r in rows], [r["text"] for r in rows]
 
 
@@ -244,6 +253,7 @@ def search(
 ) -> DataFrame:
     """``docs`` with a column ``benchmark_match``: struct of n_words, spans, items, longest.
 
+    Item ids may be whole numbers or, of any other type, are taken as texts.
     ``spans`` are the hit words (start, end exclusive), in order and apart; ``items`` the
     ids with occurring windows; ``longest`` the longest verbatim match (item_id, its word,
     the document's word, length in words) or null. A window is ``window`` consecutive item
@@ -259,6 +269,7 @@ def search(
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     out = docs
     given = False
+    match, ddl = _match(_numbers(benchmark, item_key))
 
     def step(frame: DataFrame, handed, carried: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,9 +294,9 @@ def search(
                             }
                         )
                     columns = [batch.column(i).slice(low, high - low) for i in range(len(names))]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(matches, _MATCH)], names=[*names, "benchmark_match"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(matches, match)], names=[*names, "benchmark_match"])
 
-        schema = ", ".join([*[f"`{n}` {t}" for n, t in fields.items()], f"benchmark_match {_MATCH_DDL}"])
+        schema = ", ".join([*[f"`{n}` {t}" for n, t in fields.items()], f"benchmark_match {ddl}"])
         return frame.mapInArrow(run, schema)
 
     for ids, texts in blocks(benchmark, item_key, item_text, block_bytes):

@@ -118,6 +118,16 @@ def test_longest_match_and_empty_tables(spark, frame):
     assert suffixes.search(frame({}), bench).count() == 0
 
 
+def test_text_item_ids_and_repeated_items(spark, frame, made):
+    passage = " ".join(made[60].split()[:30])
+    items = [("b10", passage), ("b9", passage + " more"), (None, "w9 w9")] + [("b10", passage)] * 500
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert sum(len(ids) for ids, _ in suffixes.blocks(bench, "item_id", "text", 1 << 20)) == 3
+    found = suffixes.search(frame(made), bench)
+    assert matches(found) == brute.contaminated(made, items, 10)
+    assert found.where("doc_id = 60").first()["benchmark_match"]["longest"]["item_id"] in ("b10", "b9")
+
+
 def vectors(df, **options):
     return {r["vec_id"]: (r["n_links"], r["component_id"]) for r in covertree.near_duplicates(df, **options).collect()}
 
