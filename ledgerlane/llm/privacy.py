@@ -70,10 +70,15 @@ class Permutation:
         self.width = (self.half + 7) // 8
 
     def _round(self, i: int, x: int) -> int:
-        h = hashlib.blake2b(
-            self.tweak + bytes([0, i]) + x.to_bytes(self.width, "big"), key=self.key[:64], digest_size=min(64, self.width + 8)
-        )
-        return int.from_bytes(h.digest(), "big") & self.mask
+        """As many digest bits as a half has, in blocks of 64 bytes where one is too short."""
+        data = self.tweak + bytes([0, i]) + x.to_bytes(self.width, "big")
+        size = self.width + 8
+        out = hashlib.blake2b(data, key=self.key[:64], digest_size=min(64, size)).digest()
+        block = 0
+        while len(out) < size:
+            block += 1
+            out += hashlib.blake2b(data + block.to_bytes(8, "big"), key=self.key[:64], digest_size=64).digest()
+        return int.from_bytes(out, "big") & self.mask
 
     def _once(self, x: int) -> int:
         left, right = x >> self.half, x & self.mask

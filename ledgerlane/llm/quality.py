@@ -156,7 +156,10 @@ def train(
     )
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     # At most ``rows`` small rows are broadcast.
-    joined = source.join(F.broadcast(chosen), "key").select("text", *[f"y{i}" for i in range(len(targets))])
+    joined = source.join(F.broadcast(chosen), "key")
+    # Rows may share a labelled id: each label learns from one of their texts, the least.
+    joined = joined.groupBy("key", *[f"y{i}" for i in range(len(targets))]).agg(F.min("text").alias("text")).drop("key")
+    joined = joined.select("text", *[f"y{i}" for i in range(len(targets))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +175,6 @@ def train(
                 )
 
     schema = ", ".join([*[f"y{i} double" for i in range(len(targets))], "shapes array<double>, buckets array<int>"])
-    # Labels may repeat a document, but each repetition is one of the chosen rows.
     found = joined.mapInArrow(run, schema).toArrow()
     if not found.num_rows:
         return dict.fromkeys(targets)

@@ -437,3 +437,32 @@ def test_sparse_sites_follow_their_parents(spark):
     assert overall == pytest.approx(sum(p for *_, p in rows) / len(rows))
     assert got["h/small"]["host_rate"] > 0.8 > overall > got["g/x"]["host_rate"]
     assert strong >= quality.WEAKEST
+
+
+@pytest.mark.parametrize("bits", [8, 300, 1000, 1024, 1100, 4000])
+def test_permutations_change_all_of_long_values(bits):
+    """Values wider than one digest: the upper part of each half changes too, and turns back."""
+    p = privacy.Permutation(KEY, "t", 1 << bits)
+    rnd = random.Random(bits)
+    values = [rnd.randrange(1 << bits) for _ in range(20)] + [0, (1 << bits) - 1]
+    images = [p(v) for v in values]
+    assert [p(x, inverse=True) for x in images] == values
+    if bits >= 300:
+        changed = [bin(v ^ x).count("1") / bits for v, x in zip(values, images)]
+        assert all(0.35 < c < 0.65 for c in changed)
+        quarter = bits // 4
+        for v, x in zip(values, images):
+            assert all((v ^ x) >> (i * quarter) & ((1 << quarter) - 1) for i in range(4))
+
+
+def test_a_labelled_id_of_many_rows_teaches_once(spark, frame):
+    docs, labels = sample(400, 5)
+    rows = list(docs.items()) if isinstance(docs, dict) else docs
+    first = labels[0][0]
+    text = dict((r[0], r[1]) for r in rows)[first]
+    many = [(first, text)] * 300
+    schema = "doc_id bigint, quality int, toxic int"
+    table = spark.createDataFrame(labels, schema)
+    one = quality.train(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id bigint, text string"), table, ("quality",), "text", "doc_id")
+    two = quality.train(spark.createDataFrame([*[(r[0], r[1]) for r in rows], *many], "doc_id bigint, text string"), table, ("quality",), "text", "doc_id")
+    assert np.allclose(one["quality"].word, two["quality"].word) and np.isclose(one["quality"].bias, two["quality"].bias)
