@@ -291,9 +291,137 @@ def test_licences(frame, texts):
 
 
 def test_templates_take_the_longest_accepted_stretch():
-    a = licenses.compile_template("x", "a [b c] {2} d [e]")
+    a = licenses.Automaton("x", "a [b c] {2} d [e]")
     accepts = {"a d": 2, "a b c d": 4, "a x d": 3, "a x y d": 4, "a b d e": 4, "a x y z d": None, "a b c x y d e": 7, "a": None}
-    assert {t: a.longest([w.encode() for w in t.split()], 0) for t in accepts} == accepts
+    assert {t: a.longest(w.encode() for w in t.split()) for t in accepts} == accepts
+    a = licenses.Automaton("x", "a [v {1}] (b|c [d]) e")
+    accepts = {"a b e": 3, "a c e": 3, "a c d e": 4, "a v b e": 4, "a v 9 c e": 5, "a 9 b e": None, "a e": None, "a b d e": None}
+    assert {t: a.longest(w.encode() for w in t.split()) for t in accepts} == accepts
+    assert (a.mandatory, a.first) == (3, [(b"a",)])
+    for wrong in ("[a]", "{2} a", "a [b", "a b]", "a {b}", ""):
+        with pytest.raises(ValueError):
+            licenses.Automaton("x", wrong)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED “AS IS”, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%sTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE
+LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE."""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU %(name)s as published by the Free Software
+Foundation, either version %(version)s of the License, or (at your option) any later version. This program is distributed in the hope that it will be
+useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU %(name)s for
+more details."""
+
+
+def test_whole_licenses_and_altered_ones(frame):
+    gpl, lgpl = "General Public License", "Lesser General Public License"
+    cases = [
+        (MIT, "mit-text"),
+        ("x " * 200_000 + MIT, "mit-text"),
+        (MIT.replace("(the “Software”), ", "").replace("shall be included", "shall not be included"), "mit-partial"),
+        (MIT.replace("subject to the following", "except for commercial use, subject to the following"), "mit-partial"),
+        (MIT[: MIT.index("THE SOFTWARE IS")], "mit-partial"),
+        (MIT.replace("without restriction", "with restriction"), ""),
+        (BSD % "", "bsd-2-clause-text"),
+        (BSD % THIRD, "bsd-3-clause-text"),
+        (BSD % "3. You pay us.", "bsd-partial"),
+        ((BSD % "").replace("1. ", "").replace("2. ", "* "), "bsd-2-clause-text"),
+        ((BSD % "").split("1.")[0] + "1. you pay us", "bsd-partial"),
+        (GPL % {"name": gpl, "version": 3}, "gpl-3.0-or-later-notice"),
+        (GPL % {"name": gpl, "version": 2}, "gpl-2.0-or-later-notice"),
+        (GPL % {"name": lgpl, "version": "2.1"}, "lgpl-2.1-or-later-notice"),
+        ((GPL % {"name": gpl, "version": 2}).replace("either version 2 of the License, or (at your option) any later version", "version 2"), "gpl-2.0-only-notice"),
+        ((GPL % {"name": gpl, "version": 3}).replace("WITHOUT ANY", "with a"), "gnu-partial"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+        ("Licensed under the GNU Lesser General Public License or", "lgpl"),
+        (MIT + "\n" + MIT[:100], "mit-text"),
+        (MIT + "\n" + MIT[:400], "mit-partial,mit-text"),
+    ]
+    found = licenses.scan(frame(dict(enumerate(text for text, _ in cases))))
+    rows = {r["doc_id"]: r for r in found.collect()}
+    for i, (_, expected) in enumerate(cases):
+        labels = sorted({s["label"] for s in rows[i]["template_spans"]})
+        assert ",".join(labels) == expected, i
+        assert rows[i]["score"] == (0.5 if expected.endswith("-partial") else pytest.approx(1, abs=0.2) if expected else rows[i]["score"])
+    # An optional region that is begun but not finished stays out of the span.
+    assert [(s["start"], s["end"]) for s in rows[18]["template_spans"]] == [(0, 8)]
+    assert [(s["start"], s["end"]) for s in rows[1]["template_spans"]] == [(200_000, 200_000 + len(brute.ALNUM.findall(brute.lower(MIT))))]
+
+
+def plain_form(template):
+    """The template as a regular expression over words that each end in a blank."""
+    out = []
+    for token in re.findall(r"[\[\]()|]|\{\d+\}|[^\s\[\](){}|]+", template):
+        if token.startswith("{"):
+            out.append(rf"(?:\S+ ){{0,{token[1:-1]}}}")
+        else:
+            out.append({"[": "(?:", "(": "(?:", "|": "|", ")": ")", "]": ")?"}.get(token, re.escape(token) + " "))
+    return re.compile("".join(out))
+
+
+def test_templates_equal_brute_force(frame):
+    rng = random.Random(9)
+    templates = licenses.FULL + licenses.NOTICES
+
+    def made(template):
+        """Some text that the template accepts."""
+        while (group := re.search(r"\[[^\[\]()]*\]|\([^\[\]()]*\)|\{\d+\}", template)) is not None:
+            mark = group.group()
+            if mark[0] == "{":
+                new = " ".join(rng.choice(["some", "one", "the", "software"]) for _ in range(rng.randint(0, int(mark[1:-1]))))
+            else:
+                new = rng.choice(mark[1:-1].split("|")) if mark[0] == "(" or rng.random() < 0.5 else ""
+            template = template[: group.start()] + new + template[group.end() :]
+        return template.split()
+
+    docs = {}
+    for i in range(160):
+        words = []
+        for _ in range(2):
+            piece = made(rng.choice(templates)[1])
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                at = rng.randrange(len(piece))
+                piece[at : at + rng.choice([0, 1])] = rng.choice([[], ["x"], ["the"], [piece[at]]])
+            words += ["noise"] * rng.randint(0, 2) + piece
+        docs[i] = " ".join(words)
+    rows = {r["doc_id"]: r["template_spans"] for r in licenses.scan(frame(docs), partial=()).collect()}
+    forms = [(label, plain_form(t)) for label, t in templates]
+    accepted = 0
+    for i, text in docs.items():
+        words, expected = text.split(), set()
+        joined = [w + " " for w in words]
+        for label, form in forms:
+            for start in range(len(words)):
+                rest = "".join(joined[start:])
+                if not form.match(rest):
+                    continue
+                # The longest: from the end backwards, as regular expressions take the first wording that fits.
+                ends = [end for end in range(len(words), start, -1) if form.fullmatch("".join(joined[start:end]))]
+                expected.add((label, start, ends[0]))
+        assert {(s["label"], s["start"], s["end"]) for s in rows[i]} == expected, i
+        accepted += len(expected)
+    assert accepted > 150
 
 
 def plain_scores(docs):
