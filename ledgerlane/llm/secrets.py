@@ -16,22 +16,34 @@ likely independent symbols:
 Each gives a two-sided p-value. The least of them, m, is made even over (0, 1) for random
 strings: u = 1 - (1 - m) ** 2.6, as three tests that depend on each other count like 2.6.
 
-A fourth test looks at words and not at ranks: the neighbouring pairs that are among
-the commonest letter pairs of English, in any case. A random string has them by chance at a
-rate that its alphabet fixes; a run with more than WORDY deviations above that is ordinary
-whatever its u, which a random string meets in about one case of 50.
-
-Limits on u are set per encoding and length class. No limit is above FALLBACK, so that no class
-loses more than that share of its random strings to the three tests, however many ordinary runs
-share the class. A limit is lower where the false ones stay below ``rate`` of the accepted.
-They are estimated without the accepted runs: of the runs that the three tests surely refuse,
-the share that the fourth lets pass, times the runs that only the fourth refuses. Classes
-that are small or noisy take FALLBACK itself; there ``rate`` is not promised, as ordinary runs
-of rare letter pairs can pass. Only class counts, at most 4 * 8 * 2 * 6, leave the executors.
+A fourth test looks at words and not at ranks. The letter pairs of the corpus's own words,
+each word weighed by the logarithm of its count, give every pair a weight: how much likelier
+it is in words than among random letters, within bounds. The sum of a run's weights has a mean and a
+variance for random strings of its encoding that follow from the weights, so z, the sum in deviations above that
+mean, is known for random strings at any size of the corpus, and is high for runs that spell words of any of
+its languages. Runs in the form of a UUID name things and are ordinary.
+
+A run is a secret if u is at least U_LIMIT and z is below the limit of its class, an
+encoding and a range of lengths. The limit is the largest of Z_LIMITS at which the false ones stay
+below ``rate`` of the accepted; a class where none does so accepts nothing. False ones are
+estimated in two ways, and the larger counts:
+
+* from ordinary runs: of the runs that the three tests surely refuse, the share whose z is low,
+  times the runs whose z alone is high. Classes with few such runs take the share of
+  their encoding, or of all;
+* from random strings: half of them have z below 0 and 16 in 100 below -1, so the runs there, plus what
+  chance may add, bound the genuine ones; accepted runs beyond that bound are false.
+
+In a class of few runs the second bound is wide, so its limit is mostly the first one, and a
+lone key is found with the chance of 1 - U_LIMIT times that of z below 2, about 95 in 100.
+Only class counts, at most 4 * 8 * 3 * 9, and the sums of 676 letter pairs leave the executors.
 """
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +70,22 @@ ALPHABETS = {
 LENGTH_CLASSES = (24, 32, 40, 48, 64, 96, 128)
 #: So many independent tests give the least p-value that the three give (simulated).
 EFFECTIVE_TESTS = 2.6
-#: Limits on u that a class may have; the last one is for classes without a better one.
-LIMITS = (0.001, 0.01, 0.02, 0.03, 0.05)
-FALLBACK = LIMITS[-1]
-#: Runs a class has below the least limit before its limit may be lower than FALLBACK.
+#: A random string has a smaller u than U_LIMIT with this chance; a run below SURE is ordinary.
+U_LIMIT = 0.02
+SURE = 0.001
+#: Limits on z that a class may have; from the first one on a run spells words.
+Z_LIMITS = (2.0, 1.5, 1.0, 0.5, 0.0, -0.5, -1.0, -1.5)
+WORDY = Z_LIMITS[0]
+#: A class has so many surely ordinary runs before their share of low z is taken from it alone.
 ENOUGH = 50
 RATE = 0.1
-#: Frequent pairs of English letters: the second letters by the first.
-PAIRS = {
-    "a": "bcdgilmnprst", "b": "aeloru", "c": "aehiklot", "d": "aeio", "e": "acdelmnrstvx", "f": "eior", "g": "ehir",
-    "h": "aeio", "i": "cdeglmnorstv", "k": "e", "l": "adeiloty", "m": "aeiop", "n": "acdegiost", "o": "cdflmnoprstuw",
-    "p": "aelor", "q": "u", "r": "adeiosty", "s": "aehiopstu", "t": "aehiorsu", "u": "lmnrst", "v": "aei", "w": "aehio", "y": "s",
-}
-_PAIR = "(?=" + "|".join(f"{a}[{b}]" for a, b in PAIRS.items()) + ")"
-WORDY = 2.6
+#: Letter pairs that each first letter has at random beside those counted, so that a small corpus decides little.
+PRIOR = 400
+#: Bounds of a pair's weight, and the least deviation of one weight that z is measured in.
+HEAVIEST = 2.5
+LEAST_DEVIATION = 0.3
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+UUID = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -191,17 +205,74 @@ def _battery(a: Column, k: Column) -> Column:
     return F.least(p_chi, p_runs, p_lag)
 
 
-def pair_rate(code: str) -> float:
-    """Share of the pairs of an encoding's symbols that PAIRS has, in any case of letters."""
-    letters = ALPHABETS[code]
-    return sum(b.lower() in PAIRS.get(a.lower(), "") for a in letters for b in letters) / len(letters) ** 2
+class PairWeights:
+    """Weights of letter pairs; ``rows[a][b]`` is that of letter b behind letter a, zero without any corpus.
 
+    ``others`` are the same with one count less: what the rest of the corpus says of a pair
+    that a run has taught once itself, so that random runs do not vouch for themselves.
+    """
 
-def _wordy(token: Column, code: Column) -> Column:
-    """Whether the token has more frequent letter pairs than random symbols of its encoding."""
-    rates = F.create_map(*[x for k in ALPHABETS for x in (F.lit(k), F.lit(pair_rate(k)))])
-    n, q = (F.length(token) - 1).cast("double"), rates[code]
-    return F.regexp_count(F.lower(token), F.lit(_PAIR)) - 0.5 > n * q + WORDY * F.sqrt(n * q * (1 - q))
+    def __init__(self, counts: dict[str, int]) -> None:
+        self.rows, self.others = [
+            [
+                self._of_letter([max(counts.get(x + y, 0) - less, 0) for y in LETTERS], sum(counts.get(x + y, 0) for y in LETTERS) - less)
+                for x in LETTERS
+            ]
+            for less in (0, 1)
+        ]
+
+    @staticmethod
+    def _of_letter(counts: list[int], total: int) -> list[float]:
+        likelier = [(n * len(LETTERS) + PRIOR) / (max(total, 0) + PRIOR) for n in counts]
+        return [max(-HEAVIEST, min(HEAVIEST, math.log(x))) for x in likelier]
+
+    def weight(self, a: str, b: str) -> float:
+        """The weight of two symbols, in any case; zero unless both are letters."""
+        i, j = LETTERS.find(a.lower()), LETTERS.find(b.lower())
+        return self.rows[i][j] if i >= 0 and j >= 0 else 0.0
+
+    def moments(self, code: str) -> tuple[float, float, float]:
+        """Mean and variance of a pair of random symbols, and the covariance of two that share a symbol."""
+        symbols = ALPHABETS[code]
+        every = [[self.weight(a, b) for b in symbols] for a in symbols]
+        k = len(symbols)
+        mean = sum(map(sum, every)) / k**2
+        behind, before = [sum(row) / k for row in every], [sum(column) / k for column in zip(*every, strict=True)]
+        variance = sum(w * w for row in every for w in row) / k**2 - mean**2
+        return mean, variance, sum(x * y for x, y in zip(before, behind, strict=True)) / k - mean**2
+
+    def z(self, token: Column, symbols: Column, code: Column) -> Column:
+        """The token's sum of weights in deviations above the mean of random strings."""
+        # Letters count from 1, anything else is 0 and weighs nothing, as does the start.
+        wide = [0.0] * 27 + [w for row in self.others for w in (0.0, *row)]
+        table = F.split(F.lit(",".join(map(repr, wide))), ",").cast("array<double>")
+        kind = "struct<last:int,sum:double>"
+
+        def step(done: Column, symbol: Column) -> Column:
+            letter = F.call_function("instr", F.lit(LETTERS), F.lower(symbol))
+            return F.struct(letter.alias("last"), (done["sum"] + F.get(table, done["last"] * 27 + letter)).alias("sum")).cast(kind)
+
+        total = F.aggregate(symbols, F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")).cast(kind), step, lambda x: x["sum"])
+        known = {k: self.moments(k) for k in ALPHABETS}
+
+        def of_code(i: int) -> Column:
+            return F.create_map(*[x for k, m in known.items() for x in (F.lit(k), F.lit(float(m[i])))])[code]
+
+        n = (F.length(token) - 1).cast("double")
+        variance = F.greatest(n * of_code(1) + 2 * (n - 1) * of_code(2), n * LEAST_DEVIATION**2)
+        return (total - n * of_code(0)) / F.sqrt(variance)
+
+
+def pair_weights(texts: DataFrame) -> PairWeights:
+    """Weights from the words (letters only) of all texts; ``texts`` has one column, text.
+
+    A word counts 1 + floor(log2 n) where it occurs n times, so that no copied text, and no
+    copied key, teaches more than some tens of different words.
+    """
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
+    words = words.groupBy("word").agg((1 + F.floor(F.log2(F.count("*")))).alias("n"))
+    pairs = words.select(F.explode(F.regexp_extract_all("word", F.lit("(?=([a-z]{2}))"), F.lit(1))).alias("pair"), "n")
+    return PairWeights(dict(map(tuple, pairs.groupBy("pair").agg(F.sum("n")).collect())))  # at most 676 rows
 
 
 def _beside(run: Column, base: Column) -> Column:
@@ -229,11 +300,13 @@ def _length_class(size: Column) -> Column:
     return out
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Candidates as (start, end, code, size class, p, u, wordy), beside the base spans.
+def candidates(text: Column, base: Column, weights: PairWeights | None = None) -> Column:
+    """Candidates as (start, end, code, size class, p, u, z, wordy), beside the base spans.
 
     ``p`` is three times the least p-value, at most 1, and ``u`` the even one; see above.
+    ``wordy`` runs spell words or are UUIDs. Without ``weights`` every z is 0.
     """
+    weights = weights or PairWeights({})
     runs = _spans(text, CANDIDATE, 3, CANDIDATE_CHARS)
     free = F.flatten(F.transform(runs, lambda r: _beside(r, base)))
 
@@ -257,7 +330,7 @@ def candidates(text: Column, base: Column) -> Column:
             r["start"].alias("start"),
             r["end"].alias("end"),
             r["code"].alias("code"),
-            _wordy(r["token"], r["code"]).alias("wordy"),
+            r["token"].alias("token"),
             tables[r["code"]].alias("table"),
             F.length(tables[r["code"]]).cast("double").alias("k"),
             F.filter(
@@ -277,7 +350,7 @@ def candidates(text: Column, base: Column) -> Column:
             r["start"].alias("start"),
             r["end"].alias("end"),
             r["code"].alias("code"),
-            r["wordy"].alias("wordy"),
+            F.when(r["token"].rlike(UUID), F.lit(math.inf)).otherwise(weights.z(r["token"], r["symbols"], r["code"])).alias("z"),
             r["k"].alias("k"),
             _sums(r["symbols"], r["table"], r["k"]).alias("sums"),
         ),
@@ -288,7 +361,7 @@ def candidates(text: Column, base: Column) -> Column:
             r["start"].alias("start"),
             r["end"].alias("end"),
             r["code"].alias("code"),
-            r["wordy"].alias("wordy"),
+            r["z"].alias("z"),
             _battery(r["sums"], r["k"]).alias("m"),
         ),
     )
@@ -301,33 +374,54 @@ def candidates(text: Column, base: Column) -> Column:
             _length_class(r["end"] - r["start"]).alias("size"),
             F.least(F.lit(1.0), 3 * r["m"]).alias("p"),
             (1 - F.pow(1 - r["m"], F.lit(EFFECTIVE_TESTS))).alias("u"),
-            r["wordy"].alias("wordy"),
+            r["z"].alias("z"),
+            (r["z"] >= WORDY).alias("wordy"),
         ),
     )
 
 
+def _false(accepted: list[int], sure: list[int], i: int) -> float:
+    """How many of the runs with z below Z_LIMITS[i] are estimated to be ordinary.
+
+    Both lists count runs by the number of Z_LIMITS that z is below: ``accepted`` those
+    with a high u, ``sure`` those that the three tests surely refuse.
+    """
+    found = sum(accepted[i + 1 :])
+    from_ordinary = accepted[0] * sum(sure[i + 1 :]) / sure[0] if sure[0] else 0.0
+    # At most so many genuine ones, by those below 0 and far below it; 2.33 deviations, 2.7 more as counts are small, leave 1 % to chance.
+    share = NormalDist().cdf
+    genuine = min(
+        (n + 2.33 * math.sqrt(n + 1) + 2.7) / share(z)
+        for z in (0.0, -1.0)
+        for n in [sum(accepted[Z_LIMITS.index(z) + 1 :])]
+    )
+    return max(from_ordinary, found - genuine * share(Z_LIMITS[i]))
+
+
 def limits(found: DataFrame, rate: float = RATE) -> dict[tuple[str, int], float]:
-    """The least accepted u of each (encoding, length class) that has candidates."""
-    step = sum((F.col("c.u") >= x).cast("int") for x in LIMITS)
+    """The z below which runs of each (encoding, length class) with candidates are accepted; -inf for none."""
+    level = F.when(F.col("c.u") >= U_LIMIT, "accepted").when(F.col("c.u") < SURE, "sure")
+    below = sum((F.col("c.z") < z).cast("int") for z in Z_LIMITS)
     counts = (
         found.select(F.explode("candidates").alias("c"))
-        .groupBy("c.code", "c.size", "c.wordy", step.alias("step"))
+        .groupBy("c.code", "c.size", level.alias("level"), below.alias("below"))
         .count()
-        .collect()  # at most len(ALPHABETS) * 8 * 2 * (len(LIMITS) + 1) rows
+        .collect()  # at most len(ALPHABETS) * 8 * 3 * (len(Z_LIMITS) + 1) rows
     )
-    classes: dict[tuple[str, int], list[list[int]]] = {}
-    for code, size, wordy, step, n in counts:
-        classes.setdefault((code, size), [[0] * (len(LIMITS) + 1) for _ in range(2)])[wordy][step] += n
+    accepted: dict[tuple, list[int]] = {}
+    sure: dict[tuple, list[int]] = {}
+    for code, size, level, below, n in counts:
+        accepted.setdefault((code, size), [0] * (len(Z_LIMITS) + 1))
+        if level == "accepted":
+            accepted[code, size][below] += n
+        elif level == "sure":
+            for key in ((code, size), (code,), ()):
+                sure.setdefault(key, [0] * (len(Z_LIMITS) + 1))[below] += n
     out = {}
-    for key, (plain, wordy) in classes.items():
-        out[key] = FALLBACK
-        refused = plain[0] + wordy[0]
-        if refused < ENOUGH or not wordy[0]:
-            continue
-        for i, limit in enumerate(LIMITS, 1):
-            if sum(wordy[i:]) * plain[0] / wordy[0] <= rate * sum(plain[i:]):
-                out[key] = limit
-                break
+    for (code, size), mine in accepted.items():
+        like = next((sure[k] for k in ((code, size), (code,), ()) if sum(sure.get(k, [])) >= ENOUGH), [0])
+        fits = [z for i, z in enumerate(Z_LIMITS) if _false(mine, like, i) <= rate * sum(mine[i + 1 :])]
+        out[code, size] = fits[0] if fits else -math.inf
     return out
 
 
@@ -337,23 +431,25 @@ def scan(docs: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
     Positions are code points, ends exclusive; ``kind`` indexes KINDS. All other columns
     are kept; a column named secret_spans is replaced. Null and empty texts have no spans;
     repeated rows are scanned alike; a table without candidates keeps its pattern spans.
-    The text is read twice: once to count candidates per class, once for the result.
+    The text is read three times: for the letter pairs of its words, to count candidates per
+    class, and for the result.
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     base = base_spans(whole)
+    weights = pair_weights(docs.select(whole.alias("text")))
     counted = docs.select(whole.alias("text")).where(F.col("text").rlike(CANDIDATE))
     counted = counted.withColumn("base", base_spans(F.col("text")))
-    accepted = limits(counted.select(candidates(F.col("text"), F.col("base")).alias("candidates")), rate)
+    below = limits(counted.select(candidates(F.col("text"), F.col("base"), weights).alias("candidates")), rate)
     out = docs.withColumn("secret_spans", base)
-    if not accepted:
+    if not below:
         return out
     allowed = F.create_map(
-        *[x for (code, size), u in sorted(accepted.items()) for x in (F.lit(f"{code}:{size}"), F.lit(float(u)))]
+        *[x for (code, size), z in sorted(below.items()) for x in (F.lit(f"{code}:{size}"), F.lit(float(z)))]
     )
     more = F.transform(
         F.filter(
-            candidates(whole, F.col("secret_spans")),
-            lambda c: ~c["wordy"] & (c["u"] >= F.coalesce(allowed[F.concat_ws(":", c["code"], c["size"])], F.lit(FALLBACK))),
+            candidates(whole, F.col("secret_spans"), weights),
+            lambda c: (c["u"] >= U_LIMIT) & (c["z"] < F.coalesce(allowed[F.concat_ws(":", c["code"], c["size"])], F.lit(-math.inf))),
         ),
         lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )

@@ -66,3 +66,19 @@ def test_stages_on_odd_rows(spark):
     found = corpus_pipeline.secrets_redacted(spark, docs, SF_DIR).where("doc_id = 3").select("text", "n_chars").distinct().collect()
     assert [tuple(r) for r in found] == [("[SECRET]' and so on", 19)]
     assert corpus_pipeline.token_ids(spark, docs, SF_DIR).count() == len(rows)
+
+
+def test_planted_random_keys_are_redacted(spark, documents):
+    import random
+
+    rnd = random.Random(8)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    chosen = sorted(texts)[::5][:60]
+    keys = {d: "".join(rnd.choice(symbols) for _ in range(40)) for d in chosen}
+    planted = spark.createDataFrame([(d, f"{t} {keys[d]} and so on" if d in keys else t) for d, t in texts.items()], "doc_id bigint, text string")
+    docs = documents.drop("text").dropDuplicates(["doc_id"]).join(planted, "doc_id").select(*documents.columns)
+    after = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets_redacted(spark, docs, SF_DIR).collect()}
+    plain = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets_redacted(spark, documents, SF_DIR).collect()}
+    assert sum(keys[d] not in after[d] for d in keys) >= 0.9 * len(keys)
+    assert all(after[d] == plain[d] for d in texts if d not in keys and texts[d])

@@ -171,6 +171,61 @@ def test_ordinary_runs_that_pass_the_three_tests_are_refused(spark, frame):
     assert sum(r["n_random"] for r in rows) <= 0.05 * len(rows)
 
 
+def test_keys_among_identifiers_paths_and_uuids_of_another_language(frame):
+    # None of these words is English; the letter pairs come from the texts around the runs.
+    rnd = random.Random(5)
+    syllables = ["ka", "lo", "mi", "zu", "ver", "kel", "tor", "jen", "sch", "wur", "gro", "pla", "nik", "dro", "fan", "hul", "bez", "rim"]
+    words = ["".join(rnd.choice(syllables) for _ in range(rnd.randrange(2, 4))) for _ in range(1000)]
+
+    def key():
+        symbols = secrets.ALPHABETS[rnd.choice(["alnum", "base64"])]
+        return "".join(rnd.choice(symbols) for _ in range(rnd.choice([24, 32, 40, 44])))
+
+    def identifier():
+        return rnd.choice(words) + "".join(rnd.choice(words).capitalize() for _ in range(5))
+
+    def uuid():
+        return "-".join("".join(rnd.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))
+
+    def path():
+        return "/".join("".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 4))) for _ in range(6))
+
+    made = {d: key if d < 60 else rnd.choice([identifier, uuid, path]) for d in range(1500)}
+    docs = {d: " ".join([*rnd.choices(words, k=20), f(), *rnd.choices(words, k=3)]) for d, f in made.items()}
+    found = {r["doc_id"] for r in secrets.digest(secrets.scan(frame(docs))).collect() if r["n_random"]}
+    keys = {d for d in docs if d < 60}
+    assert len(found & keys) >= 0.9 * len(keys)
+    assert len(found - keys) <= 0.1 * len(found)
+
+
+def test_limits_refuse_classes_of_false_ones(spark):
+    # Ordinary runs that pass the three tests, with z spread evenly from -0.5 up to 2: no limit keeps the rate but one below them.
+    runs = [("alnum", 0, 0.9, -0.5 + 2.5 * i / 400) for i in range(400)]
+    # Forty random strings in another class, and one alone in a third.
+    rnd = random.Random(3)
+    runs += [("base64", 2, 0.5, rnd.gauss(0, 1)) for _ in range(40)] + [("base32", 1, 0.1, 1.4)]
+    # A class in which many surely refused runs have a low z, and most of the others a high one.
+    runs += [("alnum", 3, 0.0, z) for z in [0.2] * 60 + [5.0] * 60] + [("alnum", 3, 0.9, z) for z in [0.2] * 20 + [5.0] * 20]
+    df = spark.createDataFrame([([r],) for r in runs], "candidates array<struct<code:string,size:int,u:double,z:double>>")
+    found = secrets.limits(df)
+    assert found["alnum", 0] <= -0.5 and found["alnum", 3] <= 0.0
+    assert found["base64", 2] == found["base32", 1] == 2.0
+
+
+def test_letter_pairs_are_counted_over_words(spark):
+    texts = ["Abc abc; abc-x1abd", "ABD é", None, ""]
+    found = secrets.pair_weights(spark.createDataFrame([(t,) for t in texts], "text string"))
+    # Words: abc three times, abd twice; both weigh 1 + floor(log2 n) = 2.
+    plain = secrets.PairWeights({"ab": 4, "bc": 2, "bd": 2})
+    assert (found.rows, found.others) == (plain.rows, plain.others)
+    assert found.rows[0][1] == pytest.approx(math.log((4 + 400 / 26) / 404 * 26))
+    symbols = secrets.ALPHABETS["base32"]
+    every = [found.weight(a, b) for a in symbols for b in symbols]
+    shared = [found.weight(a, b) * found.weight(b, c) for a in symbols for b in symbols for c in symbols]
+    assert found.moments("base32") == pytest.approx((np.mean(every), np.var(every), np.mean(shared) - np.mean(every) ** 2))
+    assert secrets.PairWeights({}).rows == [[0.0] * 26] * 26
+
+
 def test_even_p_values_are_even(spark):
     rnd = random.Random(14)
     tokens = [("".join(rnd.choice(secrets.ALPHABETS["base64"]) for _ in range(40)),) for _ in range(3000)]
