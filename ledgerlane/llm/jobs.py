@@ -1,10 +1,13 @@
-"""Small helpers shared by the operators: worker imports and the shared folder."""
+"""Small helpers shared by the operators: worker imports and memory, and the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -18,6 +21,29 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system.
+
+    Python workers serve one stage after another; what one freed but kept would add to the next.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run``, a task's function, with its memory given back when it ends."""
+
+    def whole(*arguments) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*arguments)
+        finally:
+            give_back()
+
+    return whole
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder, and read back.
 

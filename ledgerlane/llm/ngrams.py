@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ledgerlane.llm import packed as P
 from ledgerlane.llm import words as W
 from ledgerlane.llm.graph import components
-from ledgerlane.llm.jobs import ready, stored
+from ledgerlane.llm.jobs import ready, stored, tidy
 
 _U = np.uint64
 #: Sets per packed block of tile entries; their number fits the 15 low bits of an entry.
@@ -182,7 +182,7 @@ def _entries(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                         rows.append((r, entry[at].tobytes(), name[block].tobytes(), skips.tobytes()))
                     yield P.row_batch(rows, names)
 
-    return docs.select(F.col("text")).mapInArrow(run, P.schema(names))
+    return docs.select(F.col("text")).mapInArrow(tidy(run), P.schema(names))
 
 
 def _shared_tiles(entries: DataFrame) -> DataFrame:
@@ -197,7 +197,10 @@ def _shared_tiles(entries: DataFrame) -> DataFrame:
             own = (e & _U(0xFFFF)).astype(np.int64)
             skip = np.frombuffer(s, np.uint8).reshape(-1, 2)
             parts.append((e >> _U(16), np.frombuffer(n, _U)[own >> 1], (own & 1).astype(np.uint8), skip[own >> 1, own & 1]))
+        # Nothing is held twice: neither the bytes received nor the parts are needed any more.
+        columns.clear()
         tile, name, back, skip = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.argsort(tile, kind="stable")
         tile = tile[order]
         same = np.concatenate([[False], tile[1:] == tile[:-1]]) if len(tile) else np.zeros(0, bool)
@@ -221,7 +224,7 @@ def _shared_tiles(entries: DataFrame) -> DataFrame:
         ]
         yield P.row_batch(rows, names)
 
-    return P.reduce_ranges(entries, work, P.schema(names))
+    return P.reduce_ranges(entries, tidy(work), P.schema(names))
 
 
 def _needed_tiles(members: DataFrame) -> DataFrame:
@@ -231,6 +234,7 @@ def _needed_tiles(members: DataFrame) -> DataFrame:
         name, tile = P.joined(columns["set"], _U), P.joined(columns["tile"], _U)
         size = P.joined(columns["size"], np.uint32).astype(np.int64)
         back, skip = P.joined(columns["back"], np.uint8), P.joined(columns["skip"], np.uint8)
+        columns.clear()
         order = np.lexsort((tile, -size, back, name))
         name, tile, back, skip = name[order], tile[order], back[order], skip[order]
         new = np.ones(len(name), bool)
@@ -242,7 +246,7 @@ def _needed_tiles(members: DataFrame) -> DataFrame:
             [pa.array(tile[keep].view(np.int64)), pa.array(name[keep].view(np.int64))], names=["tile", "node"]
         )
 
-    return P.reduce_ranges(members, work, "tile bigint, node bigint")
+    return P.reduce_ranges(members, tidy(work), "tile bigint, node bigint")
 
 
 def bitmap(value: np.ndarray) -> np.ndarray:
@@ -295,7 +299,7 @@ def _signatures(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
                     names=["node", "size", "bits", "hashes"],
                 )
 
-    found = joined.mapInArrow(run, "node bigint, size bigint, bits binary, hashes binary")
+    found = joined.mapInArrow(tidy(run), "node bigint, size bigint, bits binary, hashes binary")
     return found.dropDuplicates(["node"])
 
 
@@ -329,9 +333,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(bool(linked(np.int64((b[at] == a).sum()), len(a), len(b), num, den)))
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    hopeful = with_side(with_side(pairs, "a", "bits"), "b", "bits").mapInArrow(may_pass, schema)
+    hopeful = with_side(with_side(pairs, "a", "bits"), "b", "bits").mapInArrow(tidy(may_pass), schema)
     hopeful = stored(hopeful, "ngram-hopeful")
-    return with_side(with_side(hopeful, "a", "hashes"), "b", "hashes").mapInArrow(exact, schema)
+    return with_side(with_side(hopeful, "a", "hashes"), "b", "hashes").mapInArrow(tidy(exact), schema)
 
 
 def _stars(tiles: DataFrame) -> DataFrame:
@@ -410,7 +414,7 @@ def _unsettled(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
                 sent.clear()
         yield _pairs(sent)
 
-    return member.repartition(count, "tile").mapInArrow(run, "a bigint, b bigint, root_a bigint, root_b bigint").distinct()
+    return member.repartition(count, "tile").mapInArrow(tidy(run), "a bigint, b bigint, root_a bigint, root_b bigint").distinct()
 
 
 def _pairs(found: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -433,7 +437,7 @@ def _named(docs: DataFrame, n: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "node"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, n_shingles bigint, node bigint")
 
 
 def classes(
