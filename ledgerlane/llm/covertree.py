@@ -3,17 +3,22 @@
 Vectors are brought to unit length, so that cosine >= c means distance <= eps with
 eps ** 2 = 2 - 2 c, and the triangle inequality holds.
 
-1. Equal vectors are one point with a weight.
-2. The top of the tree is a net over at most SAMPLE points: centres more than a radius
-   apart, the radius halving per level. Every point is assigned to its nearest centre;
-   a centre, its points and their largest distance are a cell.
-3. Cells, in tree order, are packed into blocks of about BLOCK_ROWS points; a larger cell is
-   cut into several. Each block's task builds the rest of its tree: nested levels with
-   halving radii down to single points.
-4. Two blocks are compared only if two of their cells may hold a pair:
-   distance of centres <= both covering radii + eps. Their trees are traversed together;
-   a pair of nodes is dropped if its distance exceeds both radii + eps, accepted whole if
-   distance + both radii <= eps, else its children are compared.
+1. Equal vectors are one point with a weight. The points of one length are the root of a tree.
+2. A node of more than BLOCK_ROWS points is split: a tree of about SAMPLE of its points, chosen
+   by hash, with radii halving per level, gives centres; every point goes to its nearest centre.
+   A centre, its points and their largest distance are a cell. Cells, in tree order, are put
+   together to children of at most BLOCK_ROWS points; a larger cell is a child of its own and
+   split again, so that nodes nest level by level. Points that lie all at one place, which
+   no centres tell apart, are cut by hash.
+3. Node pairs go down level by level, from the pair of a root with itself, as joins: a pair is
+   replaced by the pairs of children of which two cells may hold a link:
+   distance of centres <= both covering radii + eps.
+4. Each block (a node that is not split) builds the rest of its tree: nested levels with
+   halving radii down to single points. The trees of a pair of blocks left by step 3 are
+   traversed together; a pair of nodes is dropped if its distance exceeds both radii + eps,
+   accepted whole if distance + both radii <= eps, else its children are compared.
+
+Nodes, pairs and trees are tables; only whether a level has nodes to split reaches the driver.
 
 Accepted node pairs add to link counts without listing pairs. For the classes a task emits
 a spanning forest of what it linked, at most one edge per point.
@@ -34,10 +39,12 @@ from pyspark.sql import functions as F
 from ledgerlane.llm.graph import components
 from ledgerlane.llm.jobs import ready, stored
 
-#: Points that the top of the tree is built from, at most.
+#: Points that the centres of a node come from, on average (chosen by hash).
 SAMPLE = 1024
-#: Points of a block, about.
+#: Points of a block, at most.
 BLOCK_ROWS = 8192
+#: Points packed in one row to be assigned to centres.
+CHUNK = 512
 #: Allowance for rounding in bounds; pairs within it are decided by their own cosine.
 SLACK = 1e-9
 #: Child pairs whose distances are computed at once.
@@ -251,66 +258,169 @@ def _rows(a: Tree, b: Tree, u: int, v: int, links: Links, least: float, same: bo
     links.pairs(i, j + links.offset)
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    """Rows of a list column as unit vectors in double precision."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
-    # Scaled first, so that squares of very large or small components stay finite.
-    x = x / np.abs(x).max(1, keepdims=True)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows brought to unit length."""
+    # Scaled by a power of two first, which is exact, so that squares of very large or small components stay finite.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _top(sample: np.ndarray) -> np.ndarray:
-    """Centres of the cells: the level of radius 1 of the sample's tree, in tree order."""
-    if not len(sample):
-        return sample
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows of one node, which is the first column."""
+    node = batch.column(0).to_pylist()
+    low = 0
+    for i in range(1, len(node) + 1):
+        if i == len(node) or node[i] != node[low]:
+            yield batch.slice(low, i - low)
+            low = i
+
+
+def centres_of(sample: np.ndarray, size: int, rows: int) -> np.ndarray:
+    """Centres for a node of ``size`` points from a sample of them, in tree order.
+
+    Nodes of the sample's tree that stand for at most an eighth of ``rows`` points, or for points at one place.
+    """
     tree, _ = Tree.build(sample)
-    wanted = [u for u in range(len(tree.centre)) if tree.children[u] == 0 or tree.radius[u] <= 1.0]
-    covered = np.zeros(len(sample), bool)
-    out = []
-    for u in sorted(wanted, key=lambda u: (tree.low[u], -tree.high[u])):
-        if not covered[tree.low[u]]:
-            covered[tree.low[u] : tree.high[u]] = True
+    out, todo = [], [0]
+    while todo:
+        u = todo.pop()
+        if tree.children[u] == 0 or (u and (tree.high[u] - tree.low[u]) * size <= rows / 8 * len(sample)):
             out.append(tree.centre[u])
+        else:
+            todo += range(tree.child[u] + tree.children[u] - 1, tree.child[u] - 1, -1)
     return tree.x[out]
 
 
-def blocks_of(cells: list[tuple[int, int, float]], rows: int) -> tuple[dict[int, tuple[int, int]], list[list[int]]]:
-    """cell -> (first block, number of blocks), and the cells of each block."""
-    where: dict[int, tuple[int, int]] = {}
-    content: list[list[int]] = []
-    room = 0
-    for cell, n, _ in sorted(cells):
+def children_of(counts: list[int], rows: int) -> list[list[int]]:
+    """Cells (numbers, in tree order) of each child: at most ``rows`` points, or one larger cell."""
+    out: list[list[int]] = []
+    room = -1
+    for cell, n in enumerate(counts):
+        if n > room:
+            out.append([])
+            room = rows
+        out[-1].append(cell)
+        room -= n
         if n > rows:
-            parts = -(-n // rows)
-            where[cell] = (len(content), parts)
-            content += [[cell] for _ in range(parts)]
-            room = 0
-        else:
-            if n > room:
-                content.append([])
-                room = rows
-            content[-1].append(cell)
-            where[cell] = (len(content) - 1, 1)
-            room -= n
-    return where, content
-
-
-def block_pairs(cells: list[tuple[int, int, float]], centres: np.ndarray, content: list[list[int]], eps: float) -> list[tuple[int, int]]:
-    """Block pairs (i <= j) that may hold a linked pair, by the covering radii of their cells."""
-    radius = np.zeros(len(centres))
-    for cell, _, r in cells:
-        radius[cell] = r
-    out = []
-    near = distances(centres, centres) <= radius[:, None] + radius[None, :] + eps + 2 * SLACK
-    for i in range(len(content)):
-        some = near[content[i]].any(0)
-        out += [(i, j) for j in range(i, len(content)) if i == j or some[content[j]].any()]
+            room = -1
     return out
 
 
-_POINT = "point bigint, weight bigint, vector array<double>, cell int, far double"
+#: A node's children by their cells: cell k, of radius far[k] around row k of ``centres``, belongs to
+#: child[k], which holds size[k] points; of a block, itself is the only child.
+_FAMILY = (
+    "node string, block boolean, child array<string>, size array<bigint>, cell array<int>, parts array<int>, "
+    "far array<double>, centres binary"
+)
+
+
+def _families(rows: int):
+    """From (node, cells, centres): the row of each split node, and one for each of its children that is a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, cells, data in zip(*[batch.column(c).to_pylist() for c in ("node", "cells", "centres")], strict=True):
+                cells = sorted(cells, key=lambda c: c["cell"])
+                total = sum(c["n"] for c in cells)
+                numbers = [c["cell"] for c in cells]
+                # All rows of one centre's matrix are read; centres without points have no cell.
+                x = np.frombuffer(data, np.float64).reshape(_count(data, int(node.split("/")[0])), -1)[numbers]
+                family = {"node": node, "block": False, "child": [], "size": [], "cell": [], "parts": [], "far": [], "centres": x.tobytes()}
+                for k, group in enumerate(children_of([c["n"] for c in cells], rows)):
+                    size = sum(cells[c]["n"] for c in group)
+                    parts = -(-total // rows) if len(cells) == 1 else 1
+                    name = f"{node}/{k}"
+                    for c in group:
+                        for f, v in (("child", name), ("size", size), ("cell", numbers[c]), ("parts", parts), ("far", cells[c]["far"])):
+                            family[f].append(v)
+                    if parts == 1 and size > rows:
+                        continue
+                    for part in range(parts):
+                        own = name if parts == 1 else f"{name}/{part}"
+                        n = len(group)
+                        out.append(
+                            {"node": own, "block": True, "child": [own] * n, "size": [0] * n, "cell": [numbers[c] for c in group]}
+                            | {"parts": [1] * n, "far": [cells[c]["far"] for c in group], "centres": x[group].tobytes()}
+                        )
+                out.append(family)
+            yield pa.RecordBatch.from_pylist(out, schema=_FAMILY_SCHEMA)
+
+    return run
+
+
+_FAMILY_SCHEMA = pa.schema(
+    [
+        ("node", pa.string()),
+        ("block", pa.bool_()),
+        ("child", pa.list_(pa.string())),
+        ("size", pa.list_(pa.int64())),
+        ("cell", pa.list_(pa.int32())),
+        ("parts", pa.list_(pa.int32())),
+        ("far", pa.list_(pa.float64())),
+        ("centres", pa.binary()),
+    ]
+)
+
+
+def _count(data: bytes, dim: int) -> int:
+    return len(data) // (8 * dim)
+
+
+def _members(row: dict, side: str, rows: int) -> tuple[list[str], list[bool], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a family: children's names, whether each is to be split, and per cell its child's number, centre and radius."""
+    names, split, first = [], [], {}
+    owner, where = [], []
+    for k, (child, size, parts) in enumerate(zip(*[row[f"{f}_{side}"] for f in ("child", "size", "parts")], strict=True)):
+        if child not in first:
+            first[child] = len(names)
+            names += [child] if parts == 1 else [f"{child}/{p}" for p in range(parts)]
+            split += [parts == 1 and size > rows] * parts
+        owner += range(first[child], first[child] + parts)
+        where += [k] * parts
+    far = np.array(row[f"far_{side}"])
+    x = np.frombuffer(row[f"centres_{side}"], np.float64).reshape(len(far), -1)
+    return names, split, np.array(owner), x[where], far[where]
+
+
+def _deeper(rows: int, least: float):
+    """Pairs of children (i, j, open) that may hold a linked pair; open if one of them is split again."""
+    eps = float(np.sqrt(max(2 - 2 * least, 0.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                names, split, owner, x, far = _members(row, "i", rows)
+                others, splits, others_owner, y, fars = _members(row, "j", rows)
+                near = np.zeros((len(names), len(others)), bool)
+                a, b = np.nonzero(distances(x, y) <= far[:, None] + fars[None, :] + (eps + 2 * SLACK))
+                near[owner[a], others_owner[b]] = True
+                if row["i"] == row["j"]:
+                    np.fill_diagonal(near, True)
+                    near = np.triu(near)
+                a, b = np.nonzero(near)
+                open_ = np.array(split, bool)[a] | np.array(splits, bool)[b]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names[i] for i in a], pa.string()), pa.array([others[j] for j in b], pa.string()), pa.array(open_)],
+                    names=["i", "j", "open"],
+                )
+
+    return run
+
+
+_POINT = "node string, size bigint, point bigint, weight bigint, vector array<double>"
 
 
 def near_duplicates(
@@ -321,8 +431,7 @@ def near_duplicates(
     ``n_links`` counts the other rows linked directly, copies included; ``component_id`` is
     the least key reachable by links, the row's own included. Vectors that are null, empty,
     zero or hold null or non-finite components link with nothing. Vectors of different lengths
-    do not link; each length has its own cover tree, and its own jobs, so tables of very many
-    lengths take long. Keys must be integers; rows without key take
+    do not link; each length is a tree of its own. Keys must be integers; rows without key take
     part, and a class of such rows alone has no component_id. Rows that share a key are rows
     of their own. An empty table gives no rows; other columns are not read.
     """
@@ -338,100 +447,135 @@ def near_duplicates(
     # A null component makes the condition null.
     good = F.coalesce(good, F.lit(False))
     usable = source.where(good)
-    lengths = [r["n"] for r in usable.select(F.size(v).alias("n")).distinct().orderBy("n").collect()]
     alone = source.where(~good).select("key", F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"))
-    if not lengths:
-        return alone.withColumnRenamed("key", key)
-    found = [_classes(usable.where(F.size(v) == n), least, rows) for n in lengths]
-    classes = found[0]
-    for other in found[1:]:
-        classes = classes.union(other)
+    classes = _classes(usable, least, rows)
     kept = usable.join(classes, "vector").select("key", "n_links", "component_id")
     return kept.union(alone).withColumnRenamed("key", key)
 
 
 def _classes(source: DataFrame, least: float, rows: int) -> DataFrame:
-    """(vector, n_links, component_id) of the distinct vectors of one length."""
-    spark = source.sparkSession
+    """(vector, n_links, component_id) of the distinct vectors."""
     points = source.groupBy("vector").agg(F.min("key").alias("least"), F.count("*").alias("weight"))
     # Points are numbered once, in the written table.
     points = stored(points.select(F.monotonically_increasing_id().alias("point"), "least", "weight", "vector"), "cover-points")
-    sample = points.orderBy(F.xxhash64("vector"), "point").limit(SAMPLE).select("vector").toArrow()
-    centres = _top(_units(sample.column(0)) if sample.num_rows else np.zeros((0, 1)))
-    handed = spark.sparkContext.broadcast(centres)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = handed.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _units(batch.column(2))
-            cell, far = np.empty(len(x), np.int32), np.empty(len(x))
-            for low in range(0, len(x), 4096):
-                d = distances(x[low : low + 4096], top)
-                cell[low : low + 4096] = d.argmin(1)
-                far[low : low + 4096] = d.min(1)
-            flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), flat, pa.array(cell), pa.array(far)],
-                names=["point", "weight", "vector", "cell", "far"],
-            )
-
-    located = stored(points.select("point", "weight", "vector").mapInArrow(assign, _POINT), "cover-cells")
-    cells = [(r["cell"], r["n"], r["far"]) for r in located.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()]
-    where, content = blocks_of(cells, rows)
-    eps = float(np.sqrt(max(2 - 2 * least, 0.0)))
-    pairs = block_pairs(cells, centres, content, eps)
-    if not pairs:
-        counted = linked = None
-    else:
-        found = _compare(located, where, len(content), pairs, least)
-        counted = found.where("n is not null").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
-        linked = found.where("b is not null").select("a", "b")
+    placed, pairs = _blocks(points, least, rows)
+    found = _compare(placed, pairs, least)
+    counted = found.where("n is not null").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
+    linked = found.where("b is not null").select("a", "b")
     rooted = points.select("point", "least", "weight", "vector")
-    if counted is None:
-        rooted = rooted.withColumn("n", F.lit(0).cast("bigint")).withColumn("root", F.col("point"))
-    else:
-        roots = components(linked).withColumnRenamed("node", "point")
-        rooted = rooted.join(counted, "point", "left").join(roots, "point", "left")
-        rooted = rooted.withColumn("root", F.coalesce("root", "point")).withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    roots = components(linked).withColumnRenamed("node", "point")
+    rooted = rooted.join(counted, "point", "left").join(roots, "point", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "point")).withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
     rooted = stored(rooted, "cover-roots")
     firsts = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "cover-firsts")
     classes = rooted.join(firsts, "root").select("vector", (F.col("n") + F.col("weight") - 1).alias("n_links"), "component_id")
     return stored(classes, "cover-classes")
 
 
-def _compare(located: DataFrame, where: dict, n_blocks: int, pairs: list[tuple[int, int]], least: float) -> DataFrame:
+def _blocks(points: DataFrame, least: float, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (block, point, weight, vector) of the blocks, vectors of unit length, and the pairs (i, j) of blocks to compare."""
+    length = F.size("vector").cast("string")
+    roots = stored(points.groupBy(length.alias("node")).agg(F.count("*").alias("size")), "cover-roots")
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in _runs(batch):
+                columns = [*run.columns[:4], _lists(_units(_matrix(run.column(4))))]
+                yield pa.RecordBatch.from_arrays(columns, names=run.schema.names)
+
+    numbered = points.select(length.alias("node"), "point", "weight", "vector").join(roots, "node")
+    numbered = numbered.select("node", "size", "point", "weight", "vector").sortWithinPartitions("node")
+    held = numbered.mapInArrow(scaled, _POINT)
+    small = F.col("size") <= rows
+    placed = held.where(small).select(F.col("node").alias("block"), "point", "weight", "vector")
+    pairs = roots.where(small).select(F.col("node").alias("i"), F.col("node").alias("j"))
+    wanted = roots.where(~small).select(F.col("node").alias("i"), F.col("node").alias("j"))
+    blocks = None
+    open_points, level = held.where(~small), 0
+    while not wanted.isEmpty():
+        families, cells = _split(open_points, rows, level)
+        nodes = families if blocks is None else families.union(blocks)
+        left = nodes.drop("block").withColumnsRenamed({c: f"{c}_i" for c in nodes.columns}).withColumnRenamed("node_i", "i")
+        right = nodes.drop("block").withColumnsRenamed({c: f"{c}_j" for c in nodes.columns}).withColumnRenamed("node_j", "j")
+        # Blocks found at this level are no parents of it: pairs name nodes of the level above.
+        deeper = wanted.join(left, "i").join(right, "j").mapInArrow(_deeper(rows, least), "i string, j string, open boolean")
+        deeper = stored(deeper, "cover-pairs")
+        pairs = pairs.union(deeper.where("not open").select("i", "j"))
+        wanted = deeper.where("open").select("i", "j")
+        blocks = families.where("block") if blocks is None else blocks.union(families.where("block"))
+        where = families.where("not block").select(
+            "node", F.explode(F.arrays_zip("cell", "child", "size", "parts")).alias("to")
+        ).select("node", "to.*")
+        name = F.when(F.col("parts") == 1, F.col("child")).otherwise(F.concat_ws("/", "child", F.pmod(F.xxhash64("point"), "parts")))
+        moved = cells.join(where, ["node", "cell"]).select(
+            name.alias("node"), "size", "point", "weight", "vector", ((F.col("parts") > 1) | small).alias("block")
+        )
+        moved = stored(moved, "cover-nodes")
+        placed = placed.union(moved.where("block").select(F.col("node").alias("block"), "point", "weight", "vector"))
+        open_points, level = moved.where("not block").drop("block"), level + 1
+    return placed, pairs
+
+
+def _split(held: DataFrame, rows: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """One level of nodes split: their families, and their points as (node, cell, far, point, weight, vector)."""
+    even = F.pmod(F.xxhash64("point", F.lit(level)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = held.where(even * F.col("size") < SAMPLE).select("node", "size", "point", "vector")
+
+    def choose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("point")
+        x = centres_of(_matrix(table.column("vector")), table.column("size")[0].as_py(), rows)
+        return pa.table({"node": table.column("node")[:1], "centres": pa.array([x.tobytes()], pa.binary())})
+
+    centres = stored(sample.groupBy("node").applyInArrow(choose, "node string, centres binary"), "cover-centres")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for run in _runs(batch):
+                for low in range(0, run.num_rows, CHUNK):
+                    part = run.slice(low, CHUNK)
+                    columns = [part.column(c).to_numpy().tobytes() for c in ("point", "weight")]
+                    out.append((part.column("node")[0].as_py(), *columns, _matrix(part.column("vector")).tobytes()))
+            names = ["node", "points", "weights", "x"]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=_CHUNK_SCHEMA)
+
+    chunks = held.sortWithinPartitions("node").mapInArrow(pack, "node string, points binary, weights binary, x binary")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                point, weight = np.frombuffer(row["points"], np.int64), np.frombuffer(row["weights"], np.int64)
+                x = np.frombuffer(row["x"], np.float64).reshape(len(point), -1)
+                d = distances(x, np.frombuffer(row["centres"], np.float64).reshape(-1, x.shape[1]))
+                columns = [pa.array([row["node"]] * len(x)), pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))]
+                columns += [pa.array(point), pa.array(weight), _lists(x)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "cell", "far", "point", "weight", "vector"])
+
+    kind = "node string, cell int, far double, point bigint, weight bigint, vector array<double>"
+    cells = stored(chunks.join(centres, "node").mapInArrow(assign, kind), "cover-cells")
+    counts = cells.groupBy("node", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"))
+    counts = counts.groupBy("node").agg(F.collect_list(F.struct("cell", "n", "far")).alias("cells"))
+    families = stored(counts.join(centres, "node").mapInArrow(_families(rows), _FAMILY), "cover-families")
+    return families, cells
+
+
+def _compare(placed: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
     """Rows (a, n, null): links of point a; rows (a, null, b): edges of the spanning forests."""
-    spark = located.sparkSession
-    # At most SAMPLE rows: the cells' blocks.
-    places = spark.createDataFrame([(c, a, n) for c, (a, n) in where.items()], "cell int, first int, parts int")
-    placed = located.join(F.broadcast(places), "cell").select(
-        (F.col("first") + F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")).alias("block"), "point", "weight", "vector"
-    )
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        block = table.column("block").to_numpy()
-        for k in np.unique(block):
-            own = table.filter(pa.array(block == k))
-            tree, order = Tree.build(_units(own.column("vector")))
-            columns = {"block": int(k), "points": own.column("point").to_numpy()[order].tobytes()}
-            columns["weights"] = own.column("weight").to_numpy()[order].tobytes()
-            columns["x"] = tree.x.tobytes()
-            for f in Tree.FIELDS:
-                columns[f] = getattr(tree, f).tobytes()
-            yield pa.RecordBatch.from_pylist([columns], schema=_block_schema())
-
-    trees = placed.repartitionById(n_blocks, "block").mapInArrow(build, _block_ddl())
-    trees = stored(trees, "cover-trees")
-    wanted = spark.createDataFrame(pairs, "i int, j int")
+    def build(table: pa.Table) -> pa.Table:
+        tree, order = Tree.build(_matrix(table.column("vector")))
+        columns = {"block": table.column("block")[0].as_py(), "points": table.column("point").to_numpy()[order].tobytes()}
+        columns["weights"] = table.column("weight").to_numpy()[order].tobytes()
+        columns["x"] = tree.x.tobytes()
+        for f in Tree.FIELDS:
+            columns[f] = getattr(tree, f).tobytes()
+        return pa.Table.from_pylist([columns], schema=_block_schema())
+
+    trees = stored(placed.groupBy("block").applyInArrow(build, _block_ddl()), "cover-trees")
     left = trees.withColumnsRenamed({c: f"{c}_i" for c in trees.columns}).withColumnRenamed("block_i", "i")
     right = trees.withColumnsRenamed({c: f"{c}_j" for c in trees.columns}).withColumnRenamed("block_j", "j")
-    both = wanted.repartition(max(1, len(pairs)), "i", "j").join(left, "i").join(right, "j")
+    both = wanted.join(left, "i").join(right, "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -460,12 +604,15 @@ def _compare(located: DataFrame, where: dict, n_blocks: int, pairs: list[tuple[i
     return stored(both.mapInArrow(compare, "a bigint, n bigint, b bigint"), "cover-links")
 
 
+_CHUNK_SCHEMA = pa.schema([("node", pa.string()), *[(c, pa.binary()) for c in ("points", "weights", "x")]])
+
+
 def _block_schema() -> pa.Schema:
-    return pa.schema([("block", pa.int32()), *[(c, pa.binary()) for c in ("points", "weights", "x", *Tree.FIELDS)]])
+    return pa.schema([("block", pa.string()), *[(c, pa.binary()) for c in ("points", "weights", "x", *Tree.FIELDS)]])
 
 
 def _block_ddl() -> str:
-    return "block int, " + ", ".join(f"{c} binary" for c in ("points", "weights", "x", *Tree.FIELDS))
+    return "block string, " + ", ".join(f"{c} binary" for c in ("points", "weights", "x", *Tree.FIELDS))
 
 
 def _load(row: dict, side: str) -> tuple[Tree, np.ndarray, np.ndarray]:

@@ -163,3 +163,32 @@ def test_vectors_link_within_every_length(spark):
     rows = covertree.near_duplicates(df).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows} == brute.near_vectors(vectors, 0.9)
     assert len(rows) == len(vectors)
+
+
+def test_nodes_split_level_by_level(spark, monkeypatch):
+    """Few sampled points a node, so that cells are larger than a block and are split again."""
+    monkeypatch.setattr(covertree, "SAMPLE", 6)
+    levels = []
+    split = covertree._split
+    monkeypatch.setattr(covertree, "_split", lambda held, rows, level: levels.append(level) or split(held, rows, level))
+    rnd = np.random.default_rng(8)
+    centres = rnd.normal(size=(6, 5))
+    made = {k: (centres[rnd.integers(0, 6)] + rnd.normal(size=5) * rnd.choice([0.05, 0.5])).tolist() for k in range(240)}
+    # A third lies at one place: multiples of one vector, which no centres tell apart.
+    made |= {1000 + k: [2.0 ** (k - 40), 0.0, 0.0, 0.0, 0.0] for k in range(80)}
+    # Another length with a tree of its own.
+    made |= {2000 + k: rnd.normal(size=3).tolist() for k in range(40)}
+    df = spark.createDataFrame([(k, v) for k, v in made.items()], "vec_id bigint, embedding array<double>")
+    assert vectors(df, rows=8) == brute.near_vectors(made, 0.9)
+    assert len(levels) > 2
+
+
+def test_cosine_of_exactly_the_threshold_links(spark):
+    made = {1: [1.0, 0.0], 2: [0.6, 0.8], 3: [3.0, 4.0], 4: [0.6, 0.8 + 1e-6]}
+    df = spark.createDataFrame(list(made.items()), "vec_id bigint, embedding array<double>")
+    assert vectors(df, least=0.6) == {1: (2, 1), 2: (3, 1), 3: (3, 1), 4: (2, 1)}
+
+
+def test_children_hold_a_bounded_number_of_points():
+    assert covertree.children_of([3, 4, 9, 1, 5, 5, 1], 8) == [[0, 1], [2], [3, 4], [5, 6]]
+    assert covertree.children_of([20], 8) == [[0]]
